@@ -95,6 +95,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def component_firsts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, best) for every node of nodes (node: long, first): the least first of the component it is in."""
+    roots = stage_table(connected_components(edges).withColumnRenamed("node", "_node"))
+    inside = stage_table(nodes.join(roots, F.col("node") == F.col("_node")).select("root", "node", "first"))
+    least = stage_table(inside.groupBy("root").agg(F.min("first").alias("best"))).withColumnRenamed("root", "_root")
+    moved = inside.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "best")
+    out = nodes.join(moved, F.col("node") == F.col("_node"), "left")
+    return stage_table(out.select("node", F.coalesce("best", "first").alias("best")))
+
+
 def batches(source: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most so many rows, so that what is derived from a batch stays small."""
     for batch in source:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash
+from . import embed_dedup, exact_dedup, html_main, langid, licenses, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,30 @@ def op2_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op3_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mix_sources(docs.select("doc_id", "text", "source"))
@@ -39,10 +59,35 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_vector_sharding, op6_simhash_dedup, op9_source_mix, op10_exact_dedup)
+    for f in (
+        op1_best_fit_packing,
+        op2_vector_sharding,
+        op3_conv_quality,
+        op4_main_text,
+        op5_language_id,
+        op6_simhash_dedup,
+        op7_embedding_dedup,
+        op8_license_scan,
+        op9_source_mix,
+        op10_exact_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op7_embedding_dedup": r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+          ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS root FROM embeddings
+          UNION SELECT l.a, r.root FROM reach r JOIN links l ON l.b = r.vec_id),
+roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
+FROM roots r LEFT JOIN degree d ON d.a = r.vec_id
+""",
     "op9_source_mix": mixing.ORACLE,
     "op10_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, connected_components, nonnull_text, stage_table, utf8
+from .common import append_columns, batches, component_firsts, nonnull_text, stage_table, utf8
 
 _QUARTER = [np.uint64(0xFFFF << 16 * q) for q in range(4)]
 
@@ -104,12 +104,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
     rows = stage_table(slim.mapInArrow(_fingerprints("_text", names, shingle), f"{schema}, fp long").withColumn("_rid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_rid").alias("r")))
-    nodes = stage_table(rows.groupBy("fp").agg(first.alias("first")))
-    roots = stage_table(connected_components(links(nodes)))
-    inside = stage_table(nodes.join(roots, nodes.fp == roots.node).select("root", "fp", "first"))
-    firsts = stage_table(inside.groupBy("root").agg(F.min("first").alias("best"))).withColumnRenamed("root", "_root")
-    moved = inside.join(firsts, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "best")
-    classes = stage_table(nodes.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_node"), F.coalesce("best", "first").alias("best")))
+    nodes = stage_table(rows.groupBy(F.col("fp").alias("node")).agg(first.alias("first")))
+    classes = component_firsts(nodes, links(nodes.select(F.col("node").alias("fp")))).withColumnRenamed("node", "_node")
     out = rows.join(classes, F.col("fp") == F.col("_node"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select(F.col("_id").alias(id_col), text.alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("_rid") == F.col("best.r")).alias("kept"), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
