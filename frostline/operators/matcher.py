@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import REPAIR, MatcherParams
+from .backtracking import History
 
 FIND, COMPENSATE, FAILED = "Find", "Compensate", "Failed"
 
@@ -46,60 +47,56 @@ class ChainMatcher:
     """feed() takes a frame's scores and returns the steps that it causes, replayed ones included.
 
     A score is (frame_num, ts_s, hash_distance, motion, distinct_conf); the last three are None for a frame without a
-    predecessor.
+    predecessor. Only the variables are rolled back by a replay, not the state or the steps told.
     """
 
     params: MatcherParams
     variables: Variables = field(default_factory=Variables)
+    history: History = field(default_factory=History)
     state: str = FIND
     added: int = 0
-    rows: list[tuple] = field(default_factory=list)  # from the chain's first frame to the newest
-    before: list[Variables] = field(default_factory=list)  # the variables before each of rows
-    at: int = 0  # the row to take next
+    told: list[dict] = field(default_factory=list)
     steps: int = 0
 
     def feed(self, row: tuple) -> list[dict]:
-        self.rows.append(row)
-        out = []
-        while self.at < len(self.rows):
-            out.append(self._step())
-        return out
-
-    def _step(self) -> dict:
-        p, row, length = self.params, self.rows[self.at], self.at
-        del self.before[length:]
-        self.before.append(self.variables)
+        self.told = []
+        self.variables = self.history.feed(row, self.variables, self._step)
+        return self.told
+
+    def _step(self, before: Variables, row: tuple, history: History) -> Variables:
+        p, length = self.params, len(history)
         frame, _, diff, motion, distinct = row
-        step = {"step": self.steps, "frame_num": frame, "len": length, "state": self.state, "n_additional": self.added, "diff": self.variables.last_diff, "chain_i": None, "frames": None, "timestamps": None}
+        step = {"step": self.steps, "frame_num": frame, "len": length, "state": self.state, "n_additional": self.added, "diff": before.last_diff, "chain_i": None, "frames": None, "timestamps": None}
         self.steps += 1
+        self.told.append(step)
         if length == 0 or any(x is None or x != x or abs(x) == float("inf") for x in (diff, motion, distinct)):
-            self._restart()
-            return step | {"outcome": "NoScore", "chain_motion": self.variables.chain_motion}
-        v = replace(self.variables, chain_motion=self.variables.chain_motion + motion)
+            self._restart(history)
+            step |= {"outcome": "NoScore", "chain_motion": before.chain_motion}
+            return before
+        v = replace(before, chain_motion=before.chain_motion + motion)
         outcome = self._check(v, length, distinct)
         step |= {"outcome": outcome, "chain_motion": v.chain_motion}
         slow = v.slow if outcome == "FailDuplicate" else blend(p.slow_motion_mean_alpha, v.slow, motion)
-        settled = replace(v, chain_motion=0.0, recent=blend(p.recent_motion_mean_alpha, v.recent, motion), slow=slow, last_diff=diff)
+        v = replace(v, slow=slow, last_diff=diff)
         if outcome in ("FailLong", "FailTooMuchMotion") and self.state == COMPENSATE:
-            self.at -= self.added
-            self.variables, self.state, self.added = self.before[self.at], FAILED, 0
-        elif outcome == "FailDuplicate" or outcome == "CompensationRequired" and self.state != FAILED:
-            if outcome == "CompensationRequired":
-                self.state, self.added = COMPENSATE, self.added + 1
-            self.variables = replace(v, slow=slow, last_diff=diff)
-            self.at += 1
-        else:
-            if outcome == "Ok":
-                step |= {"chain_i": v.chain_i, "frames": [r[0] for r in self.rows[:length]], "timestamps": [r[1] for r in self.rows[:length]]}
-                settled = replace(settled, chain_i=v.chain_i + 1)
-            self.variables = settled
-            self._restart()
-        return step
-
-    def _restart(self) -> None:
+            history.backtrack(self.added)
+            self.state, self.added = FAILED, 0
+            return v
+        if outcome == "FailDuplicate":
+            return v
+        if outcome == "CompensationRequired" and self.state != FAILED:
+            self.state, self.added = COMPENSATE, self.added + 1
+            return v
+        if outcome == "Ok":
+            step |= {"chain_i": v.chain_i, "frames": [r[0] for r in history[:]], "timestamps": [r[1] for r in history[:]]}
+            v = replace(v, chain_i=v.chain_i + 1)
+        self._restart(history)
+        return replace(v, chain_motion=0.0, recent=blend(p.recent_motion_mean_alpha, v.recent, motion))
+
+    def _restart(self, history: History) -> None:
         """The current frame becomes the first of the next chain."""
-        del self.rows[: self.at], self.before[: self.at]
-        self.state, self.added, self.at = FIND, 0, 1
+        history.clear()
+        self.state, self.added = FIND, 0
 
     def _check(self, v: Variables, length: int, distinct: float) -> str:
         p = self.params
