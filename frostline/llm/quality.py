@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A document's UTF-8 bytes are covered by chunks that overlap by a filter's width less one, so that every window of the
-text is seen once. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
+text is seen once. Beside its bytes a window has a second channel: whether it ends an echo, bytes that repeat what stood
+right before them, which no filter of a few bytes could tell. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
 pools are combined into one probability. Training is on the driver, from a bounded sample of labelled rows; scoring is
 one pass over all rows without a shuffle.
 """
@@ -20,31 +21,51 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import append_columns, batches, nonnull_text, utf8
 
 WIDTH, FILTERS, STEP = 6, 16, 512  # a chunk is STEP + WIDTH - 1 bytes; STEP is a power of two, WIDTH even
+ECHO, LAGS = 12, range(2, 33)  # bytes that must repeat, and how far before they may stand
 SAMPLE = 1500  # most labelled documents of each label that are learned from
-STEPS, BATCH, RATE, SEED = 450, 24, 0.01, 7
+STEPS, BATCH, RATE, SEED = 600, 24, 0.01, 7
 THRESHOLD, FOLDS = 0.3, 5
 
 
+def echoes(data: bytes) -> np.ndarray:
+    """Where the last ECHO bytes equal those some lag before them."""
+    x = np.frombuffer(data, np.uint8)
+    out = np.zeros(len(x), bool)
+    for lag in LAGS:
+        if len(x) < lag + ECHO:
+            break
+        run, size = x[lag:] == x[:-lag], 1
+        while size < ECHO:  # run[i]: the bytes from i on, so many, are equal
+            step = min(size, ECHO - size)
+            run, size = run[:-step] & run[step:], size + step
+        out[lag + ECHO - 1 :] |= run
+    return out
+
+
 @dataclass
 class Network:
-    """table[j, b]: what byte b at place j of a window adds to each filter."""
+    """table[j, b]: what byte b at place j of a window adds to each filter; echo: what an echo adds."""
 
     table: np.ndarray
+    echo: np.ndarray
     bias: np.ndarray
     weights: np.ndarray
     offset: float
     pairs: list[np.ndarray] | None = None
 
-    def padded(self, data: bytes) -> tuple[np.ndarray, int]:
-        """The bytes of whole chunks, with zeros behind the text, and the number of chunks."""
+    def padded(self, data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """The bytes of whole chunks, with zeros behind the text, the echoes that windows end, the number of chunks."""
         n = max(1, -(-(len(data) - WIDTH + 1) // STEP))
         x = np.zeros(n * STEP + WIDTH - 1, np.uint8)
         x[: len(data)] = np.frombuffer(data, np.uint8)
-        return x, n
-
-    def maxima(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each chunk's pool of each filter, before the ReLU; the places of the maxima; the padded bytes."""
-        x, n = self.padded(data)
+        ends = np.zeros(n * STEP, np.float32)
+        found = echoes(data)[WIDTH - 1 :]
+        ends[: len(found)] = found
+        return x, ends, n
+
+    def maxima(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each chunk's pool of each filter, before the ReLU; the places of the maxima; padded bytes and echoes."""
+        x, ends, n = self.padded(data)
         pools, places = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
         for k in range(0, n, 32):
             m = min(32, n - k)
@@ -52,17 +73,18 @@ class Network:
             r = self.table[0][part[: m * STEP]]
             for j in range(1, WIDTH):
                 r += self.table[j][part[j : j + m * STEP]]
+            r += ends[k * STEP : (k + m) * STEP, None] * self.echo
             r = r.reshape(m, STEP, FILTERS)
             at = r.argmax(axis=1)
             pools[k : k + m] = np.take_along_axis(r, at[:, None], 1)[:, 0]
             places[k : k + m] = at + (np.arange(k, k + m) * STEP)[:, None]
-        return pools, places, x
+        return pools, places, x, ends
 
     def pools(self, data: bytes) -> np.ndarray:
         """The pools of maxima() alone, with what two neighbouring bytes add looked up at once."""
         if self.pairs is None:
             self.pairs = [(self.table[j][None, :] + self.table[j + 1][:, None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
-        x, n = self.padded(data)
+        x, ends, n = self.padded(data)
         pair = x[:-1] + (x[1:].astype(np.intp) << 8)
         pools = np.empty((n, FILTERS), np.float32)
         for k in range(0, n, 8):
@@ -71,6 +93,8 @@ class Network:
             r = self.pairs[0].take(part[: m * STEP], axis=0, mode="clip")
             for j in range(1, WIDTH // 2):
                 r += self.pairs[j].take(part[2 * j : 2 * j + m * STEP], axis=0, mode="clip")
+            if (here := ends[k * STEP : (k + m) * STEP]).any():
+                r += here[:, None] * self.echo
             r, half = r.reshape(m, STEP, FILTERS), STEP // 2
             while half:
                 r, half = np.maximum(r[:, :half], r[:, half:]), half // 2
@@ -90,22 +114,24 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
     """Adam on the log loss, batches drawn evenly from both labels and corrected to their shares. One label, or none,
     gives a network that always answers its share of label 1 (none: a half)."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
+    net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 1, FILTERS).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
+    net.table[:, :, 0] *= 0.1  # the first filter starts as one for echoes, and as a sign of label 0
+    net.echo[0], net.weights[[0, FILTERS]] = 3.0, -1.0
     ones, zeros = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(ones) or not len(zeros):
         net.weights[:] = 0
         net.offset = 0.0 if len(ones) == len(zeros) else 6.0 if len(ones) else -6.0
         return net
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.table, net.bias, net.weights, np.zeros(1))]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.table, net.bias, net.weights, np.zeros(1), net.echo)]
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(ones, BATCH // 2), rng.choice(zeros, BATCH // 2)])
-        grads = [np.zeros_like(net.table), np.zeros_like(net.bias), np.zeros_like(net.weights), np.zeros(1)]
+        grads = [np.zeros_like(net.table), np.zeros_like(net.bias), np.zeros_like(net.weights), np.zeros(1), np.zeros_like(net.echo)]
         for i in chosen:
             text = texts[i]
             if labels[i] == 1 and rng.random() < 0.25 and text:  # a piece of a good text is good, however short
                 start = rng.integers(0, len(text))
                 text = text[start : start + int(10 ** rng.uniform(0.5, 3))]
-            pools, places, x = net.maxima(text)
+            pools, places, x, ends = net.maxima(text)
             p, active = net.combine(pools)
             d = (p - labels[i]) / BATCH
             n, top = len(active), active.argmax(axis=0)
@@ -115,10 +141,11 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
             back[top, np.arange(FILTERS)] += d * net.weights[FILTERS:]
             back *= active > 0
             grads[1] += back.sum(axis=0)
+            grads[4] += (back * ends[places]).sum(axis=0)
             for j in range(WIDTH):
                 np.add.at(grads[0][j], (x[places + j], np.arange(FILTERS)[None, :]), back)
         offset = np.array([net.offset])
-        for p, g, (m, v) in zip((net.table, net.bias, net.weights, offset), grads, state, strict=True):
+        for p, g, (m, v) in zip((net.table, net.bias, net.weights, offset, net.echo), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
