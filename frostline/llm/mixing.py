@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import nonnull_text, stage_table
 
-BUCKETS = 4096
+BUCKETS, TOP_UPS = 4096, 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,7 +82,8 @@ def _with(rows: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def sampling_plan(slim: DataFrame, tilt: float = 0.5, seed: str = "mix:") -> DataFrame:
-    """One row per source: targets() and where the Pareto order is cut; slim has source, size, ident."""
+    """One row per source: targets(), where the Pareto order is cut, and the documents that top it up; slim has source,
+    size, ident."""
     by = stage_table(targets(slim))
     longs = _with(slim, by).withColumn("long", _long()).groupBy("source").agg(F.sum(F.col("size") * F.col("long")).alias("long_size"))
     by = stage_table(_with(by, longs))
@@ -99,11 +100,30 @@ def sampling_plan(slim: DataFrame, tilt: float = 0.5, seed: str = "mix:") -> Dat
         F.min(F.when(~inside, F.col("bucket"))).alias("edge"),
     )
     by = stage_table(_left_with(by, cut))
-    edge = _ranked(_with(slim, by), tilt, seed).where("bucket = edge")
+    edge = _ranked(_with(slim, by), tilt, seed).where("bucket = edge AND odds IS NOT NULL")
     run = F.sum("size").over(W.partitionBy("source").orderBy("odds", "ident", "size")) + F.col("full_size")
-    edge = edge.where("odds IS NOT NULL").withColumn("run", run).where(F.col("run").cast("double") - F.col("size").cast("double") / 2 <= F.col("left"))
-    last = edge.groupBy("source").agg(F.max(F.struct("odds", "ident", "size")).alias("last"))
-    return stage_table(_left_with(by, last))
+    edge = edge.withColumn("run", run).where(F.col("run").cast("double") <= F.col("left"))
+    last = edge.groupBy("source").agg(F.max(_place()).alias("last"), F.max("run").alias("last_size"))
+    by = _left_with(by, last).withColumn("gap", F.col("left") - F.coalesce("last_size", "full_size", F.lit(0)).cast("double"))
+    by = by.drop("last_size").withColumn("tops", F.array().cast("array<struct<odds:double,ident:string,size:bigint>>"))
+    for _ in range(TOP_UPS):
+        by = stage_table(by)
+        miss = F.abs(F.col("gap") - F.col("size").cast("double"))
+        rest = _ranked(_with(slim, by), tilt, seed).where(F.col("odds").isNotNull() & ~_in_order() & (miss < F.col("gap")))
+        best = rest.groupBy("source").agg(F.min_by(_place(), F.struct(miss, "odds", "ident", "size")).alias("top"))
+        by = _left_with(by, best).withColumn("gap", F.col("gap") - F.coalesce("top.size", F.lit(0)).cast("double"))
+        by = by.withColumn("tops", F.when(F.col("top").isNull(), F.col("tops")).otherwise(F.array_append("tops", F.col("top")))).drop("top")
+    return stage_table(by)
+
+
+def _place() -> Column:
+    return F.struct("odds", "ident", "size")
+
+
+def _in_order() -> Column:
+    """Whether a row with odds comes before the cut or tops its source up."""
+    at_edge = F.col("bucket").eqNullSafe(F.col("edge")) & F.col("last").isNotNull() & (_place() <= F.col("last"))
+    return (F.col("bucket") <= F.col("full")) | F.coalesce(at_edge, F.lit(False)) | F.array_contains("tops", _place())
 
 
 def _left_with(by: DataFrame, more: DataFrame) -> DataFrame:
@@ -114,8 +134,9 @@ def _left_with(by: DataFrame, more: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tilt: float = 0.5, seed: str = "mix:", slim: DataFrame | None = None) -> DataFrame:
     """docs with _size, _source_size, _target and _copies (0 to 2: how often the mix takes the document).
 
-    Size is the number of words; null and empty texts have none. Each source's words taken differ from its target by
-    at most half the document at the cut. Draws depend on id and seed only, so reruns agree; rows that share id, source
+    Size is the number of words; null and empty texts have none. The order is cut before the first document that would
+    exceed the target; of those behind the cut, the one whose size is nearest to what is missing is taken too if that
+    comes nearer, TOP_UPS times at most. Draws depend on id and seed only, so reruns agree; rows that share id, source
     and size are taken alike. A null source is a source, the last. An empty table gives no rows.
     """
     parts = {"size": n_words(F.col(text_col)), "source": F.col(source_col), "ident": F.coalesce(F.col(id_col).cast("string"), F.lit("null"))}
@@ -124,14 +145,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = sampling_plan(slim, tilt, seed)
     base = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(n) for n, c in parts.items()))
     rows = _ranked(_with(base, by), tilt, seed)
-    place, last = F.struct("odds", "ident", "size"), F.col("last")
-    taken = F.col("odds").isNotNull() & ((F.col("bucket") <= F.col("full")) | (F.col("bucket").eqNullSafe(F.col("edge")) & last.isNotNull() & (place <= last)))
+    taken = F.col("odds").isNotNull() & _in_order()
     copies = F.col("certain") + F.coalesce(taken, F.lit(False)).cast("long")
     return rows.select("_row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies"))
 
 
 #: The mix of documents in DuckDB's SQL, without histograms: the same sums, odds and rule at the cut.
-ORACLE = r"""
+ORACLE = (
+    r"""
 WITH RECURSIVE slim AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident FROM documents),
@@ -157,8 +178,18 @@ ex AS (SELECT *, rate + CAST(0.5 AS DOUBLE) * least(rate, CAST(2.0 AS DOUBLE) -
          (CAST(CAST('0x' || substr(md5('mix:' || ident), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM rated),
 od AS (SELECT *, CAST(floor(e) AS BIGINT) AS certain, CASE WHEN e - floor(e) > 0 THEN (u / (1.0::DOUBLE - u)) / ((e - floor(e)) / (1.0::DOUBLE - (e - floor(e)))) END AS odds FROM ex),
 cut AS (SELECT *, target - CAST(sum(size * certain) OVER (PARTITION BY source) AS DOUBLE) AS lft,
-          sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, ident, size) AS upto FROM od)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (certain + CASE WHEN odds IS NOT NULL AND CAST(upto AS DOUBLE) - CAST(size AS DOUBLE) / 2 <= lft THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM cut
+          sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, ident, size) AS upto FROM od),
+pre AS (SELECT *, odds IS NOT NULL AND CAST(upto AS DOUBLE) <= lft AS inside FROM cut),
+gaps0 AS (SELECT *, lft - CAST(coalesce(max(CASE WHEN inside THEN upto END) OVER (PARTITION BY source), 0) AS DOUBLE) AS gap FROM pre)"""
+    + "".join(
+        f""",
+fit{i} AS (SELECT *, odds IS NOT NULL AND NOT inside AND abs(gap - CAST(size AS DOUBLE)) < gap AS fits FROM gaps{i}),
+top{i} AS (SELECT *, fits AND rank() OVER (PARTITION BY source, fits ORDER BY abs(gap - CAST(size AS DOUBLE)), odds, ident, size) = 1 AS top FROM fit{i}),
+gaps{i + 1} AS (SELECT * EXCLUDE (inside, gap, fits, top), inside OR top AS inside, gap - CAST(coalesce(max(CASE WHEN top THEN size END) OVER (PARTITION BY source), 0) AS DOUBLE) AS gap FROM top{i})"""
+        for i in range(TOP_UPS)
+    )
+    + f"""
+SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN inside THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM gaps{TOP_UPS}
 """
+)
