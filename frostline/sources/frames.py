@@ -98,3 +98,18 @@ def images_of(samples: DataFrame, images: DataFrame, first: str = "before", seco
     a = images.select(F.col("path").alias(first), F.col("content").alias("first_data"))
     b = images.select(F.col("path").alias(second), F.col("content").alias("second_data"))
     return samples.join(a, first).join(b, second)
+
+
+def frame_rate(average: Column, nominal: Column) -> Column:
+    """The first rate that a file tells, or else 60."""
+    return F.coalesce(F.when(average > 0, average), F.when(nominal > 0, nominal), F.lit(FRAMERATE))
+
+
+def frame_index(pts: Column, time_base: Column, rate: Column) -> Column:
+    """The frame that a time stamp belongs to; halves go to the even number."""
+    return F.greatest(F.lit(0), F.rint(pts * time_base * rate)).cast("long")
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Log lines (video_id, step, line) as text, in order within each video."""
+    lines.repartition("video_id").sortWithinPartitions("video_id", "step").select("line").write.mode("overwrite").text(path)

@@ -140,3 +140,28 @@ def test_variations(spark):
 def test_losses(spark):
     r = spark.range(1).select(L.smooth_l1(F.lit(1.0), F.lit(1.5)).alias("near"), L.smooth_l1(F.lit(1.0), F.lit(3.0)).alias("far"), L.motion_target(F.lit(0.0), F.lit(3.0), F.lit(4.0)).alias("still"), L.motion_target(F.lit(1.0), F.lit(3.0), F.lit(4.0)).alias("moving"), L.denormalised(F.lit(-9.0), F.lit(1.0), F.lit(2.0)).alias("relu")).first()
     assert r.near == pytest.approx(0.125 / 0.65) and r.far == pytest.approx(2 - 0.325) and r.still == 0 and r.moving == pytest.approx(1.8) and r.relu == 0
+
+
+def test_features_of_frames(spark):
+    from frostline.operators import features
+
+    rng = np.random.default_rng(0)
+    picture = rng.integers(0, 256, (140, 210, 3), dtype=np.uint8)
+    darker = (picture * 0.98).astype(np.uint8)
+    rows = [(1, i, i / 60, 210, 140, bytearray(x.tobytes())) for i, x in enumerate((picture, darker, picture[:, ::-1]))]
+    frames = spark.createDataFrame(rows, "video_id long, frame_num long, ts_s double, width int, height int, data binary")
+    got = features.frame_features(frames).orderBy("frame_num").collect()
+    assert got[0].hash_width == 3 and len(got[0].hash) == 3 * 2 and len(got[0].thumb) == 320 * 180
+    assert got[0].hash == got[1].hash and got[0].hash != got[2].hash
+    flat = np.full((90, 160), 77, np.uint8)
+    assert (features.resize(flat, 320, 180) == 77).all() and (features.resize(flat, 7, 3) == 77).all()
+    ramp = np.tile(np.arange(0, 250, 10, dtype=np.uint8), (5, 1))
+    assert features.gradient_hash(ramp, 5, 2).all() and not features.gradient_hash(ramp[:, ::-1], 5, 2).any()
+    assert features.luma(bytes([255, 255, 255, 10, 20, 30]), 2, 1).tolist() == [[255, (770 + 3000 + 870) >> 8]]
+
+
+def test_rates_and_log(spark, tmp_path):
+    r = spark.range(1).select(S.frame_rate(F.lit(0.0), F.lit(None).cast("double")).alias("a"), S.frame_rate(F.lit(0.0), F.lit(25.0)).alias("b"), S.frame_index(F.lit(5), F.lit(0.5), F.lit(1.0)).alias("c"), S.frame_index(F.lit(-5), F.lit(0.5), F.lit(1.0)).alias("d")).first()
+    assert tuple(r) == (60.0, 25.0, 2, 0)
+    S.write_log(spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "video_id long, step long, line string"), str(tmp_path / "log"))
+    assert [x.value for x in S.read_log(spark, str(tmp_path / "log")).collect()] == ["a", "b"]
