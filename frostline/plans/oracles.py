@@ -81,6 +81,8 @@ ORACLES: dict[str, str] = {
     "matcher_chains": f"WITH RECURSIVE {STEPS} SELECT video_id, chain_i, array_to_string(range(frame_num - len, frame_num), ',') AS frames, frame_num AS end_frame, state, n_additional, round(chain_motion, 6) AS chain_motion FROM steps WHERE outcome = 'Ok'",
     "matcher_outcomes": f"WITH RECURSIVE {STEPS} SELECT video_id, step, frame_num, len, state, outcome, round(chain_motion, 6) AS chain_motion FROM steps",
     "matcher_duplicates": f"WITH RECURSIVE {STEPS} SELECT DISTINCT video_id, frame_num FROM steps WHERE outcome = 'FailDuplicate'",
+    "stream_matcher_outcomes": f"WITH RECURSIVE {STEPS} SELECT video_id, step, frame_num, len, state, outcome, round(chain_motion, 6) AS chain_motion FROM steps",
+    "stream_release_order": f"WITH {CHAINS} SELECT video_id, chain_i, 'chain_' || chain_i AS out FROM chains",
     "interpolation_jobs": f"WITH {CHAINS}, j AS (SELECT *, unnest(range(1, len(frames))) AS k FROM chains) SELECT video_id, chain_i, CAST(k AS INTEGER) AS i, CAST(frames[1] AS VARCHAR) AS in0, CAST(end_frame AS VARCHAR) AS in1, printf('chain_%d/%03d.png', chain_i, k) AS out, round(k / CAST(len(frames) AS DOUBLE), 6) AS s, k = len(frames) - 1 AS is_last FROM j",
     "job_release_order": f"WITH {CHAINS}, d AS (SELECT video_id, chain_i, CAST('0x' || substr(md5(video_id || ':' || chain_i), 1, 6) AS BIGINT) AS done_at FROM chains) SELECT *, max(done_at) OVER (PARTITION BY video_id ORDER BY chain_i) AS released_at FROM d",
     "patch_ranges": f"WITH {CHAINS} SELECT video_id, chain_i, frames[2] AS start, frames[-1] - frames[2] + 1 AS length, array_to_string(list_transform(range(1, len(frames)), lambda i: printf('chain_%d/%03d.png', chain_i, i)), ',') AS imgs FROM chains",
