@@ -18,6 +18,7 @@ from ..streaming import matching
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 GATE, BITS = 0.45, 63
+STATE_PARTITIONS = 8  # for the few videos of the test tables
 
 
 def _query(f: Query) -> Query:
@@ -152,7 +153,7 @@ def stream_matcher_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matcher over scores that come in four batches, none of which has a video's frames in order."""
     _stateful(spark)
     scores = _scores(spark, sf_dir).repartition(4, "frame_num")
-    steps = run_stream(matching.match_stream(as_stream(scores)))
+    steps = run_stream(matching.match_stream(as_stream(scores)), STATE_PARTITIONS)
     return steps.select("video_id", "step", "frame_num", "len", "state", "outcome", F.round("chain_motion", 6).alias("chain_motion"))
 
 
@@ -161,7 +162,7 @@ def stream_release_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions out of order, released in order."""
     _stateful(spark)
     done = _chains(spark, sf_dir).select("video_id", "chain_i", F.format_string("chain_%d", "chain_i").alias("out"))
-    return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))))
+    return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))), STATE_PARTITIONS)
 
 
 @_query

@@ -43,10 +43,18 @@ def as_stream(df: DataFrame, files_per_batch: int = 1) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_stream(stream: DataFrame) -> DataFrame:
-    """What a stream has put out once it has gone through all there is."""
+def run_stream(stream: DataFrame, partitions: int | None = None) -> DataFrame:
+    """What a stream has put out once it has gone through all there is.
+
+    Its state is dealt over the given number of partitions, or else as many as shuffles have; a stream keeps that number
+    for good, whatever the session says later.
+    """
     spark = stream.sparkSession
-    out = shared_path(spark)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    out, before = shared_path(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions or before)
+    try:
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(stream.schema).parquet(out)
