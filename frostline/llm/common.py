@@ -1,39 +1,14 @@
-"""What the operators of this subpackage share: staged tables, Arrow columns and connected components."""
+"""What the operators of this subpackage share: Arrow columns, row keys and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="frostline-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def stage_table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again.
-
-    Lineage ends there: a lost executor costs the tasks it ran, not the steps before. The files are removed when
-    the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frostline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.staging import stage_table
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

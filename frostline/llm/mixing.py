@@ -59,8 +59,8 @@ def _expected(tilt: float) -> dict[str, Column]:
 
 def _long() -> Column:
     """0 to 1023: how a document's size compares with its source's mean."""
-    mean = F.expr("source_size div greatest(source_rows, 1)")
-    return F.when(F.col("size") + mean > 0, F.expr("(1024 * size) div (size + source_size div greatest(source_rows, 1))")).otherwise(F.lit(0)).cast("long")
+    mean = "(source_size div greatest(source_rows, 1))"
+    return F.expr(f"if(size + {mean} > 0, (1024 * size) div (size + {mean}), 0)").cast("long")
 
 
 def _ranked(rows: DataFrame, tilt: float, seed: str) -> DataFrame:
@@ -143,7 +143,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if slim is None:
         slim = stage_table(docs.select(*(c.alias(n) for n, c in parts.items())))
     by = sampling_plan(slim, tilt, seed)
-    base = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(n) for n, c in parts.items()))
+    own = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies")]  # these are replaced
+    base = docs.select(F.struct(*own).alias("_row"), *(c.alias(n) for n, c in parts.items()))
     rows = _ranked(_with(base, by), tilt, seed)
     taken = F.col("odds").isNotNull() & _in_order()
     copies = F.col("certain") + F.coalesce(taken, F.lit(False)).cast("long")

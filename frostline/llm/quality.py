@@ -176,7 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column score from 0 to 1, higher where label 1 is likelier, of each whole text (null: empty)."""
+    """docs with a column score from 0 to 1, higher where label 1 is likelier, of each whole text (null: empty); it
+    replaces a column of that name."""
+    docs = docs.drop(name)
     schema = StructType([*docs.schema, StructField(name, DoubleType())])
     names = docs.columns
 

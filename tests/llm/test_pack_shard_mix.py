@@ -178,4 +178,5 @@ def test_mix_cases(spark, docs):
     for s in size:
         assert abs(taken[s] - target[s]) <= 25
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    assert mixing.mix_sources(mixing.mix_sources(docs)).columns == [*docs.columns, "_size", "_source_size", "_target", "_copies"]
     mixing.mix_sources(docs).collect()
