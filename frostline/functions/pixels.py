@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def magnitude(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def direction(x: Column, y: Column) -> Column:
+    """The angle of a vector, from 0 to 2 pi."""
+    return F.pmod(F.atan2(y, x), F.lit(2 * math.pi))
+
+
+def to_full_range(values: Column) -> Column:
+    """An array stretched to 0 .. 255; all zeros if its values are equal."""
+    low, high = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda v: F.when(high > low, (v - low) / (high - low) * 255).otherwise(0.0))
+
+
 def above_floor(mean: Column, least: float = 0.2) -> Column:
     """How far a magnitude exceeds a floor, 0 below it."""
     return F.greatest(mean, F.lit(least)) - least

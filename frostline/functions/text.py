@@ -52,3 +52,18 @@ def milli(x: Column) -> Column:
     """A number that isn't negative, cut to three digits after the point."""
     n = F.floor(F.round(x, 6) * 1000).cast("long")
     return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
+def parent(path: Column) -> Column:
+    """A path without its last part."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def with_extension(path: Column, extension: str) -> Column:
+    """A path with another extension; one is added where there is none."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(f".{extension}"))
+
+
+def denied(args: Column, deny: list[str]) -> Column:
+    """Whether any of an array of arguments is one that must not be given."""
+    return F.arrays_overlap(args, F.array(*map(F.lit, deny)))

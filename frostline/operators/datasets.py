@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.pixels import above_floor, magnitude
+
 
 def order_key(*parts: Column, seed: int) -> Column:
     """A random order that depends on the parts and the seed only, in any engine."""
@@ -73,6 +75,14 @@ def train_validation(rows: DataFrame, key: str, share: float = 0.25, seed: int =
     return out.withColumn("is_validation", F.coalesce(inside, F.lit(False))).select(*rows.columns, "is_validation")
 
 
+def flow_means(flow: DataFrame, *keys: str) -> DataFrame:
+    """avg_flow_x, avg_flow_y and motion of flow vectors (x, y) by keys: motion is the mean magnitude above a floor of
+    0.2, less a ten-thousandth."""
+    above = above_floor(magnitude(F.col("x"), F.col("y")))
+    out = flow.groupBy(*keys).agg(F.avg("x").alias("avg_flow_x"), F.avg("y").alias("avg_flow_y"), F.avg(above).alias("m"))
+    return out.select(*keys, "avg_flow_x", "avg_flow_y", (F.greatest("m", F.lit(1e-4)) - 1e-4).alias("motion"))
+
+
 def segment_plan(videos: DataFrame, duration: float, most: int, every: float) -> DataFrame:
     """Evenly spaced segments of each video that is long enough; videos has video_id and duration_s."""
     n = F.least(F.lit(most), (F.floor((F.col("duration_s") - duration) / every) + 1).cast("int"))

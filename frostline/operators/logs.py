@@ -49,10 +49,11 @@ def parse_log(lines: DataFrame) -> DataFrame:
 def painted_ranges(parsed: DataFrame) -> DataFrame:
     """Half-open ranges (video_id, start, end, color). Frames added for motion have a range of their own, whose last
     frame stays out."""
-    whole = parsed.where("kind <> 'duplicate'").select("video_id", "start", F.col("end").alias("stop"), F.col("kind").alias("color"))
-    one = parsed.where("kind = 'duplicate'").select("video_id", F.col("frame").alias("start"), (F.col("frame") + 1).alias("stop"), F.col("kind").alias("color"))
-    more = parsed.where("n_additional IS NOT NULL").select("video_id", (F.col("end") - F.col("n_additional") + 1).alias("start"), F.col("end").alias("stop"), F.lit("compensated").alias("color"))
-    return whole.unionAll(one).unionAll(more).where("start < stop")
+    rng = lambda start, stop, color: F.struct(start.alias("start"), stop.alias("stop"), color.alias("color"))
+    frame, end = F.col("frame"), F.col("end")
+    own = F.when(F.col("kind") == "duplicate", rng(frame, frame + 1, F.col("kind"))).otherwise(rng(F.col("start"), end, F.col("kind")))
+    more = F.when(F.col("n_additional").isNotNull(), rng(end - F.col("n_additional") + 1, end, F.lit("compensated")))
+    return parsed.select("video_id", F.inline(F.array(own, more))).where("start < stop")
 
 
 def painted_frames(ranges: DataFrame) -> DataFrame:

@@ -61,6 +61,17 @@ def similar_frames(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return found.select("frame_num").unionAll(head.select((F.col("m.frame_num") - 1).alias("frame_num")))
 
 
+def select_frames(frames: DataFrame, targets: DataFrame) -> DataFrame:
+    """The frames whose (video_id, frame_num) is among the targets, in whatever order those come; each once."""
+    return frames.join(targets.select("video_id", "frame_num"), ["video_id", "frame_num"], "left_semi")
+
+
+def history(frames: DataFrame, most: int) -> DataFrame:
+    """Each frame with those before it, oldest first, at most so many."""
+    before = by_frame().rowsBetween(-most, -1)
+    return frames.withColumn("before", F.collect_list("frame_num").over(before))
+
+
 def ema_final(values: DataFrame, alpha: float) -> DataFrame:
     """Each video's exponential moving average after its last frame, as a weighted sum: nothing is gathered."""
     rows = values.withColumn("n", F.count("*").over(W.partitionBy("video_id")))

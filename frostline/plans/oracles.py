@@ -76,6 +76,10 @@ ORACLES: dict[str, str] = {
     "gated_distinct": f"WITH {PAIRS} SELECT frame_num, round(CASE WHEN distance < 0.45 THEN 1 / (1 + exp(-(8 * motion - 1))) ELSE 1 END, 6) AS distinct_conf FROM pairs",
     "sigmoid_scores": f"WITH {THUMBS} SELECT frame_num, round(1 / (1 + exp(-list_sum(t))), 6) AS score FROM thumbs",
     "extract_similar": f"WITH {PAIRS} SELECT frame_num FROM pairs WHERE distance >= 0.25 AND distance < 0.45 UNION ALL SELECT min(frame_num) - 1 FROM pairs HAVING arg_min(distance, frame_num) >= 0.25 AND arg_min(distance, frame_num) < 0.45",
+    "select_frames": f"WITH RECURSIVE {LAGS}, t AS (SELECT video_id, min(start) AS s FROM lags GROUP BY video_id) SELECT f.video_id, f.frame_num, f.value FROM frames f JOIN t ON t.video_id = f.video_id AND f.frame_num IN (t.s, t.s - 1)",
+    "frame_history": f"WITH {FRAMES} SELECT b.video_id, b.frame_num, coalesce(string_agg(CAST(a.frame_num AS VARCHAR), ',' ORDER BY a.frame_num), '') AS before FROM frames b LEFT JOIN frames a ON a.video_id = b.video_id AND a.frame_num BETWEEN b.frame_num - 5 AND b.frame_num - 1 GROUP BY b.video_id, b.frame_num",
+    "flow_means": "WITH f AS (SELECT l_linenumber, l_discount * 5 - l_tax * 3 AS x, l_quantity / 50 - l_tax AS y FROM lineitem), m AS (SELECT l_linenumber, avg(x) AS a, avg(y) AS b, avg(greatest(sqrt(x * x + y * y), 0.2) - 0.2) AS m FROM f GROUP BY l_linenumber) SELECT l_linenumber, round(a, 6) AS avg_flow_x, round(b, 6) AS avg_flow_y, round(greatest(m, 0.0001) - 0.0001, 6) AS motion FROM m",
+    "full_range": f"WITH {THUMBS} SELECT frame_num, array_to_string(list_transform(t, lambda v: CAST(floor((v - list_min(t)) / (list_max(t) - list_min(t)) * 255) AS BIGINT)), ',') AS bytes, round(CASE WHEN atan2(t[2], t[1]) < 0 THEN atan2(t[2], t[1]) + 2 * pi() ELSE atan2(t[2], t[1]) END, 6) AS direction FROM thumbs",
     "ema_final": f"WITH RECURSIVE {FRAMES}, e AS (SELECT video_id, frame_num, value AS ema FROM frames WHERE frame_num = 0 UNION ALL SELECT f.video_id, f.frame_num, f.value / 7 + (1 - 1 / CAST(7 AS DOUBLE)) * e.ema FROM e JOIN frames f ON f.video_id = e.video_id AND f.frame_num = e.frame_num + 1) SELECT video_id, round(arg_max(ema, frame_num), 6) AS ema FROM e GROUP BY video_id",
     "ema_running": f"WITH RECURSIVE {FRAMES}, e AS (SELECT video_id, frame_num, value AS ema FROM frames WHERE frame_num = 0 UNION ALL SELECT f.video_id, f.frame_num, f.value / 3 + (1 - 1 / CAST(3 AS DOUBLE)) * e.ema FROM e JOIN frames f ON f.video_id = e.video_id AND f.frame_num = e.frame_num + 1) SELECT video_id, frame_num, round(ema, 6) AS ema FROM e",
     "matcher_chains": f"WITH RECURSIVE {STEPS} SELECT video_id, chain_i, array_to_string(range(frame_num - len, frame_num), ',') AS frames, frame_num AS end_frame, state, n_additional, round(chain_motion, 6) AS chain_motion FROM steps WHERE outcome = 'Ok'",

@@ -117,6 +117,34 @@ def extract_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.similar_frames(_pairs(spark, sf_dir), 0.25, 0.45)
 
 
+@_query
+def select_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that the first freeze of each video shows and the one after it."""
+    lags = _lags(spark, sf_dir).groupBy("video_id").agg(F.min("start").alias("start"))
+    targets = lags.select("video_id", F.explode(F.array(F.col("start"), F.col("start") - 1, F.col("start"))).alias("frame_num"))
+    return sequences.select_frames(_frames(spark, sf_dir), targets).select("video_id", "frame_num", "value")
+
+
+@_query
+def frame_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.history(_frames(spark, sf_dir), 5).select("video_id", "frame_num", _joined("before"))
+
+
+@_query
+def flow_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = _read(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_discount") * 5 - F.col("l_tax") * 3).alias("x"), (F.col("l_quantity") / 50 - F.col("l_tax")).alias("y"))
+    out = datasets.flow_means(flow, "l_linenumber")
+    return out.select("l_linenumber", *(F.round(c, 6).alias(c) for c in ("avg_flow_x", "avg_flow_y", "motion")))
+
+
+@_query
+def full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thumbs = S.thumbnails(_read(spark, sf_dir, "embeddings"))
+    stretched = P.to_full_range(F.col("thumb"))
+    turn = P.direction(F.col("thumb")[0], F.col("thumb")[1])
+    return thumbs.select("frame_num", F.array_join(F.transform(stretched, lambda x: F.floor(x).cast("string")), ",").alias("bytes"), F.round(turn, 6).alias("direction"))
+
+
 @_query
 def ema_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.ema_final(_frames(spark, sf_dir), 1 / 7).withColumn("ema", F.round("ema", 6))
