@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import append_columns, batches, nonnull_text, utf8
 
 BUCKETS, DIM, SIZES = 1 << 14, 16, (2, 3, 4)
-SAMPLE = 800  # documents of each language that are learned from, about
+SAMPLE, MOST_LANGUAGES = 800, 1000  # documents of each language that are learned from, about; the most frequent ones
 EPOCHS, RATE, SEED = 4, 0.6, 11
 FOLDS, HELD = 4, 2
 PART = 1 << 15
@@ -121,10 +121,11 @@ def fold(id_column: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from rows with a language outside the held-out fold, about sample of each language, chosen by hash."""
+    """A model from rows with a language outside the held-out fold, about sample of each of the MOST_LANGUAGES most
+    frequent languages, chosen by hash."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & (F.col("_id").isNull() | (fold(F.col("_id")) != HELD)))
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return train([], [])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], int(1_000_000 * min(1, sample / r["n"])))))
