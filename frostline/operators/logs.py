@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.order import running_max
 
 #: Colours of a timeline and their ranks where ranges overlap (fixed values).
 PRIORITY = {"skipped": 1, "duplicate": 2, "chain": 3, "compensated": 4}
@@ -65,10 +65,10 @@ def painted_frames(ranges: DataFrame) -> DataFrame:
 
 def color_ranges(painted: DataFrame) -> DataFrame:
     """Runs of frames of one colour as half-open ranges."""
-    w = W.partitionBy("video_id", "color").orderBy("frame_num")
-    rows = painted.withColumn("run", F.col("frame_num") - F.row_number().over(w))
-    out = rows.groupBy("video_id", "color", "run").agg(F.min("frame_num").alias("start"), (F.max("frame_num") + 1).alias("stop"))
-    return out.drop("run")
+    before = painted.select("video_id", (F.col("frame_num") + 1).alias("frame_num"), "color", F.lit(True).alias("goes_on"))
+    rows = painted.join(before, ["video_id", "frame_num", "color"], "left")
+    rows = running_max(rows, "video_id", "frame_num", F.when(F.col("goes_on").isNull(), F.col("frame_num")), "start")
+    return rows.groupBy("video_id", "color", "start").agg((F.max("frame_num") + 1).alias("stop"))
 
 
 def clip_ranges(ranges: DataFrame, center: int, fps: float, total: int, seconds: int = 6) -> DataFrame:

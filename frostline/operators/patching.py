@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.order import running_max
+
 
 def interpolation_jobs(chains: DataFrame) -> DataFrame:
     """One row per in-between of a chain: n of them between its first and end frame, at i / (n + 1)."""
@@ -30,8 +32,7 @@ def completed(jobs: DataFrame, completions: DataFrame) -> DataFrame:
 
 def release_order(done: DataFrame) -> DataFrame:
     """When each job may be released: once it and all before it in its video are done."""
-    w = W.partitionBy("video_id").orderBy("chain_i").rowsBetween(W.unboundedPreceding, 0)
-    return done.withColumn("released_at", F.max("done_at").over(w))
+    return running_max(done, "video_id", "chain_i", F.col("done_at"), "released_at")
 
 
 def patch_ranges(chains: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..params import REPAIR, MatcherParams
 from ..sources.frames import by_frame, finite
+from ..sources.order import numbered, running_max
 
 
 def duplicate_frames(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
@@ -26,26 +27,28 @@ def simple_chains(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFram
     video, is left out. The chain's motion includes that of the frame that ends it.
     """
     dup = F.coalesce(1 - F.col("distinct_conf") >= params.min_duplicate_confidence, F.lit(False))
-    rows = scores.withColumn("dup", dup).withColumn("island", F.sum(F.when(F.col("dup"), 0).otherwise(1)).over(by_frame()))
-    ends = rows.where(~F.col("dup")).select("video_id", (F.col("island") - 1).alias("island"), F.col("frame_num").alias("end_frame"), F.coalesce("motion", F.lit(0.0)).alias("end_motion"))
-    # A run longer than the limit is never gathered: its rows are dropped by their place in it.
-    place = F.row_number().over(W.partitionBy("video_id", "island").orderBy("frame_num"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= params.max_duplicates + 2)
+    rows = scores.withColumn("dup", dup)
+    rows = running_max(rows, "video_id", "frame_num", F.when(~F.col("dup"), F.col("frame_num")), "since", to=-1)
+    ends = rows.where("NOT dup AND since IS NOT NULL").select("video_id", F.col("since").alias("island"), F.col("frame_num").alias("end_frame"), F.coalesce("motion", F.lit(0.0)).alias("end_motion"))
+    # An island is the frame that it starts with. What is past the limit is dropped before anything is gathered.
+    rows = rows.withColumn("island", F.when(F.col("dup"), F.col("since")).otherwise(F.col("frame_num")))
+    rows = rows.where(F.col("frame_num") - F.col("island") <= params.max_duplicates + 1)
     runs = rows.groupBy("video_id", "island").agg(
         F.sort_array(F.collect_list("frame_num")).alias("frames"), F.sort_array(F.collect_list("ts_s")).alias("timestamps"), F.sum(F.when(F.col("dup"), F.col("motion")).otherwise(0.0)).alias("run_motion")
     )
     size = F.size("frames") - 1
     runs = runs.where((size >= 1) & (size <= params.max_duplicates)).join(ends, ["video_id", "island"])
-    i = F.row_number().over(W.partitionBy("video_id").orderBy("island")) - 1
-    return runs.select("video_id", i.cast("long").alias("chain_i"), "frames", "timestamps", "end_frame", (F.col("run_motion") + F.col("end_motion")).alias("chain_motion"))
+    runs = numbered(runs, "video_id", "island", "chain_i")
+    return runs.select("video_id", "chain_i", "frames", "timestamps", "end_frame", (F.col("run_motion") + F.col("end_motion")).alias("chain_motion"))
 
 
 def lagged_pairs(frames: DataFrame) -> DataFrame:
-    """Each frame with the one two before it, then with the one before it, where there is one."""
-    f = frames.select("video_id", "frame_num", "value", F.lag("frame_num", 2).over(by_frame()).alias("f2"), F.lag("value", 2).over(by_frame()).alias("v2"), F.lag("frame_num").over(by_frame()).alias("f1"), F.lag("value").over(by_frame()).alias("v1"))
-    pair = lambda k: F.struct(F.lit(k).alias("lag"), F.col(f"f{k}").alias("before"), F.col(f"v{k}").alias("v"))
-    pairs = f.select("video_id", "frame_num", "value", F.explode(F.array(pair(2), pair(1))).alias("p"))
-    return pairs.where("p.before IS NOT NULL").select("video_id", "frame_num", F.col("p.lag").alias("lag"), F.col("p.before").alias("frame_before"), F.abs(F.col("value") - F.col("p.v")).alias("motion"))
+    """Each frame with the one two before it and the one before it, where there is one: a join on video and number,
+    which no long video makes uneven."""
+    later = frames.select("video_id", F.col("frame_num").alias("frame_before"), F.col("value").alias("v"), F.explode(F.array(F.lit(2), F.lit(1))).alias("lag"))
+    later = later.withColumn("frame_num", F.col("frame_before") + F.col("lag"))
+    pairs = frames.join(later, ["video_id", "frame_num"])
+    return pairs.select("video_id", "frame_num", "lag", "frame_before", F.abs(F.col("value") - F.col("v")).alias("motion"))
 
 
 def neighbours(thumbs: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def history(frames: DataFrame, most: int) -> DataFrame:
 
 def ema_final(values: DataFrame, alpha: float) -> DataFrame:
     """Each video's exponential moving average after its last frame, as a weighted sum: nothing is gathered."""
-    rows = values.withColumn("n", F.count("*").over(W.partitionBy("video_id")))
+    rows = values.join(values.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
     weight = F.pow(F.lit(1 - alpha), F.col("n") - 1 - F.col("frame_num")) * F.when(F.col("frame_num") == 0, 1.0).otherwise(alpha)
     return rows.groupBy("video_id").agg(F.sum(weight * F.col("value")).alias("ema"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .order import numbered
+
 FRAMERATE = 60.0
 
 
@@ -15,11 +17,15 @@ def by_frame() -> WindowSpec:
     return W.partitionBy("video_id").orderBy("frame_num")
 
 
+def _events(events: DataFrame) -> DataFrame:
+    rows = events.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value")
+    rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"))
+    return rows.withColumn("ts_s", F.col("frame_num") / F.lit(FRAMERATE))
+
+
 def event_frames(events: DataFrame) -> DataFrame:
     """Events as frames: a user is a video, its events in order are frames from 0, at 60 a second."""
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
-    frames = events.select(F.col("user_id").alias("video_id"), n.cast("long").alias("frame_num"), "event_type", "value")
-    return frames.withColumn("ts_s", F.col("frame_num") / F.lit(FRAMERATE))
+    return _events(events).select("video_id", "frame_num", "event_type", "value", "ts_s")
 
 
 def event_scores(events: DataFrame) -> DataFrame:
@@ -27,12 +33,9 @@ def event_scores(events: DataFrame) -> DataFrame:
 
     Two events of one type in a row are duplicates; motion is the change of the value.
     """
-    before = F.lag("event_type").over(by_frame())
-    frames = event_frames(events).withColumns({"_type": before, "_value": F.lag("value").over(by_frame())})
-    distinct = F.when(F.col("_type").isNotNull(), F.when(F.col("event_type") == F.col("_type"), 0.0).otherwise(1.0))
-    return frames.select(
-        "video_id", "frame_num", "ts_s", "value", distinct.alias("hash_distance"), (F.abs(F.col("value") - F.col("_value")) / 100).alias("motion"), distinct.alias("distinct_conf")
-    )
+    distinct = F.when(F.col("event_type_before").isNotNull(), F.when(F.col("event_type") == F.col("event_type_before"), 0.0).otherwise(1.0))
+    motion = F.abs(F.col("value") - F.col("value_before")) / 100
+    return _events(events).select("video_id", "frame_num", "ts_s", "value", distinct.alias("hash_distance"), motion.alias("motion"), distinct.alias("distinct_conf"))
 
 
 def thumbnails(embeddings: DataFrame) -> DataFrame:
