@@ -12,6 +12,7 @@ from ..functions import pixels as P
 from ..functions import text as T
 from ..operators import datasets, faults, logs, matcher, patching, scoring, sequences
 from ..sources import frames as S
+from ..sources.order import CHUNK
 from ..sources.staging import as_stream, run_stream
 from ..streaming import matching
 
@@ -31,7 +32,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.event_scores(_read(spark, sf_dir, "events"))
+    return S.event_scores(_read(spark, sf_dir, "events"), chunk=CHUNK)
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matcher.match_steps(_scores(spark, sf_dir))
+    return matcher.match_steps(S.event_scores(_read(spark, sf_dir, "events")))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .order import numbered
+from .order import CHUNK, numbered
 
 FRAMERATE = 60.0
 
@@ -17,25 +17,33 @@ def by_frame() -> WindowSpec:
     return W.partitionBy("video_id").orderBy("frame_num")
 
 
-def _events(events: DataFrame) -> DataFrame:
+def _events(events: DataFrame, chunk: int | None) -> DataFrame:
     rows = events.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value")
-    rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"))
+    if chunk:
+        rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"), chunk=chunk)
+    else:
+        w = W.partitionBy("video_id").orderBy("event_id")
+        rows = rows.withColumns({"frame_num": (F.row_number().over(w) - 1).cast("long"), "event_type_before": F.lag("event_type").over(w), "value_before": F.lag("value").over(w)})
     return rows.withColumn("ts_s", F.col("frame_num") / F.lit(FRAMERATE))
 
 
-def event_frames(events: DataFrame) -> DataFrame:
-    """Events as frames: a user is a video, its events in order are frames from 0, at 60 a second."""
-    return _events(events).select("video_id", "frame_num", "event_type", "value", "ts_s")
+def event_frames(events: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
+    """Events as frames: a user is a video, its events in order are frames from 0, at 60 a second.
+
+    They are numbered in chunks of event numbers, so that a large video is many tasks; without, in one pass by video.
+    """
+    return _events(events, chunk).select("video_id", "frame_num", "event_type", "value", "ts_s")
 
 
-def event_scores(events: DataFrame) -> DataFrame:
+def event_scores(events: DataFrame, chunk: int | None = None) -> DataFrame:
     """Pair scores of event frames with the frame before: hash_distance, motion, distinct_conf; null on the first.
 
-    Two events of one type in a row are duplicates; motion is the change of the value.
+    Two events of one type in a row are duplicates; motion is the change of the value. For the matcher, to which a
+    video is one task anyway, one pass by video moves rows least; elsewhere they are better made in chunks.
     """
     distinct = F.when(F.col("event_type_before").isNotNull(), F.when(F.col("event_type") == F.col("event_type_before"), 0.0).otherwise(1.0))
     motion = F.abs(F.col("value") - F.col("value_before")) / 100
-    return _events(events).select("video_id", "frame_num", "ts_s", "value", distinct.alias("hash_distance"), motion.alias("motion"), distinct.alias("distinct_conf"))
+    return _events(events, chunk).select("video_id", "frame_num", "ts_s", "value", distinct.alias("hash_distance"), motion.alias("motion"), distinct.alias("distinct_conf"))
 
 
 def thumbnails(embeddings: DataFrame) -> DataFrame:

@@ -33,3 +33,11 @@ def test_a_large_key_is_many_tasks(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\(key#\d+L, _chunk#\d+L", plan)
     assert out.where("place <> at").count() == 0
+
+
+def test_scores_in_chunks_and_by_video_agree(spark):
+    from frostline.sources.frames import event_scores
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    by_video, in_chunks = (sorted(map(str, event_scores(events, chunk=c).collect())) for c in (None, 7))
+    assert by_video == in_chunks
