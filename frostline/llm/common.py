@@ -23,6 +23,19 @@ def append_columns(batch: pa.RecordBatch, names: Iterable[str], new: dict[str, p
     return pa.RecordBatch.from_pydict(kept | new)
 
 
+#: Spark's own limits of an Arrow batch, and those for batches of whole texts, which stand in memory several times.
+_USUAL = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session makes smaller Arrow batches from now on, unless other limits than Spark's own were set."""
+    conf = df.sparkSession.conf
+    for key, (usual, small) in _USUAL.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, small)
+    return df
+
+
 def nonnull_text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 

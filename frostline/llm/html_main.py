@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches
+from .common import append_columns, batches, small_batches
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -211,7 +211,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     A page that is null, empty or has no main text gives an empty text. An empty table gives no rows; other columns
     don't matter.
     """
-    slim = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    slim = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_html"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

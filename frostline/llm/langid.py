@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, utf8
+from .common import append_columns, batches, nonnull_text, small_batches, utf8
 
 BUCKETS, DIM, SIZES = 1 << 14, 16, (2, 3, 4)
 SAMPLE, MOST_LANGUAGES = 800, 1000  # documents of each language that are learned from, about; the most frequent ones
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learn from every text is `und`. An empty table gives no rows; other columns don't matter.
     """
     model = learn(docs, id_col, text_col, lang_col)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1024):

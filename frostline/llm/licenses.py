@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, utf8
+from .common import append_columns, batches, nonnull_text, small_batches, utf8
 
 #: Phrases of the base labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield append_columns(batch, ["_id"], {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
-    slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     out = slim.mapInArrow(run, f"_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
     return out.withColumnRenamed("_id", id_col)

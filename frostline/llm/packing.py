@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, stage_table, utf8
+from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
 from .tokens import tokenizer
 
 CAPACITY = 2048
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     itself.
     """
     path = path or default_tokenizer()
-    slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _seen long, _task int"
     pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema))

@@ -18,27 +18,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import append_columns, batches, nonnull_text, utf8
+from .common import append_columns, batches, nonnull_text, small_batches, utf8
 
 WIDTH, FILTERS, STEP = 6, 16, 512  # a chunk is STEP + WIDTH - 1 bytes; STEP is a power of two, WIDTH even
-ECHO, LAGS = 12, range(2, 33)  # bytes that must repeat, and how far before they may stand
+ECHO, LAGS = 12, range(2, 33)  # bytes that must repeat, 8 to 16, and how far before they may stand
+PART = 1 << 16  # bytes looked at together for echoes
 SAMPLE = 1500  # most labelled documents of each label that are learned from
 STEPS, BATCH, RATE, SEED = 600, 24, 0.01, 7
 THRESHOLD, FOLDS = 0.3, 5
 
 
 def echoes(data: bytes) -> np.ndarray:
-    """Where the last ECHO bytes equal those some lag before them."""
-    x = np.frombuffer(data, np.uint8)
-    out = np.zeros(len(x), bool)
-    for lag in LAGS:
-        if len(x) < lag + ECHO:
-            break
-        run, size = x[lag:] == x[:-lag], 1
-        while size < ECHO:  # run[i]: the bytes from i on, so many, are equal
-            step = min(size, ECHO - size)
-            run, size = run[:-step] & run[step:], size + step
-        out[lag + ECHO - 1 :] |= run
+    """Where the last ECHO bytes equal those some lag before them; a long text in parts, with what they look back on."""
+    reach = LAGS[-1] + ECHO
+    if len(data) <= PART:
+        return _echoes(data)
+    return np.concatenate([_echoes(data[max(0, k - reach) : k + PART])[min(k, reach) :] for k in range(0, len(data), PART)])
+
+
+def _echoes(data: bytes) -> np.ndarray:
+    out = np.zeros(len(data), bool)
+    if len(data) < LAGS[0] + ECHO:
+        return out
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy()  # the eight bytes from each place on
+    # Of five equal words in a row one stands at a multiple of four: most texts have no echo, and this tells.
+    behind = np.concatenate([np.zeros(LAGS[-1], np.uint64), words])
+    here = words[::4]
+    if not (here[:, None] == np.lib.stride_tricks.as_strided(behind, (len(here), len(LAGS)), (32, 8))).any():
+        return out
+    for lag in LAGS[: max(0, len(data) - ECHO - LAGS[0] + 1)]:
+        same = words[lag:] == words[:-lag]
+        if same.any():
+            out[lag + ECHO - 1 :] |= same[: len(same) + 8 - ECHO] & same[ECHO - 8 :]
     return out
 
 
@@ -85,11 +96,11 @@ class Network:
         if self.pairs is None:
             self.pairs = [(self.table[j][None, :] + self.table[j + 1][:, None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
         x, ends, n = self.padded(data)
-        pair = x[:-1] + (x[1:].astype(np.intp) << 8)
         pools = np.empty((n, FILTERS), np.float32)
         for k in range(0, n, 8):
             m = min(8, n - k)
-            part = pair[k * STEP : (k + m) * STEP + WIDTH - 2]
+            part = x[k * STEP : (k + m) * STEP + WIDTH - 1]
+            part = part[:-1] + (part[1:].astype(np.intp) << 8)
             r = self.pairs[0].take(part[: m * STEP], axis=0, mode="clip")
             for j in range(1, WIDTH // 2):
                 r += self.pairs[j].take(part[2 * j : 2 * j + m * STEP], axis=0, mode="clip")
@@ -178,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column score from 0 to 1, higher where label 1 is likelier, of each whole text (null: empty); it
     replaces a column of that name."""
-    docs = docs.drop(name)
+    docs = small_batches(docs).drop(name)
     schema = StructType([*docs.schema, StructField(name, DoubleType())])
     names = docs.columns
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, component_firsts, nonnull_text, stage_table, utf8
+from .common import append_columns, batches, component_firsts, nonnull_text, small_batches, stage_table, utf8
 
 _QUARTER = [np.uint64(0xFFFF << 16 * q) for q in range(4)]
 
@@ -99,7 +99,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints are one node, so that a group of copies of any size is no pair. A null id counts after all others: a
     component of nulls only has a null component_id. An empty table gives no rows; other columns don't matter.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    slim = small_batches(docs).select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
     rows = stage_table(slim.mapInArrow(_fingerprints("_text", names, shingle), f"{schema}, fp long").withColumn("_rid", F.monotonically_increasing_id()))

@@ -24,7 +24,7 @@ _AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(
 
 
 class WordTokenizer:
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 150_000, pieces: int = 150_000) -> None:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
