@@ -2,7 +2,8 @@
 
 A page becomes a tree of its elements. Paragraphs give points for their length and commas to their ancestors, fewer to
 farther ones; an element's points are discounted by the share of its text that is links. The element with the most
-points and those of its siblings that read like it are kept. Menus, headers, footers, notices, forms, comments and the
+points is found, and the whole article or main element around it is kept; beside it, siblings with points and few
+links, and the headings over them. Menus, headers, footers, notices, forms, comments and the
 like never give or hold text; they are known by their tag, role, class or id.
 """
 
@@ -37,6 +38,7 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 _PARAGRAPH = frozenset("p pre td blockquote dd li figcaption".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't the article.
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners billboard breadcrumb breadcrumbs cc comment comments comms commentlist consent cookie cookies disqus disclaimer "
@@ -144,6 +146,16 @@ def _implied(tree: _Tree, now: int, tag: str) -> int:
     return now
 
 
+def _whole(tree: _Tree, best: int) -> int:
+    """The outermost article around an element, or else the outermost main element, or else the element itself."""
+    around = {}
+    node = best
+    while node > 0:
+        around[tree.tag[node]] = node
+        node = tree.parent[node]
+    return around.get("article") or around.get("main") or best
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in order, white space as one space; empty if there is none."""
     if not html:
@@ -189,15 +201,19 @@ def main_text(html: str | None) -> str:
     best = max((i for i in range(1, n) if not tree.out[i] and tree.tag[i] not in _INLINE), key=lambda i: (points[i], chars[i] - links[i], -i), default=0)
     if not best or not points[best]:
         best = next((i for i in range(1, n) if tree.tag[i] == "article" and chars[i]), None) or next((i for i in range(1, n) if tree.tag[i] == "body"), 0)
-    keep = [False] * n
-    floor = max(10, 0.2 * points[best])
-    for node in range(1, n):
+    best = _whole(tree, best)
+    keep, goes_on = [False] * n, False
+    for node in range(n - 1, 0, -1):
         if node == best:
-            keep[node] = True
+            keep[node] = goes_on = True
         elif tree.parent[node] == tree.parent[best] and tree.parent[best] > 0 and not tree.out[node]:
-            density = links[node] / max(chars[node], 1)
-            keep[node] = points[node] >= floor or tree.tag[node] in ("p", "blockquote") and density < 0.25 and (chars[node] > 80 or commas[node] > 0)
-            keep[node] = keep[node] or tree.tag[node] in ("h1", "h2") and node < best and density < 0.25
+            if links[node] >= 0.25 * max(chars[node], 1):
+                continue
+            if tree.tag[node] in _HEADING:
+                keep[node] = goes_on  # one that heads nothing that is kept stands over what isn't the article
+            else:
+                keep[node] = points[node] > 0 or tree.tag[node] in ("p", "blockquote") and (chars[node] > 80 or commas[node] > 0)
+                goes_on = goes_on or keep[node]
     if best == 0:
         keep[0] = True
     for node in range(1, n):

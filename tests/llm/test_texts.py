@@ -219,3 +219,18 @@ def test_page_cases(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>é</p>", "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_main.extract(df).collect()) == [("", 0)] * 3 + [("é", 1)]
     assert html_main.extract(df.limit(0)).count() == 0
+
+
+def test_sectioned_pages():
+    """No part of an article is lost for being short."""
+    p = lambda i, size=420: f"<p>{f'part{i} ' + 'word ' * (size // 5)}</p>"
+    first, second = "".join(p(i) for i in range(5)), p(5) + p(6)
+    nav = "<nav><a href=x>menu</a></nav><div class=related>see also</div>"
+    text = lambda html: " ".join(re.sub("<[^>]+>", " ", html).split())
+    short = "<h3>End</h3><ul><li>one</li><li>two</li></ul><section><p>Short.</p></section>"
+    for tag in ("article", "main"):
+        for body in (f"<section>{first}</section><section>{second}</section>", f"<section>{first}</section>{short}", f"<div><div>{first}</div></div><div><div>{second}</div></div>{short}"):
+            assert html_main.main_text(f"<html><body>{nav}<{tag}>{body}{nav}</{tag}><footer>foot</footer></body></html>") == text(body)
+    body = f"<div>{first}</div><h3>End</h3><div>{second}</div><ul><li>one of the items of a list</li></ul>"
+    links = "<h3>More</h3><ul><li><a href=x>one of the other pages</a></li></ul>"
+    assert html_main.main_text(f"<html><body><div>{body}{links}</div></body></html>") == text(body)
