@@ -1,12 +1,14 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
-Unit vectors with cosine c are 2 - 2c apart in squared distance. They are rotated to their principal axes, which are
-dealt over blocks of a few dimensions; each block has a part of that squared distance as its budget, in proportion to
-its variance. A pair within the whole distance is within budget in one block at least. So each block is range-joined: a
-grid over its first two axes, as wide as the budget's radius, brings vectors to their cell and its neighbours, where
-the block's distances are compared; what is within budget is verified in double precision. A pair belongs to the first
-block that holds it, so that links can be counted where they are found and pairs are never emitted: a task returns
-counts and the edges of a spanning forest. Crowded cells are split into tiles of bounded size.
+Unit vectors with cosine c are 2 - 2c apart in squared distance. They are rotated to their principal axes, and the
+leading axes are dealt over blocks of at most BLOCK_DIMS dimensions; each block has a part of that squared distance as
+its budget, in proportion to its variance. Leaving axes out only makes vectors closer, so a pair within the whole
+distance is within budget in one block at least. Each block is range-joined: a grid over those of its first axes along
+which vectors spread further than the budget's radius brings them to their cell and to the neighbours in reach, where
+the block's distances are compared; what is within budget is verified on the whole vectors in double precision. A pair
+belongs to the first block that holds it, so that links can be counted where they are found and pairs are never
+emitted: a task returns counts and the edges of a spanning forest. A cell's vectors are dealt over tiles of bounded
+size, and a task compares two tiles.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 from .common import component_firsts, stage_table
 
 THRESHOLD = 0.9
-BLOCK_DIMS, MOST_BLOCKS = 8, 8
-TILE = 16384  # most vectors, about, on either side of a task
+BLOCK_DIMS = 12
+LEAD = 0.9  # part of the variance that the blocks' axes hold
+GRID_AXES = 3
+TILE_BYTES = 1 << 23  # of a tile's vectors; a task has two tiles
 SAMPLE = 20000  # vectors that the rotation is fitted on, about; it affects the cost, not the links
 #: Slack in squared distance: of the float32 comparison, and of the rule which block a pair belongs to.
 SLACK, OWN_SLACK = 2e-5, 1e-5
-_AHEAD = ((0, 1), (1, -1), (1, 0), (1, 1))
+_OFFSETS = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) < (0, 0, 0)])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -35,6 +39,38 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@dataclass
+class Block:
+    """Columns of the rotated vectors, the budget, and the grid: its columns (none: one cell) and the side of a cell."""
+
+    columns: np.ndarray
+    budget: float
+    grid: np.ndarray
+    side: float
+
+    def cells(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells (three numbers, 0 for axes that the grid has not) and the places in them, in sides."""
+        at = np.zeros((len(y), GRID_AXES))
+        at[:, : len(self.grid)] = y[:, self.grid] / self.side
+        cell = np.floor(at)
+        return cell.astype(np.int64), at - cell
+
+    def visits(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, home): every row in its own cell, and in those before it that hold vectors in reach."""
+        cell, at = self.cells(y)
+        rows, cells, home = [np.arange(len(y))], [cell], [np.ones(len(y), bool)]
+        reach = (self.budget + SLACK) / self.side**2
+        for offset in _OFFSETS if len(self.grid) else ():
+            if (offset[len(self.grid) :] != 0).any():
+                continue
+            gap = np.where(offset < 0, at, 1 - at) * (offset != 0)
+            near = np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+            rows.append(near)
+            cells.append(cell[near] + offset)
+            home.append(np.zeros(len(near), bool))
+        return np.concatenate(rows), np.concatenate(cells), np.concatenate(home)
+
+
 @dataclass
 class Rotation:
     """Rotations by dimension; those not fitted are random but fixed."""
@@ -47,23 +83,24 @@ class Rotation:
         value, axes = np.linalg.eigh(x.T @ x / len(x) - np.outer(x.mean(axis=0), x.mean(axis=0)))
         self.fitted[x.shape[1]] = axes[:, ::-1].copy(), np.maximum(value[::-1], 0)
 
-    def of(self, dim: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The rotation, the axes of each block and the blocks' budgets."""
+    def of(self, dim: int) -> tuple[np.ndarray, list[Block]]:
+        """The leading axes and the blocks."""
         if dim not in self.fitted:
             axes = np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, dim)))[0]
-            self.fitted[dim] = axes, np.ones(dim)
+            self.fitted[dim] = axes, np.full(dim, 1.0 / dim)
         axes, value = self.fitted[dim]
-        m = max(1, min(MOST_BLOCKS, dim // BLOCK_DIMS))
-        blocks = [np.arange(b, dim, m) for b in range(m)]
-        held = np.array([value[b].sum() for b in blocks])
+        lead = int(np.searchsorted(np.cumsum(value), LEAD * value.sum())) + 1
+        lead = min(dim, max(lead, BLOCK_DIMS))
+        m = -(-lead // BLOCK_DIMS)
+        columns = [np.arange(b, lead, m) for b in range(m)]
+        held = np.array([value[c].sum() for c in columns])
         share = np.maximum(held / max(held.sum(), 1e-12), 0.25 / m)
-        return axes, blocks, self.budget * share / share.sum()
-
-
-def _cells(y: np.ndarray, axes: np.ndarray, budget: float) -> np.ndarray:
-    side = np.sqrt(budget + SLACK)
-    c = np.floor(y[:, axes[:2]] / side).astype(np.int64)
-    return c if c.shape[1] == 2 else np.column_stack([c, np.zeros(len(c), np.int64)])
+        blocks = []
+        for c, budget in zip(columns, self.budget * share / share.sum(), strict=True):
+            radius = np.sqrt(budget + SLACK)
+            grid = c[:GRID_AXES]
+            blocks.append(Block(c, float(budget), grid[np.sqrt(value[grid]) >= radius], float(2 * radius)))
+        return axes[:, :lead], blocks
 
 
 def _by_dim(batch: pa.RecordBatch, kind: str):
@@ -77,58 +114,42 @@ def _by_dim(batch: pa.RecordBatch, kind: str):
         yield rows, values[begin[rows][:, None] + np.arange(dim)]
 
 
+def _where(dim: int, block: int, cells: np.ndarray) -> dict[str, pa.Array]:
+    return {"dim": pa.array(np.full(len(cells), dim)), "block": pa.array(np.full(len(cells), block))} | {f"c{i}": pa.array(cells[:, i]) for i in range(GRID_AXES)}
+
+
 def _count_cells(rotation: Rotation, kind: str):
     def run(source):
         for batch in source:
             for _, x in _by_dim(batch, kind):
-                axes, blocks, budgets = rotation.of(x.shape[1])
+                axes, blocks = rotation.of(x.shape[1])
                 y = unit(x) @ axes
-                for b, own in enumerate(blocks):
-                    cells, n = np.unique(_cells(y, own, budgets[b]), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(len(n), x.shape[1])), "block": pa.array(np.full(len(n), b)), "c0": pa.array(cells[:, 0]), "c1": pa.array(cells[:, 1]), "n": pa.array(n)})
+                for b, block in enumerate(blocks):
+                    _, cells, home = block.visits(y)
+                    found, at = np.unique(cells, axis=0, return_inverse=True)
+                    own = np.bincount(at.ravel(), weights=home, minlength=len(found)).astype(np.int64)
+                    every = np.bincount(at.ravel(), minlength=len(found))
+                    yield pa.RecordBatch.from_pydict(_where(x.shape[1], b, found) | {"own": pa.array(own), "guests": pa.array(every - own)})
 
     return run
 
 
-def _visits(rotation: Rotation, kind: str, tiles: dict, chunks: dict):
-    """Rows for the tasks of each cell: role 1 stands on the left, 2 on the right, 3 on both."""
+def _visits(rotation: Rotation, kind: str):
+    """A row for each cell that a vector has to be in, with the vector's bytes."""
 
     def run(source):
         for batch in source:
             node, copies = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("node", "copies"))
             for rows, x in _by_dim(batch, kind):
-                dim = x.shape[1]
-                axes, blocks, budgets = rotation.of(dim)
+                axes, blocks = rotation.of(x.shape[1])
                 y = unit(x) @ axes
-                place = (node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-                packed = np.ascontiguousarray(x)
-                out = []  # block, c0, c1, tile, chunk, role, home tile (-1: a visitor), row
-                for b, own in enumerate(blocks):
-                    cells = _cells(y, own, budgets[b])
-                    for cell in np.unique(cells, axis=0):
-                        here = np.flatnonzero((cells == cell).all(axis=1))
-                        c = (dim, b, int(cell[0]), int(cell[1]))
-                        n_tiles, n_chunks = tiles.get(c, 1), chunks.get(c, 1)
-                        mine, chunk = place[here] % np.uint64(n_tiles), (place[here] >> np.uint64(12)) % np.uint64(n_chunks)
-                        for i in range(n_tiles):
-                            for k in range(n_chunks):
-                                role = (mine == i) * 1 + ((chunk == k) & (mine >= i)) * 2
-                                s = role > 0
-                                out.append((c, i, k, role[s], mine[s].astype(np.int64), here[s]))
-                        for d0, d1 in _AHEAD:
-                            to = (dim, b, c[2] - d0, c[3] - d1)
-                            if to not in tiles:
-                                continue
-                            chunk = (place[here] >> np.uint64(12)) % np.uint64(chunks[to])
-                            for i in range(tiles[to]):
-                                for k in range(chunks[to]):
-                                    s = here[chunk == k]
-                                    out.append((to, i, k, np.full(len(s), 2), np.full(len(s), -1), s))
-                for c, i, k, role, home, at in out:
-                    if len(at):
-                        n = len(at)
-                        where = {name: pa.array(np.full(n, v)) for name, v in zip(("dim", "block", "c0", "c1", "tile", "chunk"), (*c, i, k), strict=True)}
-                        yield pa.RecordBatch.from_pydict(where | {"role": pa.array(role.astype(np.int64)), "home": pa.array(home), "node": pa.array(node[rows][at]), "copies": pa.array(copies[rows][at]), "vector": pa.array([packed[r].tobytes() for r in at], pa.binary())})
+                width = x.shape[1] * x.itemsize
+                for b, block in enumerate(blocks):
+                    at, cells, home = block.visits(y)
+                    for k in range(0, len(at), 4096):
+                        part, of = slice(k, k + 4096), rows[at[k : k + 4096]]
+                        vectors = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(0, (len(of) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x[at[part]]))])
+                        yield pa.RecordBatch.from_pydict(_where(x.shape[1], b, cells[part]) | {"home": pa.array(home[part]), "node": pa.array(node[of]), "copies": pa.array(copies[of]), "vector": vectors})
 
     return run
 
@@ -153,46 +174,87 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _near(left: np.ndarray, right: np.ndarray | None, budget: float):
+    """Pairs of rows (i, j) at a squared distance within budget, in parts; without right, i < j of left alone."""
+    other = left if right is None else right
+    size = (other * other).sum(axis=1, dtype=np.float32)
+    ones = np.ones((len(other), 1), np.float32)
+    far = np.ascontiguousarray(np.hstack([-2 * other, ones, size[:, None]]).T)
+    size = (left * left).sum(axis=1, dtype=np.float32)
+    near = np.hstack([left, size[:, None], np.ones((len(left), 1), np.float32)])
+    step = 512
+    for k in range(0, len(near), step):
+        for c in range(k if right is None else 0, len(other), 4096):
+            d = near[k : k + step] @ far[:, c : c + 4096]
+            hits = np.flatnonzero(d.ravel() <= budget)
+            if len(hits):
+                i, j = np.divmod(hits, d.shape[1])
+                i, j = i + k, j + c
+                yield (i, j) if right is not None else (i[i < j], j[i < j])
+
+
 def _compare(rotation: Rotation, kind: str, threshold: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        dim, block = key[0].as_py(), key[1].as_py()
-        axes, blocks, budgets = rotation.of(dim)
-        own = blocks[block]
-        role, home, node, copies = (table.column(c).to_numpy() for c in ("role", "home", "node", "copies"))
+        dim, number = key[0].as_py(), key[1].as_py()
+        axes, blocks = rotation.of(dim)
+        block = blocks[number]
+        side, node, copies = (table.column(c).to_numpy() for c in ("side", "node", "copies"))
         x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, dim))
-        y = x @ axes
-        left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        lb, rb = y[left][:, own].astype(np.float32), y[right][:, own].astype(np.float32)
-        ls, rs = (lb * lb).sum(axis=1), (rb * rb).sum(axis=1)
-        tile = key[4].as_py()
-        counts, edges = np.zeros(len(x), np.int64), []
-        for k in range(0, len(left), 256):
-            near = ls[k : k + 256, None] + rs[None, :] - 2 * (lb[k : k + 256] @ rb.T) <= budgets[block] + SLACK
-            i, j = np.nonzero(near)
-            i, j = left[i + k], right[j]
-            once = (home[j] != tile) | (node[i] < node[j])  # two of one tile meet twice, and each meets itself
-            i, j = i[once], j[once]
-            for s in range(0, len(i), 1 << 16):
-                p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        y = x @ axes[:, np.concatenate([b.columns for b in blocks[: number + 1]])]
+        ends = np.cumsum([len(b.columns) for b in blocks[: number + 1]])
+        own = y[:, ends[number] - len(block.columns) :].astype(np.float32)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        counts, edges, held = np.zeros(len(x), np.int64), [], 0
+        both = key[5].as_py() == key[6].as_py()
+        for i, j in _near(own[left], None if both else own[right], block.budget + SLACK):
+            i, j = left[i], (left if both else right)[j]
+            for s in range(0, len(i), 1 << 14):
+                p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
                 linked = (x[p] * x[q]).sum(axis=1) >= threshold
                 p, q = p[linked], q[linked]
-                for earlier in range(block):
-                    apart = ((y[p][:, blocks[earlier]] - y[q][:, blocks[earlier]]) ** 2).sum(axis=1)
-                    first = apart > budgets[earlier] + OWN_SLACK
-                    p, q = p[first], q[first]
+                if not len(p):
+                    continue
+                apart = np.add.reduceat((y[p] - y[q]) ** 2, np.concatenate([[0], ends[:-1]]), axis=1)
+                within = apart <= np.array([b.budget for b in blocks[: number + 1]]) + OWN_SLACK
+                first = within[:, -1] & ~within[:, :-1].any(axis=1)
+                p, q = p[first], q[first]
+                np.add.at(counts, p, copies[q])
+                np.add.at(counts, q, copies[p])
                 if len(p):
-                    np.add.at(counts, p, copies[q])
-                    np.add.at(counts, q, copies[p])
-                    edges.append(_forest(node[p], node[q]))
+                    edges.append(_forest(p, q))
+                    held += len(edges[-1][0])
+                if held > 4 * len(x) + (1 << 16):  # a forest has fewer edges than nodes
+                    edges = [_forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))]
+                    held = len(edges[0][0])
+        if edges:
+            edges = [_forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))]
         some = np.flatnonzero(counts)
-        a = [node[some]] + [e[0] for e in edges]
-        b = [np.full(len(some), -1)] + [e[1] for e in edges]
+        a = [node[some]] + [node[e[0]] for e in edges]
+        b = [np.full(len(some), -1)] + [node[e[1]] for e in edges]
         n = [counts[some]] + [np.zeros(len(e[0]), np.int64) for e in edges]
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "n": pa.array(np.concatenate(n))})
 
     return run
 
 
+def _tasks(visits: DataFrame, cells: DataFrame) -> DataFrame:
+    """visits dealt over pairs of tiles (one, other) of their cells, with the side (0, 1) on which they stand there.
+
+    A cell's own vectors are dealt over its tiles, and any two of those meet, each with itself too; its guests are dealt
+    over further tiles, which meet the own ones.
+    """
+    most = F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (4 * F.col("dim"))))
+    at_least = F.least(F.lit(3), F.ceil(F.col("own") / 2048))  # so that few large cells are several tasks
+    cells = cells.where("own > 0").withColumns({"tiles": F.greatest(F.ceil(F.col("own") / most), at_least).cast("int"), "more": F.ceil(F.col("guests") / most).cast("int")}).drop("own", "guests")
+    rows = visits.join(F.broadcast(cells), ["dim", "block", *(f"c{i}" for i in range(GRID_AXES))])  # cells are bounded by the grid, not by rows
+    place = F.xxhash64("node")
+    mine = F.pmod(place, F.col("tiles")).cast("int")
+    meets = lambda one, other, side: F.struct(one.cast("int").alias("one"), other.cast("int").alias("other"), side.cast("int").alias("side"))
+    own = F.transform(F.sequence(F.lit(0), F.col("tiles") + F.col("more") - 1), lambda j: meets(F.least(mine, j), F.greatest(mine, j), F.when(j < mine, 1).otherwise(0)))
+    guest = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: meets(j, F.col("tiles") + F.pmod(place, F.greatest("more", F.lit(1))), F.lit(1)))
+    return rows.select("*", F.inline(F.when(F.col("home"), own).otherwise(guest))).drop("home", "tiles", "more")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of vectors: id_col, n_links (other rows linked directly), component_id (the smallest id that is
     reachable), kept (the id is the component's).
@@ -220,12 +282,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if len(found) > dim:
             rotation.fit(np.array(found, kind))
     slim = nodes.select("node", "copies", "embedding")
-    cells = slim.mapInArrow(_count_cells(rotation, kind), "dim long, block long, c0 long, c1 long, n long")
-    held = {(r[0], r[1], r[2], r[3]): r[4] for r in cells.groupBy("dim", "block", "c0", "c1").agg(F.sum("n")).collect()}  # some cells a block
-    tiles = {c: -(-n // TILE) for c, n in held.items()}
-    chunks = {c: -(-(n + sum(held.get((c[0], c[1], c[2] + d0, c[3] + d1), 0) for d0, d1 in _AHEAD)) // (4 * TILE)) for c, n in held.items()}
-    visits = slim.mapInArrow(_visits(rotation, kind, tiles, chunks), "dim long, block long, c0 long, c1 long, tile long, chunk long, role long, home long, node long, copies long, vector binary")
-    found = visits.groupBy("dim", "block", "c0", "c1", "tile", "chunk").applyInArrow(_compare(rotation, kind, threshold), "a long, b long, n long")
+    place = ["dim", "block", *(f"c{i}" for i in range(GRID_AXES))]
+    where = ", ".join(f"{c} long" for c in place)
+    cells = slim.mapInArrow(_count_cells(rotation, kind), f"{where}, own long, guests long").groupBy(*place).agg(F.sum("own").alias("own"), F.sum("guests").alias("guests"))
+    visits = slim.mapInArrow(_visits(rotation, kind), f"{where}, home boolean, node long, copies long, vector binary")
+    tasks = _tasks(visits, stage_table(cells))
+    found = tasks.groupBy(*place, "one", "other").applyInArrow(_compare(rotation, kind, threshold), "a long, b long, n long")
     found = stage_table(found)
     classes = component_firsts(nodes.select("node", "first"), found.where("b >= 0").select("a", "b"))
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n"))

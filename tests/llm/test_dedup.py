@@ -168,9 +168,31 @@ def test_embedding_cases(spark, monkeypatch):
     rows += [(i, [float(x) for x in rows[0][1]]) for i in (90, 91)] + [(92, [x * 3 for x in rows[0][1]]), (93, None), (94, []), (95, [0.0] * 24), (96, [float("nan")] + [1.0] * 23), (97, [None] + [1.0] * 23), (98, [1.0, 2.0]), (99, [1.0, 2.1]), (100, [float("inf")] * 24), (101, [1.0]), (102, [-2.0])]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, kept string")
     want = brute_vectors(rows)
-    for tile in (16384, 7):  # the second: crowded cells
-        monkeypatch.setattr(embed_dedup, "TILE", tile)
+    for tile in (1 << 23, 7 * 4 * 24):  # the second: crowded cells
+        monkeypatch.setattr(embed_dedup, "TILE_BYTES", tile)
         got = embed_dedup.near_vectors(df).collect()
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [24, 40])
+def test_embeddings_on_a_grid(spark, dim):
+    """Vectors near a circle or a sphere: their leading axes spread further than the radius, so that there are many
+    cells, guests from neighbouring ones, and blocks without a grid beside them."""
+    rng = np.random.default_rng(dim)
+    around = np.zeros((400, dim))
+    around[:, : dim // 12] = rng.normal(size=(400, dim // 12))
+    around /= np.linalg.norm(around, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(around + rng.normal(size=around.shape) * 0.25 / np.sqrt(dim))]
+    seen = []
+    rotation = embed_dedup.Rotation(0.2)
+    rotation.fit(np.array([v for _, v in rows], np.float32))
+    axes, blocks = rotation.of(dim)
+    y = embed_dedup.unit(np.array([v for _, v in rows], np.float32)) @ axes
+    for block in blocks:
+        seen.append(len(np.unique(block.cells(y)[0], axis=0)))
+        assert len(block.columns) <= embed_dedup.BLOCK_DIMS
+    assert max(seen) > 4
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_vectors(rows)
