@@ -11,7 +11,7 @@ from dataclasses import fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import faults, logs, matcher, patching, sequences
+from .operators import datasets, faults, logs, matcher, patching, sequences
 from .params import REPAIR, VALIDATE, MatcherParams
 from .sources import frames as S
 from .sources.staging import stage_table
@@ -40,6 +40,9 @@ def _parser() -> argparse.ArgumentParser:
     similar.add_argument("--min", type=float, default=0.0001)
     similar.add_argument("--max", type=float, required=True)
     command("view-log", "log", "out")
+    build = command("build-dataset", "images", "out")
+    build.add_argument("--split", type=float, default=0.25)
+    build.add_argument("--seed", type=int, default=1337)
     return parser
 
 
@@ -76,6 +79,11 @@ def main(argv: list[str] | None = None) -> None:
         _write(faults.injected_frames(frames, lags), f"{args.out}/frames")
     elif args.command == "extract-similar":
         _write(sequences.similar_frames(read(args.pairs), args.min, args.max), args.out)
+    elif args.command == "build-dataset":
+        samples = stage_table(datasets.samples(datasets.adjacent_groups(datasets.variation_groups(S.list_images(spark, args.images, augmented=True)))))
+        parts = stage_table(datasets.train_validation(samples.withColumn("key", F.monotonically_increasing_id()), "key", args.split, args.seed))
+        for name, chosen in (("val", F.col("is_validation")), ("train", ~F.col("is_validation"))):
+            S.write_duplicate_samples(parts.where(chosen), f"{args.out}/{name}")
     else:
         lines = S.read_log(spark, args.log).select(F.lit(0).cast("long").alias("video_id"), F.monotonically_increasing_id().alias("step"), F.col("value").alias("line"))
         _write(logs.color_ranges(logs.painted_frames(logs.painted_ranges(logs.parse_log(lines)))), args.out)

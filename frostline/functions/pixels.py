@@ -41,6 +41,11 @@ def packed_distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def normalised(pixels: Column) -> Column:
+    """8-bit pixels as 0 to 1, as models take them."""
+    return F.transform(pixels, lambda x: x.cast("double") / 255)
+
+
 def difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 #: Patterns of the log's messages and of the interpolator's completion lines (fixed formats).
 DUPLICATE = r"Found duplicate at #(\d+)"
-CHAIN = r"Duplicate chain (\d+) found #(\d+)-#(\d+), length: (\d+),.* chain_motion: ([\d.]+), state: (\w+)(?: \{ n_additional: (\d+) \})?"
+CHAIN = (
+    r"Duplicate chain (\d+) found #(\d+)-#(\d+), length: (\d+), (?:diff: (\d+\.\d+), end_conf: (\d+\.\d+)|.+), chain_motion: (\d+\.\d+), "
+    r"state: (\w*)(?: \{ n_additional: (\d+) \})?(?: at (\d+\.\d+)s)?"
+)
 SKIPPED = r"Skipping duplicate chain #(\d+)-#(\d+): #(\w+), state: (\w+)"
 PROCESSING = r'Processing: "([^"]+)"(?: to "([^"]+)")?'
-COMPLETION = r"^(\S+) (\S+) ([\d.]+) -> (.+?) done(?: \(q - (\d+)%\))?$"
+COMPLETION = r"^(\S+) (\S+) ([01]\.\d+) -> (.+?) done(?: \(q - (\d+\.\d+)%\))?$"
 
 
 def group(text: Column, pattern: str, n: int) -> Column:
@@ -39,8 +42,39 @@ def command(kind: Column, *args: Column) -> Column:
 
 
 def kwargs(text: Column) -> Column:
-    """k=v,k=v as a map of strings."""
-    return F.str_to_map(text, F.lit(","), F.lit("="))
+    """k=v,k=v as a map of literals: a struct of kind and the value in the field of its kind.
+
+    Kinds are int, float, bool, none and str: a value in quotes, or one that is no literal, stays text, without its quotes.
+    """
+    return F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda _, v: literal(v))
+
+
+def literal(value: Column) -> Column:
+    """The literal that a text is, as a struct (kind, int, float, bool, str); only the field of its kind isn't null."""
+    v = F.trim(value)
+    quoted = v.rlike(r"""^(?:'[^']*'|"[^"]*")$""")
+    kind = (
+        F.when(v.rlike(r"^[+-]?\d+$") & v.try_cast("long").isNotNull(), "int")
+        .when(v.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), "float")
+        .when(v.isin("True", "False"), "bool")
+        .when(v == "None", "none")
+        .otherwise("str")
+    )
+    text = F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(value)
+    return F.struct(
+        kind.alias("kind"),
+        F.when(kind == "int", v.try_cast("long")).alias("int"),
+        F.when(kind == "float", v.try_cast("double")).alias("float"),
+        F.when(kind == "bool", v == "True").alias("bool"),
+        F.when(kind == "str", text).alias("str"),
+    )
+
+
+def resolution(text: Column) -> Column:
+    """WIDTHxHEIGHT as a struct of two whole numbers; null if it isn't that."""
+    parts = F.split(text, "x", 2)
+    w, h = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    return F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("width"), h.alias("height")))
 
 
 def frame_name(frame: Column, digits: int = 5) -> Column:
@@ -48,10 +82,10 @@ def frame_name(frame: Column, digits: int = 5) -> Column:
     return F.format_string(f"%0{digits}d.png", frame)
 
 
-def milli(x: Column) -> Column:
-    """A number that isn't negative, cut to three digits after the point."""
-    n = F.floor(F.round(x, 6) * 1000).cast("long")
-    return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+def fixed(x: Column, digits: int) -> Column:
+    """A number that isn't negative, rounded to some digits after the point."""
+    n = F.round(F.round(x, digits + 3) * 10**digits).cast("long")
+    return F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
 
 
 def parent(path: Column) -> Column:

@@ -12,13 +12,14 @@ def _draw(what: str, attempt: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def inject_lags(videos: DataFrame, n_inserts: int = 3, max_length: int = 8, seed: int = 1, attempts: int = 24) -> DataFrame:
+def inject_lags(videos: DataFrame, n_inserts: int = 3, max_length: int = 8, seed: int = 1, attempts: int | None = None) -> DataFrame:
     """(video_id, start, length) of random freezes; videos has video_id and n_frames.
 
-    Candidates come in a fixed order and are taken unless they come within a frame of one that was; attempts are
-    bounded, so that a video too short for all has fewer. Neither exceeds a few dozen values per video, and they stay
+    Candidates come in a fixed order and are taken unless they come within a frame of one that was. There are attempts
+    of them, or else eight for each freeze wanted, so that a video too short for all has fewer; a video's candidates stay
     inside one row.
     """
+    attempts = attempts or 8 * n_inserts
     room = F.col("n_frames") - max_length - 1
     tries = F.transform(
         F.sequence(F.lit(0), F.lit(attempts - 1)),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..params import REPAIR, MatcherParams
 
@@ -63,3 +65,73 @@ def frame_features(frames: DataFrame, params: MatcherParams = REPAIR) -> DataFra
             yield pa.RecordBatch.from_pydict({c: columns[c] for c in ("video_id", "frame_num", "ts_s")} | new)
 
     return frames.select("video_id", "frame_num", "ts_s", "width", "height", "data").mapInArrow(run, "video_id long, frame_num long, ts_s double, hash_width int, hash array<tinyint>, thumb binary")
+
+
+#: Luminance quantisation of the JPEG standard at quality 50 (fixed values).
+JPEG = np.array([
+    [16, 11, 10, 16, 24, 40, 51, 61], [12, 12, 14, 19, 26, 58, 60, 55], [14, 13, 16, 24, 40, 57, 69, 56], [14, 17, 22, 29, 51, 87, 80, 62],
+    [18, 22, 37, 56, 68, 109, 103, 77], [24, 35, 55, 64, 81, 104, 113, 92], [49, 64, 78, 87, 103, 121, 120, 101], [72, 92, 95, 98, 112, 100, 103, 99],
+])
+
+
+def jpeg_round_trip(gray: np.ndarray, quality: int) -> np.ndarray:
+    """What is left of a picture after JPEG: 8 x 8 cosine transforms, rounded to multiples of the quality's table."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    table = np.clip((JPEG * scale + 50) // 100, 1, 255)
+    k = np.arange(8)
+    cosine = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    h, w = gray.shape
+    padded = np.pad(gray.astype(np.float64) - 128, ((0, -h % 8), (0, -w % 8)), mode="edge")
+    blocks = padded.reshape(padded.shape[0] // 8, 8, padded.shape[1] // 8, 8).swapaxes(1, 2)
+    kept = np.rint(cosine @ blocks @ cosine.T / table) * table
+    out = (cosine.T @ kept @ cosine).swapaxes(1, 2).reshape(padded.shape)[:h, :w] + 128
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+@dataclass(frozen=True)
+class Augmentation:
+    """Ranges that a variation's values are drawn from; noise is a share of 255."""
+
+    quality: tuple[int, int] = (60, 95)
+    detail_noise: tuple[float, float] = (0.0, 0.02)
+    macro_noise: tuple[float, float] = (0.0, 0.02)
+    macro_resize: tuple[float, float] = (8.0, 32.0)
+    offset: tuple[float, float] = (-4.0, 4.0)
+    resolutions: tuple[tuple[int, int], ...] = ((640, 360), (960, 540))
+    passthrough: float = 0.02
+
+
+def vary(gray: np.ndarray, rng: np.random.Generator, p: Augmentation) -> np.ndarray:
+    """A variation of a picture: made larger, with fine and coarse noise and an offset, through JPEG, with the coarse noise
+    and the offset taken off again, and made as small as it was; a few pass through the two resizes only."""
+    height, width = gray.shape
+    across, down = p.resolutions[rng.integers(len(p.resolutions))]
+    large = resize(gray, across, down)
+    if rng.random() < p.passthrough:
+        return resize(large, width, height)
+    size = rng.uniform(*p.macro_resize)
+    rows, columns = max(1, round(height / size)), max(1, round(width / size))
+    coarse = rng.normal(0, rng.uniform(*p.macro_noise) * 255, (rows, columns))
+    coarse = coarse[np.arange(down) * rows // down][:, np.arange(across) * columns // across] + rng.uniform(*p.offset)
+    fine = rng.normal(0, rng.uniform(*p.detail_noise) * 255, large.shape)
+    noisy = np.clip(large + fine + coarse, 0, 255).astype(np.uint8)
+    packed = jpeg_round_trip(noisy, int(rng.integers(p.quality[0], p.quality[1] + 1)))
+    return resize(np.clip(packed - coarse, 0, 255).astype(np.uint8), width, height)
+
+
+def picture_variations(images: DataFrame, n: int = 3, seed: int = 5, params: Augmentation = Augmentation()) -> DataFrame:
+    """n variations of each picture (path, width, height, data: 8-bit luma); their names are those of augmented images.
+    Draws depend on path, number and seed only."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            path, w, h, data, number = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "width", "height", "data", "i"))
+            out = []
+            for name, across, down, pixels, i in zip(path, w, h, data, number, strict=True):
+                rng = np.random.default_rng([seed, i, *name.encode()])
+                out.append(vary(np.frombuffer(pixels, np.uint8).reshape(down, across), rng, params).tobytes())
+            names = [f"{name}_{i}.png" for name, i in zip(path, number, strict=True)]
+            yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "width": pa.array(w, pa.int32()), "height": pa.array(h, pa.int32()), "data": pa.array(out, pa.binary())})
+
+    rows = images.select("path", "width", "height", "data", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    return rows.mapInArrow(run, "path string, width int, height int, data binary")

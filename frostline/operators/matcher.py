@@ -22,7 +22,7 @@ FIND, COMPENSATE, FAILED = "Find", "Compensate", "Failed"
 
 STEP_SCHEMA = (
     "video_id long, step long, frame_num long, len int, state string, n_additional int, outcome string, chain_motion double, "
-    "diff double, chain_i long, frames array<long>, timestamps array<double>"
+    "diff double, end_conf double, chain_i long, frames array<long>, timestamps array<double>"
 )
 
 
@@ -66,7 +66,7 @@ class ChainMatcher:
     def _step(self, before: Variables, row: tuple, history: History) -> Variables:
         p, length = self.params, len(history)
         frame, _, diff, motion, distinct = row
-        step = {"step": self.steps, "frame_num": frame, "len": length, "state": self.state, "n_additional": self.added, "diff": before.last_diff, "chain_i": None, "frames": None, "timestamps": None}
+        step = {"step": self.steps, "frame_num": frame, "len": length, "state": self.state, "n_additional": self.added, "diff": before.last_diff, "end_conf": distinct, "chain_i": None, "frames": None, "timestamps": None}
         self.steps += 1
         self.told.append(step)
         if length == 0 or any(x is None or x != x or abs(x) == float("inf") for x in (diff, motion, distinct)):
@@ -140,7 +140,7 @@ def match_steps(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
 def chains(steps: DataFrame) -> DataFrame:
     """The chains found: frames from the one before the first duplicate on, and the frame that ended it."""
     found = steps.where("outcome = 'Ok'")
-    return found.select("video_id", "chain_i", "frames", "timestamps", F.col("frame_num").alias("end_frame"), "state", "n_additional", "chain_motion", "diff")
+    return found.select("video_id", "chain_i", "frames", "timestamps", F.col("frame_num").alias("end_frame"), "state", "n_additional", "chain_motion", "diff", "end_conf")
 
 
 def duplicates(steps: DataFrame) -> DataFrame:

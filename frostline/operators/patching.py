@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.order import running_max
+from ..sources.order import CHUNK, running_max
 
 
 def interpolation_jobs(chains: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def completed(jobs: DataFrame, completions: DataFrame) -> DataFrame:
     return jobs.withColumn("key", job_key(F.col("in0"), F.col("in1"), F.col("out"))).join(completions, "key")
 
 
-def release_order(done: DataFrame) -> DataFrame:
+def release_order(done: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """When each job may be released: once it and all before it in its video are done."""
-    return running_max(done, "video_id", "chain_i", F.col("done_at"), "released_at")
+    return running_max(done, "video_id", "chain_i", F.col("done_at"), "released_at", chunk=chunk)
 
 
 def patch_ranges(chains: DataFrame) -> DataFrame:

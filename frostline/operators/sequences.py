@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import REPAIR, MatcherParams
-from ..sources.frames import by_frame, finite
-from ..sources.order import numbered, running_max
+from ..sources.frames import finite
+from ..sources.order import CHUNK, numbered, running_max
+from ..sources.staging import stage_table
 
 
 def duplicate_frames(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
@@ -20,7 +21,7 @@ def duplicate_frames(scores: DataFrame, params: MatcherParams = REPAIR) -> DataF
     return scores.where(sure).select("video_id", "frame_num", "ts_s", "motion")
 
 
-def simple_chains(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
+def simple_chains(scores: DataFrame, params: MatcherParams = REPAIR, chunk: int | None = CHUNK) -> DataFrame:
     """Runs of duplicates with the frame before them, without compensation or a limit of motion.
 
     A run is an island: what isn't a duplicate starts one. One that is longer than the limit, or open at the end of its
@@ -28,7 +29,7 @@ def simple_chains(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFram
     """
     dup = F.coalesce(1 - F.col("distinct_conf") >= params.min_duplicate_confidence, F.lit(False))
     rows = scores.withColumn("dup", dup)
-    rows = running_max(rows, "video_id", "frame_num", F.when(~F.col("dup"), F.col("frame_num")), "since", to=-1)
+    rows = running_max(rows, "video_id", "frame_num", F.when(~F.col("dup"), F.col("frame_num")), "since", to=-1, chunk=chunk)
     ends = rows.where("NOT dup AND since IS NOT NULL").select("video_id", F.col("since").alias("island"), F.col("frame_num").alias("end_frame"), F.coalesce("motion", F.lit(0.0)).alias("end_motion"))
     # An island is the frame that it starts with. What is past the limit is dropped before anything is gathered.
     rows = rows.withColumn("island", F.when(F.col("dup"), F.col("since")).otherwise(F.col("frame_num")))
@@ -38,13 +39,13 @@ def simple_chains(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFram
     )
     size = F.size("frames") - 1
     runs = runs.where((size >= 1) & (size <= params.max_duplicates)).join(ends, ["video_id", "island"])
-    runs = numbered(runs, "video_id", "island", "chain_i")
+    runs = numbered(runs, "video_id", "island", "chain_i", chunk=chunk)
     return runs.select("video_id", "chain_i", "frames", "timestamps", "end_frame", (F.col("run_motion") + F.col("end_motion")).alias("chain_motion"))
 
 
 def lagged_pairs(frames: DataFrame) -> DataFrame:
     """Each frame with the one two before it and the one before it, where there is one: a join on video and number,
-    which no long video makes uneven."""
+    which no long video makes uneven. Numbers are places, without gaps (numbered() makes them so)."""
     later = frames.select("video_id", F.col("frame_num").alias("frame_before"), F.col("value").alias("v"), F.explode(F.array(F.lit(2), F.lit(1))).alias("lag"))
     later = later.withColumn("frame_num", F.col("frame_before") + F.col("lag"))
     pairs = frames.join(later, ["video_id", "frame_num"])
@@ -52,7 +53,7 @@ def lagged_pairs(frames: DataFrame) -> DataFrame:
 
 
 def neighbours(thumbs: DataFrame) -> DataFrame:
-    """Thumbnails with the one before (before), by frame number."""
+    """Thumbnails with the one before (before), by frame number, which is a place without gaps."""
     left = thumbs.select((F.col("frame_num") + 1).alias("frame_num"), F.col("thumb").alias("before"))
     return thumbs.join(left, "frame_num")
 
@@ -69,44 +70,90 @@ def select_frames(frames: DataFrame, targets: DataFrame) -> DataFrame:
     return frames.join(targets.select("video_id", "frame_num"), ["video_id", "frame_num"], "left_semi")
 
 
-def history(frames: DataFrame, most: int) -> DataFrame:
-    """Each frame with those before it, oldest first, at most so many."""
-    before = by_frame().rowsBetween(-most, -1)
-    return frames.withColumn("before", F.collect_list("frame_num").over(before))
+def boundary_frames(chains: DataFrame, frames: DataFrame) -> DataFrame:
+    """The two frames between which each chain is filled in, (video_id, chain_i, name, frame_num) and the other columns of
+    frames: 0.webp is the chain's first frame, 1.webp the one that ended it."""
+    ends = F.array(F.struct(F.lit("0.webp").alias("name"), F.element_at("frames", 1).alias("frame_num")), F.struct(F.lit("1.webp").alias("name"), F.col("end_frame").alias("frame_num")))
+    return chains.select("video_id", "chain_i", F.inline(ends)).join(frames, ["video_id", "frame_num"])
+
+
+def history(frames: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
+    """Each frame with those before it, oldest first, at most so many.
+
+    Windows run over chunks of frame numbers, which are places without gaps; a chunk's last frames are seen by the next
+    one too.
+    """
+    own = F.expr(f"frame_num div {chunk}")
+    next_too = F.when(F.pmod("frame_num", F.lit(chunk)) >= chunk - most, own + 1)
+    rows = frames.withColumn("_chunk", F.explode(F.array_compact(F.array(own, next_too))))
+    before = W.partitionBy("video_id", "_chunk").orderBy("frame_num").rowsBetween(-most, -1)
+    return rows.withColumn("before", F.collect_list("frame_num").over(before)).where(F.col("_chunk") == own).drop("_chunk")
 
 
 def ema_final(values: DataFrame, alpha: float) -> DataFrame:
-    """Each video's exponential moving average after its last frame, as a weighted sum: nothing is gathered."""
+    """Each video's exponential moving average after its last frame, as a weighted sum: nothing is gathered. Frames are
+    numbered from 0 without gaps."""
     rows = values.join(values.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
     weight = F.pow(F.lit(1 - alpha), F.col("n") - 1 - F.col("frame_num")) * F.when(F.col("frame_num") == 0, 1.0).otherwise(alpha)
     return rows.groupBy("video_id").agg(F.sum(weight * F.col("value")).alias("ema"))
 
 
-def ema_running(values: DataFrame, alpha: float) -> DataFrame:
-    """The average after every frame; a task runs through its sorted rows and carries one number."""
+def ema_running(values: DataFrame, alpha: float, chunk: int | None = CHUNK) -> DataFrame:
+    """The average after every frame; the first value seeds it.
+
+    An average over a chunk of frames is its own part and what is left of the average carried in, so chunks are tasks of
+    their own; what each takes over comes from one row per chunk. Without chunks a video is one task.
+    """
+    place = ["video_id", "_chunk"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, ema = None, None
+        at, part, left = None, 0.0, 1.0
+        for rows in batches:
+            out = []
+            for *here, x in zip(rows["video_id"], rows["_chunk"], rows["value"], strict=True):
+                if here != at:
+                    at, part, left = here, 0.0, 1.0
+                part, left = alpha * x + (1 - alpha) * part, (1 - alpha) * left
+                out.append((part, left))
+            yield rows[["video_id", "_chunk", "frame_num", "value"]].assign(part=[p for p, _ in out], left=[x for _, x in out])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, ema = None, 0.0
         for rows in batches:
             out = []
-            for v, x in zip(rows["video_id"], rows["value"], strict=True):
-                ema = x if v != video else alpha * x + (1 - alpha) * ema
+            for v, first, part, left in zip(rows["video_id"], rows["first"], rows["part"], rows["left"], strict=True):
+                ema = first if v != video else ema  # the first frame's average is its value
                 video = v
                 out.append(ema)
-            yield rows[["video_id", "frame_num"]].assign(ema=out)
+                ema = part + left * ema
+            yield rows[["_video", "_of"]].assign(carried=out)
+
+    slim = values.select("video_id", "frame_num", "value", F.expr(f"frame_num div {chunk}" if chunk else "0L").alias("_chunk"))
+    slim = slim.repartition(*place).sortWithinPartitions(*place, "frame_num")
+    parts = slim.mapInPandas(run, "video_id long, _chunk long, frame_num long, value double, part double, left double")
+    parts = stage_table(parts) if chunk else parts
+    ends = parts.groupBy(*place).agg(F.min_by("value", "frame_num").alias("first"), F.max_by("part", "frame_num").alias("part"), F.max_by("left", "frame_num").alias("left"))
+    if not chunk:
+        first = ends.select(F.col("video_id").alias("_video"), F.col("first").alias("carried"))
+        return _carried(parts.join(first, F.col("video_id") == F.col("_video")))
+    ends = ends.withColumns({"_video": F.col("video_id"), "_of": F.col("_chunk")}).repartition("video_id").sortWithinPartitions(*place)
+    carried = ends.mapInPandas(carry, "_video long, _of long, carried double")
+    return _carried(parts.join(carried, (F.col("video_id") == F.col("_video")) & (F.col("_chunk") == F.col("_of"))))
+
 
-    slim = values.select("video_id", "frame_num", "value").repartition("video_id").sortWithinPartitions("video_id", "frame_num")
-    return slim.mapInPandas(run, "video_id long, frame_num long, ema double")
+def _carried(rows: DataFrame) -> DataFrame:
+    return rows.select("video_id", "frame_num", (F.col("part") + F.col("left") * F.col("carried")).alias("ema"))
 
 
-def seek_frames(frames: DataFrame, targets: DataFrame) -> DataFrame:
+def seek_frames(frames: DataFrame, targets: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """For each target (video_id, target): the first frame at or after it, or else the video's last.
 
-    Targets and frames are one sorted sequence per video, read backwards once; no pair of them is compared.
+    Targets and frames are one sequence per video, read backwards once; no pair of them is compared.
     """
-    both = frames.select("video_id", F.col("frame_num").alias("at"), F.col("frame_num").alias("frame"), F.lit(None).cast("long").alias("target"))
-    both = both.unionAll(targets.select("video_id", F.col("target").alias("at"), F.lit(None).cast("long"), "target"))
-    after = W.partitionBy("video_id").orderBy(F.col("at").desc(), F.col("frame").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("video_id")
-    out = both.select("video_id", "target", F.coalesce(F.last("frame", True).over(after), F.max("frame").over(whole)).alias("frame_num"))
-    return out.where("target IS NOT NULL")
+    number = F.col("frame_num").cast("long")
+    both = frames.select("video_id", (-2 * number - 1).alias("at"), (-number).alias("back"), F.lit(None).cast("long").alias("target"))
+    both = both.unionAll(targets.select("video_id", (-2 * F.col("target").cast("long")).alias("at"), F.lit(None).cast("long"), "target"))
+    found = running_max(both, "video_id", "at", F.col("back"), "nearest", chunk=chunk).where("target IS NOT NULL")
+    last = frames.groupBy(F.col("video_id").alias("_video")).agg(F.max("frame_num").alias("last"))
+    out = found.join(last, F.col("video_id") == F.col("_video"), "left")
+    return out.select("video_id", "target", F.coalesce(-F.col("nearest"), "last").alias("frame_num"))

@@ -13,33 +13,44 @@ chains AS (SELECT r.video_id, row_number() OVER (PARTITION BY r.video_id ORDER B
   FROM runs r JOIN isl e ON e.video_id = r.video_id AND e.island = r.island + 1 AND NOT e.dup)"""
 STEPS = f"""{SCORES},
 run AS (
-  SELECT video_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS h, CAST(0 AS DOUBLE) AS cm, CAST(NULL AS DOUBLE) AS rm, CAST(NULL AS DOUBLE) AS sm, 'Find' AS st, 0 AS n, CAST(0 AS BIGINT) AS ci,
-    CAST([] AS STRUCT(p BIGINT, cm DOUBLE, rm DOUBLE, sm DOUBLE)[]) AS snaps, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS o_frame, CAST(NULL AS BIGINT) AS o_len, CAST(NULL AS VARCHAR) AS o_state, CAST(NULL AS INTEGER) AS o_n, CAST(NULL AS DOUBLE) AS o_cm, CAST(NULL AS BIGINT) AS o_ci
+  SELECT video_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS h, CAST(0 AS DOUBLE) AS cm, CAST(NULL AS DOUBLE) AS rm, CAST(NULL AS DOUBLE) AS sm, CAST(0 AS DOUBLE) AS ld, 'Find' AS st, 0 AS n, CAST(0 AS BIGINT) AS ci,
+    CAST([] AS STRUCT(p BIGINT, cm DOUBLE, rm DOUBLE, sm DOUBLE, ld DOUBLE)[]) AS snaps, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS o_frame, CAST(NULL AS BIGINT) AS o_len, CAST(NULL AS VARCHAR) AS o_state, CAST(NULL AS INTEGER) AS o_n, CAST(NULL AS DOUBLE) AS o_cm, CAST(NULL AS BIGINT) AS o_ci, CAST(NULL AS DOUBLE) AS o_diff, CAST(NULL AS DOUBLE) AS o_conf
   FROM (SELECT DISTINCT video_id FROM scores)
   UNION ALL
   SELECT video_id, step + 1, CASE act WHEN 'back' THEN pos - n ELSE pos + 1 END, CASE act WHEN 'clear' THEN pos ELSE h END,
     CASE WHEN act = 'back' THEN back.cm WHEN o = 'NoScore' THEN cm WHEN act = 'clear' THEN 0 ELSE cm1 END,
     CASE WHEN act = 'back' THEN back.rm WHEN o = 'NoScore' OR act <> 'clear' THEN rm WHEN rm IS NULL THEN motion ELSE CAST(0.7 AS DOUBLE) * motion + (1 - CAST(0.7 AS DOUBLE)) * rm END,
     CASE WHEN act = 'back' THEN back.sm WHEN o IN ('NoScore', 'FailDuplicate') THEN sm WHEN sm IS NULL THEN motion ELSE CAST(0.1 AS DOUBLE) * motion + (1 - CAST(0.1 AS DOUBLE)) * sm END,
+    CASE WHEN act = 'back' THEN back.ld WHEN o = 'NoScore' THEN ld ELSE conf END,
     CASE act WHEN 'back' THEN 'Failed' WHEN 'clear' THEN 'Find' WHEN 'more' THEN 'Compensate' ELSE st END, CASE act WHEN 'more' THEN n + 1 WHEN 'stay' THEN n ELSE 0 END, ci + CASE o WHEN 'Ok' THEN 1 ELSE 0 END,
-    CASE act WHEN 'back' THEN list_filter(snaps, lambda s: s.p < pos - n) WHEN 'clear' THEN [here] ELSE list_append(snaps, here) END, o, pos, len, st, n, CASE o WHEN 'NoScore' THEN cm ELSE cm1 END, CASE o WHEN 'Ok' THEN ci END
-  FROM (SELECT *, list_filter(snaps, lambda s: s.p = pos - n)[1] AS back, CAST(struct_pack(p := pos, cm := cm, rm := rm, sm := sm) AS STRUCT(p BIGINT, cm DOUBLE, rm DOUBLE, sm DOUBLE)) AS here,
+    CASE act WHEN 'back' THEN list_filter(snaps, lambda s: s.p < pos - n) WHEN 'clear' THEN [here] ELSE list_append(snaps, here) END, o, pos, len, st, n, CASE o WHEN 'NoScore' THEN cm ELSE cm1 END, CASE o WHEN 'Ok' THEN ci END, ld, conf
+  FROM (SELECT *, list_filter(snaps, lambda s: s.p = pos - n)[1] AS back, CAST(struct_pack(p := pos, cm := cm, rm := rm, sm := sm, ld := ld) AS STRUCT(p BIGINT, cm DOUBLE, rm DOUBLE, sm DOUBLE, ld DOUBLE)) AS here,
           CASE WHEN o IN ('FailLong', 'FailTooMuchMotion') AND st = 'Compensate' THEN 'back' WHEN o = 'FailDuplicate' THEN 'stay' WHEN o = 'CompensationRequired' AND st <> 'Failed' THEN 'more' ELSE 'clear' END AS act
     FROM (SELECT *, CASE WHEN len = 0 OR conf IS NULL THEN 'NoScore' WHEN len > 13 THEN 'FailLong' WHEN 1 - conf >= 0.65 THEN 'FailDuplicate' WHEN len < 2 THEN 'FailShort'
             WHEN len > 2 AND cm1 < coalesce(rm, 0) * (len - 1) * (CAST(0.75 AS DOUBLE) * CASE st WHEN 'Failed' THEN CAST(0.33 AS DOUBLE) ELSE 1 END) THEN 'CompensationRequired'
             WHEN cm1 > coalesce(sm, 0) * CAST(7.3 AS DOUBLE) THEN 'FailTooMuchMotion' ELSE 'Ok' END AS o
       FROM (SELECT r.*, s.motion, s.conf, r.pos - r.h AS len, r.cm + s.motion AS cm1 FROM run r JOIN scores s ON s.video_id = r.video_id AND s.frame_num = r.pos)))),
-steps AS (SELECT video_id, step - 1 AS step, o_frame AS frame_num, CAST(o_len AS INTEGER) AS len, o_state AS state, o_n AS n_additional, outcome, o_cm AS chain_motion, o_ci AS chain_i FROM run WHERE step > 0)"""
+steps AS (SELECT video_id, step - 1 AS step, o_frame AS frame_num, CAST(o_len AS INTEGER) AS len, o_state AS state, o_n AS n_additional, outcome, o_cm AS chain_motion, o_ci AS chain_i, o_diff AS diff, o_conf AS end_conf FROM run WHERE step > 0)"""
+def _fixed(x: str, digits: int) -> str:
+    n = f"CAST(round(round({x}, {digits + 3}) * {10**digits}) AS BIGINT)"
+    return f"({n} // {10**digits} || '.' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0'))"
+
+
+#: Each step with a line: what a run's log says of it.
 LINES = f"""{STEPS},
-lines AS (SELECT *, frame_num - len AS a, frame_num - 1 AS b,
-    CASE WHEN outcome = 'Ok' THEN 'chain' WHEN outcome = 'FailDuplicate' THEN 'duplicate' WHEN outcome = 'CompensationRequired' AND state = 'Failed' OR outcome IN ('FailLong', 'FailTooMuchMotion') AND state <> 'Compensate' THEN 'skipped' END AS kind,
-    CAST(floor(round(chain_motion, 6) * 1000) AS BIGINT) AS m FROM steps),
-said AS (SELECT *, (m // 1000) || '.' || lpad(CAST(m % 1000 AS VARCHAR), 3, '0') AS cm3 FROM lines WHERE kind IS NOT NULL)"""
+said AS (SELECT *, frame_num - len AS first, CASE outcome WHEN 'Ok' THEN frame_num - 1 ELSE frame_num END AS last,
+    {_fixed("diff", 4)} AS diff4, {_fixed("end_conf", 4)} AS conf4, {_fixed("chain_motion", 4)} AS motion4, {_fixed("(frame_num - len) / CAST(60 AS DOUBLE)", 3)} AS at3,
+    CASE state WHEN 'Find' THEN 'FindDuplicate' WHEN 'Failed' THEN 'FailedCompensate' ELSE 'CompensateMotion' END AS named,
+    CASE WHEN outcome = 'Ok' THEN 'chain' WHEN outcome = 'FailDuplicate' THEN 'duplicate' ELSE 'skipped' END AS kind
+  FROM steps WHERE outcome IN ('Ok', 'FailDuplicate') OR (outcome IN ('FailLong', 'FailTooMuchMotion') AND state IN ('Find', 'Failed')) OR (outcome = 'CompensationRequired' AND state = 'Failed'))"""
+#: Frames take the colour of the highest rank: replaced 5, added 4, replaced after failed compensation 3, skipped 2, duplicate 1.
 PAINTED = f"""{LINES},
-ranges AS (SELECT video_id, a AS start, b AS stop, kind AS color FROM said WHERE kind <> 'duplicate' UNION ALL SELECT video_id, frame_num, frame_num + 1, kind FROM said WHERE kind = 'duplicate'
-  UNION ALL SELECT video_id, b - n_additional + 1, b, 'compensated' FROM said WHERE kind = 'chain' AND state = 'Compensate'),
-painted AS (SELECT video_id, frame_num, arg_max(color, CASE color WHEN 'skipped' THEN 1 WHEN 'duplicate' THEN 2 WHEN 'chain' THEN 3 ELSE 4 END) AS color
-  FROM (SELECT video_id, color, unnest(range(start, stop)) AS frame_num FROM ranges WHERE start < stop) GROUP BY video_id, frame_num),
+ranges AS (SELECT video_id, frame_num AS start, frame_num + 1 AS stop, 1 AS rank FROM said WHERE kind = 'duplicate'
+  UNION ALL SELECT video_id, first + 1, last, 2 FROM said WHERE kind = 'skipped'
+  UNION ALL SELECT video_id, first + 1, first + len - CASE state WHEN 'Compensate' THEN n_additional ELSE 0 END, CASE state WHEN 'Failed' THEN 3 ELSE 5 END FROM said WHERE kind = 'chain'
+  UNION ALL SELECT video_id, first + len - n_additional, last, 4 FROM said WHERE kind = 'chain' AND state = 'Compensate'),
+painted AS (SELECT video_id, frame_num, (['duplicate', 'skipped', 'failed', 'additional', 'replaced'])[max(rank)] AS color
+  FROM (SELECT video_id, rank, unnest(range(start, stop)) AS frame_num FROM ranges WHERE start < stop) GROUP BY video_id, frame_num),
 colors AS (SELECT video_id, color, min(frame_num) AS start, max(frame_num) + 1 AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_num) AS r
   FROM (SELECT *, CASE WHEN lag(frame_num) OVER w = frame_num - 1 AND lag(color) OVER w = color THEN 0 ELSE 1 END AS new FROM painted WINDOW w AS (PARTITION BY video_id ORDER BY frame_num))) GROUP BY video_id, color, r)"""
 LAGS = f"""{FRAMES},
@@ -99,8 +110,14 @@ u AS (SELECT video_id, frame_num, max(t) AS t, max(f) AS f FROM (SELECT video_id
 g AS (SELECT u.video_id, sum(t * f) AS tp, sum((1 - t) * f) AS fp, sum(t * (1 - f)) AS fn, max(CASE WHEN f = 1 THEN frame_num END) AS last FROM u GROUP BY u.video_id)
 SELECT g.video_id, CAST(greatest(coalesce((SELECT max(start + length) FROM lags WHERE lags.video_id = g.video_id), 0), coalesce(last, 0)) + 1 - tp - fp - fn AS BIGINT) AS true_negatives, CAST(tp AS BIGINT) AS true_positives, CAST(fn AS BIGINT) AS false_negatives, CAST(fp AS BIGINT) AS false_positives FROM g""",
     "precision_recall_f1": "WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels), r AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS p, tp / CAST(tp + fn AS DOUBLE) AS q FROM c) SELECT tn AS true_negatives, tp AS true_positives, fn AS false_negatives, fp AS false_positives, p AS precision, q AS recall, 2 * p * q / (p + q) AS f1_score FROM r",
-    "log_lines": f"WITH RECURSIVE {LINES} SELECT video_id, step, CASE kind WHEN 'chain' THEN '[INFO] Duplicate chain ' || chain_i || ' found #' || a || '-#' || b || ', length: ' || len || ', chain_motion: ' || cm3 || ', state: ' || CASE state WHEN 'Compensate' THEN 'Compensate {{ n_additional: ' || n_additional || ' }}' ELSE state END WHEN 'duplicate' THEN '[DEBUG] Found duplicate at #' || frame_num ELSE '[DEBUG] Skipping duplicate chain #' || a || '-#' || b || ': #' || outcome || ', state: ' || state END AS line FROM said",
-    "parse_log": f"WITH RECURSIVE {LINES} SELECT video_id, step, kind, CASE kind WHEN 'duplicate' THEN frame_num END AS frame, CASE kind WHEN 'chain' THEN chain_i END AS chain_i, CASE WHEN kind <> 'duplicate' THEN a END AS start, CASE WHEN kind <> 'duplicate' THEN b END AS \"end\", CASE kind WHEN 'chain' THEN CAST(len AS BIGINT) END AS length, CASE kind WHEN 'chain' THEN CAST(cm3 AS DOUBLE) END AS chain_motion, CASE WHEN kind <> 'duplicate' THEN state END AS state, CASE WHEN kind = 'chain' AND state = 'Compensate' THEN CAST(n_additional AS BIGINT) END AS n_additional, CASE kind WHEN 'skipped' THEN outcome END AS result FROM said",
+    "log_lines": f"WITH RECURSIVE {LINES} SELECT video_id, step, CASE kind WHEN 'duplicate' THEN '[DEBUG] Found duplicate at #' || frame_num "
+    "WHEN 'skipped' THEN '[DEBUG] Skipping duplicate chain #' || first || '-#' || last || ': #' || outcome || ', state: ' || named "
+    "ELSE '[INFO] Duplicate chain ' || chain_i || ' found #' || first || '-#' || last || ', length: ' || len || ', diff: ' || diff4 || ', end_conf: ' || conf4 || ', chain_motion: ' || motion4 "
+    "|| ', state: ' || named || CASE state WHEN 'Compensate' THEN ' { n_additional: ' || n_additional || ' }' ELSE '' END || ' at ' || at3 || 's' END AS line FROM said",
+    "parse_log": f"WITH RECURSIVE {LINES} SELECT video_id, step, kind, CASE kind WHEN 'duplicate' THEN frame_num END AS frame, CASE kind WHEN 'chain' THEN chain_i END AS chain_i, CASE WHEN kind <> 'duplicate' THEN first END AS start, "
+    "CASE WHEN kind <> 'duplicate' THEN last END AS \"end\", CASE kind WHEN 'chain' THEN CAST(len AS BIGINT) END AS length, CASE kind WHEN 'chain' THEN CAST(diff4 AS DOUBLE) END AS diff, CASE kind WHEN 'chain' THEN CAST(conf4 AS DOUBLE) END AS end_conf, "
+    "CASE kind WHEN 'chain' THEN CAST(motion4 AS DOUBLE) END AS chain_motion, CASE WHEN kind <> 'duplicate' THEN named END AS state, CASE WHEN kind = 'chain' AND state = 'Compensate' THEN CAST(n_additional AS BIGINT) END AS n_additional, "
+    "CASE kind WHEN 'chain' THEN CAST(at3 AS DOUBLE) END AS at_s, CASE kind WHEN 'skipped' THEN outcome END AS result FROM said",
     "painted_frames": f"WITH RECURSIVE {PAINTED} SELECT * FROM painted",
     "color_ranges": f"WITH RECURSIVE {PAINTED} SELECT * FROM colors",
     "clip_ranges": f"WITH RECURSIVE {PAINTED} SELECT video_id, color, greatest(start, 28) - 28 AS start, least(stop, 52) - 28 AS stop FROM colors WHERE stop > 28 AND start < 52",
@@ -108,6 +125,16 @@ SELECT g.video_id, CAST(greatest(coalesce((SELECT max(start + length) FROM lags
     "segment_plan": f"WITH {FRAMES}, v AS (SELECT video_id, CAST(count(*) AS DOUBLE) AS d FROM frames GROUP BY video_id), p AS (SELECT *, CAST(least(4, floor((d - 5) / 15) + 1) AS INTEGER) AS n FROM v), q AS (SELECT *, (d - n * 5) / (n + 1) AS gap, unnest(range(0, n)) AS k FROM p WHERE n > 0) SELECT video_id, CAST(k AS INTEGER) AS i, round(gap * (k + 1) + k * 5, 6) AS start_s FROM q",
     "command_codec": "SELECT o_orderkey, 'gets|' || o_orderstatus || '|' || o_orderpriority AS cmd, 'gets' AS kind, 2 AS n_args, o_orderpriority AS last_arg FROM orders",
     "seek_frame": f"WITH {FRAMES}, f AS (SELECT * FROM frames WHERE frame_num % 3 = 0) SELECT video_id, target, coalesce(min(frame_num) FILTER (frame_num >= target), max(frame_num)) AS frame_num FROM f, (SELECT unnest([0, 5, 17, 1000]) AS target) GROUP BY video_id, target",
+    "seek_clip": f"WITH {FRAMES} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_num) - 1 AS frame_num, round(frame_num / CAST(60 AS DOUBLE), 6) AS ts_s, value FROM frames WHERE frame_num BETWEEN 15 AND 44",
+    "frame_index": "WITH r AS (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * CAST(24 AS DOUBLE) WHEN o_orderkey % 2 > 0 THEN CAST(25 AS DOUBLE) ELSE CAST(60 AS DOUBLE) END AS rate FROM orders) "
+    "SELECT o_orderkey, rate, CAST(greatest(0, round_even(floor(o_totalprice) * CAST(0.001 AS DOUBLE) * rate, 0)) AS BIGINT) AS frame_num, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 ELSE CAST(floor(rate * (o_totalprice / 1000)) AS BIGINT) END AS n_frames FROM r",
+    "parse_kwargs": "SELECT p_partkey, CAST(p_size AS BIGINT) AS size, round(p_size / CAST(2 AS DOUBLE), 6) AS half, p_size > 25 AS big, p_brand AS brand, 'none' AS none_kind, p_size AS width, p_size * 2 AS height, true AS bad_is_null FROM part",
+    "overlapping_patches": f"WITH {CHAINS}, p AS (SELECT video_id, chain_i, frames[2] AS start, frames[-1] - frames[2] + 5 AS length FROM chains) SELECT b.video_id, b.chain_i, b.start, b.length FROM p b JOIN p a ON a.video_id = b.video_id AND a.chain_i = b.chain_i - 1 AND b.start < a.start + a.length",
+    "denormalised": "SELECT l_orderkey, l_linenumber, round(CASE WHEN x > 0 THEN x ELSE 0 END, 6) AS target FROM (SELECT *, (l_quantity - 30) / 10 * (l_tax * 10) + l_discount AS x FROM lineitem)",
+    "normalised_pixels": f"WITH {THUMBS}, b AS (SELECT frame_num, list_transform(t, lambda x: least(255, greatest(0, floor((x + 1) * CAST(127.5 AS DOUBLE))))) AS p FROM thumbs), d AS (SELECT y.frame_num, unnest(list_transform(range(1, len(y.p) + 1), lambda i: x.p[i] / 255 - y.p[i] / 255)) AS v "
+    "FROM b x JOIN b y ON y.frame_num = x.frame_num + 1) SELECT frame_num, round(sum(v), 6) AS total, round(avg(abs(v)), 6) AS mean_abs FROM d GROUP BY frame_num",
+    "boundary_frames": f"WITH {CHAINS}, e AS (SELECT video_id, chain_i, '0.webp' AS name, frames[1] AS frame_num FROM chains UNION ALL SELECT video_id, chain_i, '1.webp', end_frame FROM chains) SELECT e.*, f.value FROM e JOIN frames f ON f.video_id = e.video_id AND f.frame_num = e.frame_num",
+    "split_counts": "SELECT k <= floor(n * 0.25) AS is_validation, count(*) AS n FROM (SELECT row_number() OVER () AS k, count(*) OVER () AS n FROM orders) GROUP BY 1",
     "variation_groups": f"WITH {GROUPS} SELECT segment, frame_num, array_to_string(paths, ',') AS paths FROM groups",
     "adjacent_pairs": f"WITH {GROUPS} SELECT segment, frame_num, array_to_string(before, ',') AS before, array_to_string(after, ',') AS after FROM adjacent",
     "same_cross_pairs": f"""WITH {GROUPS}, x AS (SELECT segment, frame_num, unnest(before) AS p, unnest(range(len(before))) AS i, 0 AS side FROM adjacent UNION ALL SELECT segment, frame_num, unnest(after), unnest(range(len(after))), 1 FROM adjacent),
@@ -126,3 +153,8 @@ SELECT before, after, false AS different FROM same UNION ALL SELECT c.before, c.
     + ", ".join(f"round(avg({n}), 6) AS {n}_of_batches" for n in _LOSS)
     + " FROM b GROUP BY epoch) SELECT * FROM v JOIN w USING (epoch)",
 }
+_IMAGES = "(SELECT source || '/' || printf('%05d.png', doc_id) AS path, n_chars FROM documents)"
+ORACLES["sample_images"] = (
+    f"SELECT s.before, s.after, a.n_chars AS before_chars, b.n_chars AS after_chars FROM ({ORACLES['same_cross_pairs']}) s "
+    f"JOIN {_IMAGES} a ON a.path = s.before JOIN {_IMAGES} b ON b.path = s.after WHERE s.different"
+)

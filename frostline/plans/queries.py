@@ -12,7 +12,7 @@ from ..functions import pixels as P
 from ..functions import text as T
 from ..operators import datasets, faults, logs, matcher, patching, scoring, sequences
 from ..sources import frames as S
-from ..sources.order import CHUNK
+from ..sources.order import chunk_for
 from ..sources.staging import as_stream, run_stream
 from ..streaming import matching
 
@@ -31,16 +31,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _chunk(spark: SparkSession, sf_dir: str) -> int | None:
+    """The size of chunks if a video is so long that it needs them."""
+    return chunk_for(_read(spark, sf_dir, "events"), "user_id")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.event_scores(_read(spark, sf_dir, "events"), chunk=CHUNK)
+    return S.event_scores(_read(spark, sf_dir, "events"), chunk=_chunk(spark, sf_dir))
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.event_frames(_read(spark, sf_dir, "events"))
+    return S.event_frames(_read(spark, sf_dir, "events"), chunk=_chunk(spark, sf_dir))
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.simple_chains(_scores(spark, sf_dir))
+    return sequences.simple_chains(_scores(spark, sf_dir), chunk=_chunk(spark, sf_dir))
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def ema_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ema_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.ema_running(_frames(spark, sf_dir), 1 / 3).withColumn("ema", F.round("ema", 6))
+    return sequences.ema_running(_frames(spark, sf_dir), 1 / 3, chunk=_chunk(spark, sf_dir)).withColumn("ema", F.round("ema", 6))
 
 
 @_query
@@ -205,7 +210,7 @@ def job_release_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     done_at = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("video_id").cast("string"), F.col("chain_i").cast("string"))), 1, 6), 16, 10).cast("long")
     completions = jobs.select(patching.job_key(F.col("in0"), F.col("in1"), F.col("out")).alias("key"), F.col("video_id").alias("of"), done_at.alias("done_at"))
     done = patching.completed(jobs, completions).where("of = video_id")
-    return patching.release_order(done).select("video_id", "chain_i", "done_at", "released_at")
+    return patching.release_order(done, chunk=_chunk(spark, sf_dir)).select("video_id", "chain_i", "done_at", "released_at")
 
 
 @_query
@@ -268,12 +273,12 @@ def painted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def color_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.color_ranges(_painted(spark, sf_dir))
+    return logs.color_ranges(_painted(spark, sf_dir), chunk=_chunk(spark, sf_dir))
 
 
 @_query
 def clip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.clip_ranges(logs.color_ranges(_painted(spark, sf_dir)), center=40, fps=2, total=1000)
+    return logs.clip_ranges(logs.color_ranges(_painted(spark, sf_dir), chunk=_chunk(spark, sf_dir)), center=40, fps=2, total=1000)
 
 
 @_query
@@ -302,7 +307,80 @@ def command_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seek_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir).where("frame_num % 3 = 0")
     targets = frames.select("video_id").distinct().select("video_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 17, 1000)))).alias("target"))
-    return sequences.seek_frames(frames, targets)
+    return sequences.seek_frames(frames, targets, chunk=_chunk(spark, sf_dir))
+
+
+@_query
+def seek_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a second of each video, from a quarter of a second on."""
+    return S.seek(_frames(spark, sf_dir), 0.25, 0.5).select("video_id", "frame_num", F.round("ts_s", 6).alias("ts_s"), "value")
+
+
+@_query
+def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that time stamps in thousandths belong to, at the rate that a file tells."""
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey") % 3 * 24.0, (F.col("o_orderkey") % 2 * 25.0).alias("nominal"), "o_totalprice").toDF("o_orderkey", "average", "nominal", "price")
+    rate = S.frame_rate(F.col("average"), F.col("nominal"))
+    told = F.col("o_orderkey") % 5
+    count = S.frame_count(told, rate, F.col("price") / 1000)
+    return rows.select("o_orderkey", rate.alias("rate"), S.frame_index(F.floor("price"), F.lit(0.001), rate).alias("frame_num"), count.alias("n_frames"))
+
+
+@_query
+def parse_kwargs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments of each part as literals, and its size as a resolution."""
+    part = _read(spark, sf_dir, "part")
+    given = F.concat(F.lit("size="), F.col("p_size").cast("string"), F.lit(",half="), (F.col("p_size") / 2.0).cast("string"), F.lit(",big="), F.when(F.col("p_size") > 25, "True").otherwise("False"), F.lit(",brand="), "p_brand", F.lit(",none=None"))
+    rows = part.select("p_partkey", "p_size", T.kwargs(given).alias("k"), T.resolution(F.concat(F.col("p_size").cast("string"), F.lit("x"), (F.col("p_size") * 2).cast("string"))).alias("r"), T.resolution(F.col("p_brand")).alias("bad"))
+    k = F.col("k")
+    return rows.select(
+        "p_partkey", k["size"]["int"].alias("size"), F.round(k["half"]["float"], 6).alias("half"), k["big"]["bool"].alias("big"), k["brand"]["str"].alias("brand"), k["none"]["kind"].alias("none_kind"),
+        F.col("r.width").alias("width"), F.col("r.height").alias("height"), F.col("bad").isNull().alias("bad_is_null"),
+    )
+
+
+@_query
+def sample_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of adjacent groups with the contents of both their images, here the lengths of two texts."""
+    name = F.concat("source", F.lit("/"), T.frame_name(F.col("doc_id")))
+    images = _read(spark, sf_dir, "documents").select(name.alias("path"), F.col("n_chars").alias("content"))
+    out = S.images_of(same_cross_pairs(spark, sf_dir).where("different"), images)
+    return out.select("before", "after", F.col("first_data").alias("before_chars"), F.col("second_data").alias("after_chars"))
+
+
+@_query
+def overlapping_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of a video that begin before the one before them has ended, if each were four frames longer."""
+    patches = patching.patch_ranges(_chains(spark, sf_dir)).withColumn("length", F.col("length") + 4)
+    return patching.overlapping(patches).select("video_id", "chain_i", "start", "length")
+
+
+@_query
+def denormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's outputs, scaled back and cut at zero."""
+    out = L.denormalised((F.col("l_quantity") - 30) / 10, F.col("l_discount"), F.col("l_tax") * 10)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(out, 6).alias("target"))
+
+
+@_query
+def normalised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a motion model takes: thumbnails in bytes, scaled to 0 to 1, the earlier less the later one."""
+    thumbs = S.thumbnails(_read(spark, sf_dir, "embeddings")).select("frame_num", F.transform("thumb", P.to_byte).alias("thumb"))
+    change = P.difference(P.normalised(F.col("before")), P.normalised(F.col("thumb")))
+    rows = sequences.neighbours(thumbs).select("frame_num", change.alias("change"))
+    return rows.select("frame_num", F.round(F.aggregate("change", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(P.mean_abs(F.col("change")), 6).alias("mean_abs"))
+
+
+@_query
+def boundary_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames between which each chain is filled in."""
+    return sequences.boundary_frames(_chains(spark, sf_dir), _frames(spark, sf_dir)).select("video_id", "chain_i", "name", "frame_num", "value")
+
+
+@_query
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each part of a split."""
+    return train_val_split(spark, sf_dir).groupBy("is_validation").agg(F.count("*").alias("n"))
 
 
 @_query

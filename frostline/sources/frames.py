@@ -19,11 +19,7 @@ def by_frame() -> WindowSpec:
 
 def _events(events: DataFrame, chunk: int | None) -> DataFrame:
     rows = events.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value")
-    if chunk:
-        rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"), chunk=chunk)
-    else:
-        w = W.partitionBy("video_id").orderBy("event_id")
-        rows = rows.withColumns({"frame_num": (F.row_number().over(w) - 1).cast("long"), "event_type_before": F.lag("event_type").over(w), "value_before": F.lag("value").over(w)})
+    rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"), chunk=chunk)
     return rows.withColumn("ts_s", F.col("frame_num") / F.lit(FRAMERATE))
 
 
@@ -74,6 +70,20 @@ def write_lags(lags: DataFrame, path: str) -> None:
     lags.select("start", "length").orderBy("start").write.mode("overwrite").csv(path)
 
 
+def read_video_lags(spark: SparkSession, path: str) -> DataFrame:
+    """Known lags (video_id, start, length) of a folder with a file NUMBER.lags.csv for each video, or with what
+    write_video_lags() has written. The number is the video."""
+    files = spark.read.schema("start long, length long").option("mode", "FAILFAST").option("recursiveFileLookup", True).csv(path)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"(?:video_id=(\d+)/[^/]*|/(\d+)\.lags\.csv)$", 1)
+    other = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)\.lags\.csv$", 1)
+    return files.select(F.coalesce(number.try_cast("long"), other.try_cast("long")).alias("video_id"), "start", "length")
+
+
+def write_video_lags(lags: DataFrame, path: str) -> None:
+    """A folder video_id=NUMBER for each video, its lags sorted by start."""
+    lags.select("video_id", "start", "length").repartition("video_id").sortWithinPartitions("video_id", "start").write.mode("overwrite").partitionBy("video_id").csv(path)
+
+
 def read_motion_samples(spark: SparkSession, path: str) -> DataFrame:
     """Motion samples; these files have no header, so none is looked for."""
     return spark.read.schema("f0 string, f1 string, motion double, avg_flow_x double, avg_flow_y double").csv(path)
@@ -95,13 +105,30 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def list_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """Images below a folder (path, segment, frame_num), without augmented ones, in name order."""
+#: Names of images that augmentation has made (a fixed format).
+AUGMENTED = r"^.+/[^.]+\.png_.+\.png$"
+
+
+def read_images(spark: SparkSession, path: str, glob: str = "*.png", augmented: bool = False) -> DataFrame:
+    """Images below a folder (path, segment, frame_num, content), with augmented ones or without, in no order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = files.where(~F.col("path").rlike(r"^.+/[^.]+\.png_.+\.png$"))
-    number = F.split(name, r"\.png")[0].try_cast("long")
-    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("segment"), number.alias("frame_num"), "content").orderBy("path")
+    files = files if augmented else files.where(~F.col("path").rlike(AUGMENTED))
+    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("segment"), frame_number(F.col("path")).alias("frame_num"), "content")
+
+
+def list_images(spark: SparkSession, path: str, glob: str = "*.png", augmented: bool = False) -> DataFrame:
+    """The same without contents, which are not read then, in name order."""
+    return read_images(spark, path, glob, augmented).drop("content").orderBy("path")
+
+
+def frame_number(path: Column) -> Column:
+    """The number before the first .png of a path's last part; null if there is none."""
+    return F.split(F.element_at(F.split(path, "/"), -1), r"\.png")[0].try_cast("long")
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Images (video_id, name, data, ...) as Parquet, a folder for each video."""
+    images.write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
 def images_of(samples: DataFrame, images: DataFrame, first: str = "before", second: str = "after") -> DataFrame:
@@ -116,6 +143,11 @@ def frame_rate(average: Column, nominal: Column) -> Column:
     return F.coalesce(F.when(average > 0, average), F.when(nominal > 0, nominal), F.lit(FRAMERATE))
 
 
+def frame_count(told: Column, rate: Column, duration_s: Column) -> Column:
+    """The number of frames that a file tells, or else what rate and duration make; 0 without either."""
+    return F.coalesce(F.when(told > 0, told.cast("long")), F.floor(rate * duration_s).cast("long"), F.lit(0).cast("long"))
+
+
 def frame_index(pts: Column, time_base: Column, rate: Column) -> Column:
     """The frame that a time stamp belongs to; halves go to the even number."""
     return F.greatest(F.lit(0), F.rint(pts * time_base * rate)).cast("long")

@@ -1,7 +1,8 @@
 """Places and running maxima in the order of each key, for keys of any size.
 
-A key's rows are cut into chunks of its order's numbers. Windows run inside chunks; what a chunk takes over from those
-before it comes from one row per chunk. So a key with a third of all rows is many tasks and not one.
+Without a key of more than CHUNK rows (chunk_for() tells) one window by key does. Otherwise a large key's rows are cut
+into chunks of its order's numbers. Windows run inside chunks; what a chunk takes over from those before it comes from
+one row per chunk. So a key with a third of all rows is many tasks and not one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,15 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
+def chunk_for(rows: DataFrame, key: str, chunk: int = CHUNK) -> int | None:
+    """chunk if a key has more rows than that, else None. Counts at once, from the one column."""
+    return None if _large(rows, key, chunk).isEmpty() else chunk
+
+
+def _large(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
+
+
 def _chunked(rows: DataFrame, order: str, chunk: int) -> DataFrame:
     return rows.withColumn("_chunk", F.expr(f"{order} div {chunk}"))
 
@@ -22,10 +32,16 @@ def _with_parts(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     return rows.join(parts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_of"))).drop("_key", "_of", "_chunk")
 
 
-def numbered(rows: DataFrame, key: str, order: str, name: str, before: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: str, name: str, before: tuple[str, ...] = (), chunk: int | None = CHUNK) -> DataFrame:
     """rows with name, the place in the key's order from 0 on, and for each column c of before, c_before of the row at
-    the place before. Numbers of the order, which is whole numbers, occur once in a key."""
-    rows = _chunked(rows, order, chunk)
+    the place before. Numbers of the order, which is whole numbers, occur once in a key. A key of at most chunk rows is
+    one chunk, however far apart its numbers are."""
+    if chunk is None:
+        w = W.partitionBy(key).orderBy(order)
+        return rows.withColumns({name: (F.row_number().over(w) - 1).cast("long")} | {f"{c}_before": F.lag(c).over(w) for c in before})
+    large = _large(rows, key, chunk).select(F.col(key).alias("_key"), F.lit(True).alias("_many"))  # one key in chunk rows at most
+    rows = rows.join(large, F.col(key).eqNullSafe(F.col("_key")), "left")
+    rows = _chunked(rows, order, chunk).withColumn("_chunk", F.when(F.col("_many"), F.col("_chunk")).otherwise(0)).drop("_key", "_many")
     inside, across = W.partitionBy(key, "_chunk").orderBy(order), W.partitionBy(key).orderBy("_chunk")
     last = F.struct(order, *before)
     parts = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n"), F.max_by(last, order).alias("_last"))
@@ -36,8 +52,10 @@ def numbered(rows: DataFrame, key: str, order: str, name: str, before: tuple[str
     return rows.drop("_i", "_lag", "_ahead", "_carried", "_row_before")
 
 
-def running_max(rows: DataFrame, key: str, order: str, value: Column, name: str, to: int = 0, chunk: int = CHUNK) -> DataFrame:
+def running_max(rows: DataFrame, key: str, order: str, value: Column, name: str, to: int = 0, chunk: int | None = CHUNK) -> DataFrame:
     """rows with name, the greatest value up to the row in the key's order (to = -1: up to the one before it)."""
+    if chunk is None:
+        return rows.withColumn(name, F.max(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, to)))
     rows = _chunked(rows.withColumn("_value", value), order, chunk)
     across = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, to)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,23 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on
+    one machine (tests). On a cluster it has to be set: executors would write to disks of their own otherwise."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="frostline-")
         sc.setCheckpointDir(found)
     return found
 
 
+_STAGED: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the shared folder, which goes when the driver's JVM ends."""
+    """A new path in the shared folder, which goes with free_staged() or when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/frostline-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    _STAGED.append(path)
     return path
 
 
+def free_staged(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was staged, from the since-th path on (n_staged() tells how many there are).
+
+    Results that were not written yet read what they were staged from, so this is for a caller that has written them.
+    """
+    while len(_STAGED) > since:
+        system, where = _file_system(spark, _STAGED.pop())
+        system.delete(where, True)
+
+
+def n_staged() -> int:
+    return len(_STAGED)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again.
 

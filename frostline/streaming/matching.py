@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.matcher import STEP_SCHEMA, ChainMatcher
 from ..params import REPAIR, MatcherParams
 
 _BLOB = StructType([StructField("blob", BinaryType())])
+PART = 10_000  # rows that a task puts out at once
 _COUNT = StructType([StructField("n", LongType())])
 
 
 class _InOrder(StatefulProcessor):
-    """Takes a key's rows in the order of a number from 0 on without gaps, whatever batch they come in. Rows that came
-    early wait in state, one entry each."""
+    """Takes a key's rows in the order of a number from 0 on without gaps, whatever batch they come in.
+
+    Rows that came early wait in state, one entry each, put there as each Arrow batch arrives; no more than one is in
+    memory. A number that never comes holds up its key for good, and what follows it waits in state: a stream whose rows
+    may be lost has to number them anew upstream.
+    """
 
     number, columns = "frame_num", ()
 
@@ -30,22 +36,19 @@ class _InOrder(StatefulProcessor):
 
     def ready(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         n = self.next.get()[0] if self.next.exists() else 0
-        early: dict[int, tuple] = {}
         for rows in batches:
+            rows = rows.sort_values(self.number, ignore_index=True)
             columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in self.columns]
-            early |= {int(k): row for k, row in zip(rows[self.number], zip(*columns, strict=True), strict=True) if k >= n}
-        while True:
-            if n in early:
-                row = early.pop(n)
-            elif self.waiting.containsKey((n,)):
-                row = pickle.loads(self.waiting.getValue((n,))[0])
-                self.waiting.removeKey((n,))
-            else:
-                break
-            yield row
-            n += 1
-        for k, row in early.items():
-            self.waiting.updateValue((k,), (pickle.dumps(row),))
+            for k, row in zip(rows[self.number].tolist(), zip(*columns, strict=True), strict=True):
+                if k > n:
+                    self.waiting.updateValue((k,), (pickle.dumps(row),))
+                elif k == n:
+                    yield row
+                    n += 1
+                    while self.waiting.containsKey((n,)):
+                        yield pickle.loads(self.waiting.getValue((n,))[0])
+                        self.waiting.removeKey((n,))
+                        n += 1
         self.next.update((n,))
 
     def close(self) -> None:
@@ -60,9 +63,11 @@ class MatcherProcessor(_InOrder):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         matcher = pickle.loads(self.memory.get()[0]) if self.memory.exists() else ChainMatcher(self.params)
-        out = [s | {"video_id": key[0]} for row in self.ready(rows) for s in matcher.feed(row)]
+        steps = (s | {"video_id": key[0]} for row in self.ready(rows) for s in matcher.feed(row))
+        while part := list(islice(steps, PART)):
+            yield pd.DataFrame(part, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
+        matcher.told = []
         self.memory.update((pickle.dumps(matcher),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
 
 
 class ReleaseProcessor(_InOrder):
@@ -71,7 +76,9 @@ class ReleaseProcessor(_InOrder):
     number, columns = "chain_i", ("chain_i", "out")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        yield pd.DataFrame([(key[0], *row) for row in self.ready(rows)], columns=["video_id", "chain_i", "out"])
+        done = ((key[0], *row) for row in self.ready(rows))
+        while part := list(islice(done, PART)):
+            yield pd.DataFrame(part, columns=["video_id", "chain_i", "out"])
 
 
 def match_stream(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
@@ -82,3 +89,15 @@ def match_stream(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame
 def release_stream(completions: DataFrame) -> DataFrame:
     """Completions (video_id, chain_i, out), each released once all before it are done."""
     return completions.groupBy("video_id").transformWithStateInPandas(ReleaseProcessor(), outputStructType="video_id long, chain_i long, out string", outputMode="Append", timeMode="None")
+
+
+def on_done(released: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a stream that calls back with what each batch has released, in order within a video, and the batch's number.
+
+    After a failure a batch may be told again, under its old number.
+    """
+
+    def tell(rows: DataFrame, batch: int) -> None:
+        callback(rows.sortWithinPartitions("video_id", "chain_i"), batch)
+
+    return released.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from frostline.__main__ import main
 from frostline.functions import pixels as P
 from frostline.functions import text as T
-from frostline.sources.frames import event_frames, event_scores
+from frostline.sources.frames import event_frames, event_scores, read_duplicate_samples
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -27,9 +27,21 @@ def test_commands(spark, tmp_path):
     spark.createDataFrame([(1, 0.005), (2, 0.5)], "frame_num long, distance double").write.parquet(at["pairs"])
     main(["extract-similar", at["pairs"], at["similar"], "--max", "0.01"])
     assert sorted(r.frame_num for r in spark.read.parquet(at["similar"]).collect()) == [0, 1]
-    (tmp_path / "run.log").write_text("[INFO] other\n[DEBUG] Found duplicate at #5\n[INFO] Duplicate chain 0 found #4-#7, length: 4, chain_motion: 2.000, state: Find\n")
+    (tmp_path / "run.log").write_text("[INFO] other\n[DEBUG] Found duplicate at #5\n[INFO] Duplicate chain 0 found #4-#7, length: 4, diff: 0.0000, end_conf: 1.0000, chain_motion: 2.0000, state: FindDuplicate at 0.067s\n")
     main(["view-log", str(tmp_path / "run.log"), at["view"]])
-    assert [tuple(r) for r in spark.read.parquet(at["view"]).collect()] == [(0, "chain", 4, 7)]
+    assert [tuple(r) for r in spark.read.parquet(at["view"]).collect()] == [(0, "replaced", 5, 8)]
+
+
+def test_dataset_is_built_from_images(spark, tmp_path):
+    (tmp_path / "images" / "7").mkdir(parents=True)
+    for frame in range(6):
+        for name in (f"{frame}.png", f"{frame}.png_0.png", f"{frame}.png_1.png"):
+            (tmp_path / "images" / "7" / name).write_bytes(b"x")
+    main(["build-dataset", str(tmp_path / "images"), str(tmp_path / "out")])
+    parts = {n: read_duplicate_samples(spark, str(tmp_path / "out" / n)) for n in ("train", "val")}
+    n = {k: v.count() for k, v in parts.items()}
+    assert n["val"] == (n["train"] + n["val"]) // 4 and n["train"] + n["val"] == 5 * (2 * 3 + 1 + 7)
+    assert parts["train"].where("different").count() > 0
 
 
 def test_paths_and_arguments(spark):

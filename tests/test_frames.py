@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from frostline.functions import losses as L
 from frostline.functions import pixels as P
 from frostline.functions import text as T
-from frostline.operators import datasets, faults, logs, patching, scoring, sequences
+from frostline.operators import datasets, faults, features, logs, patching, scoring, sequences
 from frostline.sources import frames as S
 
 
@@ -40,7 +40,7 @@ def test_images_are_listed_without_augmented_ones(spark, tmp_path):
     rows = S.list_images(spark, str(tmp_path)).collect()
     assert [(r.segment, r.frame_num) for r in rows] == [("7", 1), ("7", 2)]
     samples = spark.createDataFrame([(rows[0].path, rows[1].path)], "before string, after string")
-    found = S.images_of(samples, S.list_images(spark, str(tmp_path))).first()
+    found = S.images_of(samples, S.read_images(spark, str(tmp_path))).first()
     assert (bytes(found.first_data), bytes(found.second_data)) == (b"1.png", b"2.png")
 
 
@@ -56,6 +56,37 @@ def test_pixels(spark):
     assert r.g == [255, (770 + 3000 + 870) >> 8] and r.h == [1, 0, 0] and r.d == 1 / 9 and r.p == 2
 
 
+def _field(number, value):
+    """A field of a protocol buffer: a whole number, or bytes, text or a message."""
+    varint = lambda n: bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def mean_model(path, channels):
+    """An ONNX model whose output is the mean of its input [1, channels, 2, 3]."""
+    axes = _field(5, _field(1, "axes") + b"".join(_field(8, a) for a in (1, 2, 3)) + _field(20, 7))
+    keep = _field(5, _field(1, "keepdims") + _field(3, 0) + _field(20, 2))
+    node = _field(1, "input") + _field(2, "output") + _field(4, "ReduceMean") + axes + keep
+    tensor = lambda name, *dims: _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, b"".join(_field(1, _field(1, d)) for d in dims))))
+    graph = _field(1, node) + _field(2, "g") + _field(11, tensor("input", 1, channels, 2, 3)) + _field(12, tensor("output", 1))
+    path.write_bytes(_field(1, 8) + _field(8, _field(1, "") + _field(2, 13)) + _field(7, graph))
+    return str(path)
+
+
+def test_models_take_scaled_pixels(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    a, b = bytes([0, 51, 102, 153, 204, 255]), bytes([255, 0, 0, 0, 0, 0])
+    pairs = spark.createDataFrame([(1, a, b, 0.1), (2, a, b, 0.9)], "frame_num long, before binary, thumb binary, distance double")
+    distinct = scoring.model_scores(pairs, scoring.onnx_model(mean_model(tmp_path / "d.onnx", 2), shape=(2, 3)), 0.5)
+    got = {r.frame_num: r.distinct for r in distinct.collect()}
+    assert abs(got[1] - 1 / (1 + np.exp(-(3 + 1) / 12))) < 1e-6 and got[2] == 1.0
+    motion = scoring.model_scores(pairs, scoring.onnx_motion(mean_model(tmp_path / "m.onnx", 1), shape=(2, 3)), float("inf"), "motion")
+    assert all(abs(r.motion - (3 - 1) / 6) < 1e-6 for r in motion.collect())
+
+
 def test_gate_holds_in_the_batch(spark):
     pairs = spark.createDataFrame([(1, [0.0], [1.0], 0.1), (2, [0.0], [1.0], 0.9)], "frame_num long, before array<double>, thumb array<double>, distance double")
 
@@ -108,19 +139,114 @@ def test_scores_of_nothing_are_nan(spark):
 
 def test_text(spark):
     r = spark.range(1).select(
-        T.group(F.lit("a.png b.png 0.5 -> o/002.png done (q - 40%)"), T.COMPLETION, 5).alias("q"), T.group(F.lit("a b 0.5 -> c done"), T.COMPLETION, 4).alias("out"), T.group(F.lit('Processing: "x.mp4"'), T.PROCESSING, 1).alias("src"),
+        T.group(F.lit("a.png b.png 0.5 -> o/002.png done (q - 40.5%)"), T.COMPLETION, 5).alias("q"), T.group(F.lit("a b 0.5 -> c done"), T.COMPLETION, 4).alias("out"), T.group(F.lit('Processing: "x.mp4"'), T.PROCESSING, 1).alias("src"),
         T.group(F.lit('Processing: "x.mp4" to "y.mp4"'), T.PROCESSING, 2).alias("dst"), T.fraction(F.lit("30000/1001")).alias("rate"), T.fraction(F.lit("25")).alias("whole"), T.frame_name(F.lit(1234567)).alias("long"),
         T.kwargs(F.lit("a=1,b=x")).alias("kw"), T.command(F.lit("gets"), F.lit("p")).alias("cmd"),
     ).first()
-    assert (r.q, r.out, r.src, r.dst, r.whole, r.long, r.cmd) == ("40", "c", "x.mp4", "y.mp4", 25.0, "1234567.png", "gets|p")
-    assert abs(r.rate - 29.97) < 0.01 and r.kw == {"a": "1", "b": "x"}
-
-
-def test_added_frames_are_painted_without_the_last(spark):
-    line = "[INFO] Duplicate chain 0 found #4-#10, length: 7, chain_motion: 4.500, state: Compensate { n_additional: 4 }"
-    parsed = logs.parse_log(spark.createDataFrame([(1, 0, line)], "video_id long, step long, line string"))
-    ranges = {r.color: (r.start, r.stop) for r in logs.color_ranges(logs.painted_frames(logs.painted_ranges(parsed))).collect()}
-    assert ranges == {"chain": (4, 7), "compensated": (7, 10)}
+    assert (r.q, r.out, r.src, r.dst, r.whole, r.long, r.cmd) == ("40.5", "c", "x.mp4", "y.mp4", 25.0, "1234567.png", "gets|p")
+    assert abs(r.rate - 29.97) < 0.01 and r.kw["a"].int == 1 and r.kw["b"].str == "x"
+
+
+def test_literals(spark):
+    texts = ["1", "-2.5", "1e3", "True", "None", "'a b'", '"x"', "Truth", "", "1.2.3", "99999999999999999999"]
+    got = [tuple(r.v) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.literal(F.col("t")).alias("v")).orderBy("i").collect()]
+    none = [None] * 4
+    want = [("int", 1, *none[1:]), ("float", None, -2.5, None, None), ("float", None, 1000.0, None, None), ("bool", None, None, True, None), ("none", *none)]
+    want += [("str", None, None, None, t) for t in ("a b", "x", "Truth", "", "1.2.3")] + [("float", None, 1e20, None, None)]
+    assert got == want
+
+
+def test_log_lines_as_the_program_writes_them(spark):
+    """Golden lines: a chain with added frames, one after failed compensation, a run given up, and what they paint."""
+    steps = [
+        (1, 0, 5, 1, "Find", 0, "FailDuplicate", 0.0, 0.01, 0.2, None, None),
+        (1, 1, 11, 7, "Compensate", 4, "Ok", 4.50004, 0.01236, 0.98765, 0, [i / 60 for i in range(4, 11)]),
+        (1, 2, 23, 3, "Failed", 0, "Ok", 0.9, None, 1.0, 1, [20 / 60, 21 / 60, 22 / 60]),
+        (1, 3, 45, 14, "Find", 0, "FailLong", 0.0, 0.0, 0.0, None, None),
+        (1, 4, 60, 3, "Failed", 0, "CompensationRequired", 0.0, 0.0, 1.0, None, None),
+        (1, 5, 70, 3, "Compensate", 2, "FailTooMuchMotion", 0.0, 0.0, 1.0, None, None),
+        (1, 6, 72, 1, "Find", 0, "FailShort", 0.0, 0.0, 1.0, None, None),
+    ]
+    schema = "video_id long, step long, frame_num long, len int, state string, n_additional int, outcome string, chain_motion double, diff double, end_conf double, chain_i long, timestamps array<double>"
+    lines = logs.log_lines(spark.createDataFrame(steps, schema))
+    assert [r.line for r in lines.orderBy("step").collect()] == [
+        "[DEBUG] Found duplicate at #5",
+        "[INFO] Duplicate chain 0 found #4-#10, length: 7, diff: 0.0124, end_conf: 0.9877, chain_motion: 4.5000, state: CompensateMotion { n_additional: 4 } at 0.067s",
+        "[INFO] Duplicate chain 1 found #20-#22, length: 3, diff: 0.0000, end_conf: 1.0000, chain_motion: 0.9000, state: FailedCompensate at 0.333s",
+        "[DEBUG] Skipping duplicate chain #31-#45: #FailLong, state: FindDuplicate",
+        "[DEBUG] Skipping duplicate chain #57-#60: #CompensationRequired, state: FailedCompensate",
+    ]
+    ranges = logs.color_ranges(logs.painted_frames(logs.painted_ranges(logs.parse_log(lines)))).orderBy("start").collect()
+    assert [(r.color, r.start, r.stop) for r in ranges] == [("replaced", 5, 7), ("additional", 7, 10), ("failed", 21, 23), ("skipped", 32, 45), ("skipped", 58, 60)]
+
+
+def test_colours_by_rank(spark):
+    colors = ["duplicate", "skipped", "failed", "additional", "replaced"]
+    rows = [(1, i, 9, c) for i, c in enumerate(colors)]
+    painted = logs.painted_frames(spark.createDataFrame(rows, "video_id long, start long, stop long, color string"))
+    assert [r.color for r in painted.orderBy("frame_num").collect()] == [*colors, *["replaced"] * 4]
+
+
+def test_other_log_lines_are_read_too(spark):
+    line = "[INFO] Duplicate chain 3 found #4-#10, length: 7, score: 1, chain_motion: 4.500, state: FindDuplicate"
+    row = logs.parse_log(spark.createDataFrame([(1, 0, line)], "video_id long, step long, line string")).first()
+    assert (row.chain_i, row.length, row.chain_motion, row.state, row["diff"], row.at_s) == (3, 7, 4.5, "FindDuplicate", None, None)
+
+
+def test_lags_by_video(spark, tmp_path):
+    lags = spark.createDataFrame([(7, 9, 2), (7, 3, 1), (8, 1, 1)], "video_id long, start long, length long")
+    S.write_video_lags(lags, str(tmp_path / "lags"))
+    back = S.read_video_lags(spark, str(tmp_path / "lags"))
+    assert sorted(map(tuple, back.collect())) == [(7, 3, 1), (7, 9, 2), (8, 1, 1)]
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "12.lags.csv").write_text("4,2\n")
+    assert [tuple(r) for r in S.read_video_lags(spark, str(tmp_path / "files")).collect()] == [(12, 4, 2)]
+    assert faults.confusion(back, faults.lag_frames(lags)).count() == 2
+
+
+def test_history_and_averages_in_chunks(spark):
+    frames = spark.createDataFrame([(v, i, float((i * 7 + v) % 5)) for v in (1, 2) for i in range(23)], "video_id long, frame_num long, value double")
+    for r in sequences.history(frames, 3, chunk=5).collect():
+        assert r.before == list(range(max(0, r.frame_num - 3), r.frame_num))
+    assert sequences.history(frames, 3, chunk=5).count() == 46
+    whole, parts = ({(r.video_id, r.frame_num): r.ema for r in sequences.ema_running(frames, 0.3, chunk=c).collect()} for c in (None, 4))
+    ema = None
+    for i in range(23):
+        x = float((i * 7 + 1) % 5)
+        ema = x if ema is None else 0.3 * x + 0.7 * ema
+        assert abs(whole[1, i] - ema) < 1e-12 and abs(parts[1, i] - ema) < 1e-12
+    assert len(parts) == 46
+    targets = spark.createDataFrame([(1, t) for t in (0, 4, 22, 23, 99)], "video_id long, target long")
+    gaps = frames.where("frame_num % 3 = 1")
+    for chunk in (None, 6):
+        assert {r.target: r.frame_num for r in sequences.seek_frames(gaps, targets, chunk).collect()} == {0: 1, 4: 4, 22: 22, 23: 22, 99: 22}
+
+
+def test_boundary_frames(spark):
+    frames = spark.createDataFrame([(1, i, bytes([i])) for i in range(10)], "video_id long, frame_num long, data binary")
+    chains = spark.createDataFrame([(1, 0, [3, 4, 5], 6)], "video_id long, chain_i long, frames array<long>, end_frame long")
+    rows = sequences.boundary_frames(chains, frames).orderBy("name").collect()
+    assert [(r.name, r.frame_num, bytes(r.data)) for r in rows] == [("0.webp", 3, b"\x03"), ("1.webp", 6, b"\x06")]
+
+
+def test_many_freezes(spark):
+    videos = spark.createDataFrame([(1, 100_000)], "video_id long, n_frames long")
+    assert faults.inject_lags(videos, n_inserts=60).count() == 60
+
+
+def test_picture_variations(spark):
+    rng = np.random.default_rng(3)
+    picture = np.clip(np.cumsum(rng.normal(0, 4, (36, 64)), axis=1) + 128, 0, 255).astype(np.uint8)
+    small = features.Augmentation(resolutions=((128, 72),))
+    images = spark.createDataFrame([("7/00001.png", 64, 36, picture.tobytes())], "path string, width int, height int, data binary")
+    rows = features.picture_variations(images, 3, params=small).collect()
+    assert [r.path for r in rows] == [f"7/00001.png_{i}.png" for i in range(3)]
+    for r in rows:
+        change = np.abs(np.frombuffer(r.data, np.uint8).astype(int).reshape(36, 64) - picture)
+        assert 0 < change.mean() < 12
+    assert rows == features.picture_variations(images, 3, params=small).collect()
+    assert np.abs(features.jpeg_round_trip(picture, 95).astype(int) - picture).mean() < np.abs(features.jpeg_round_trip(picture, 10).astype(int) - picture).mean() < 20
+    assert (features.jpeg_round_trip(np.full((9, 17), 78, np.uint8), 50) == 78).all()
 
 
 def test_split_is_exact(spark):
