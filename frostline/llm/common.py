@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +24,35 @@ def append_columns(batch: pa.RecordBatch, names: Iterable[str], new: dict[str, p
     return pa.RecordBatch.from_pydict(kept | new)
 
 
-#: Spark's own limits of an Arrow batch, and those for batches of whole texts, which stand in memory several times.
-_USUAL = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session makes smaller Arrow batches from now on, unless other limits than Spark's own were set."""
-    conf = df.sparkSession.conf
-    for key, (usual, small) in _USUAL.items():
-        if conf.get(key, usual) == usual:
-            conf.set(key, small)
-    return df
-
-
 def nonnull_text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """df with _file and _row: the Parquet file that holds the row and the row's number there.
+    """df as rows (_doc, _file, _row): all its columns as one struct, the Parquet file that holds the row and the row's
+    number there. No column of df can clash with these.
 
-    Unlike generated ids these stay the same whenever the files are read again. A DataFrame that isn't a plain scan
-    is staged first.
+    Unlike generated ids file and number stay the same whenever the files are read again. A DataFrame that isn't a plain
+    scan is staged first.
     """
     try:
-        return df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    except Exception as error:  # noqa: BLE001 - only an unresolved _metadata is meant
+        return _located(df)
+    except AnalysisException as error:
         if "_metadata" not in str(error):
             raise
-        return stage_table(df).withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        return _located(stage_table(df))
+
+
+def _located(df: DataFrame) -> DataFrame:
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("_doc"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -59,7 +60,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is a minimum by node (combined before the shuffle) and a join
     that carries the minimum to the node's neighbours, so that a node with very many neighbours is split by Spark's
-    skew-join handling. Every round's edges are staged; only a count and a sum reach the driver.
+    skew-join handling. Every round's edges are staged; only a count and a sum reach the driver. Rounds grow with the
+    logarithm of the nodes; if there is no fixed point after max_rounds, that is an error.
     """
     now = stage_table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

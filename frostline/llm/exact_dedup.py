@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
+from .common import append_columns, batches, nonnull_text, stage_table, utf8
 
 LEAST, MOST, MASK = 256, 8192, 1023
 WIDE = 28  # bytes of a wide identifier: digest, checksum, length
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as empty, and empty texts equal each other. A null id comes after all others. An empty table gives no rows; other
     columns don't matter.
     """
-    slim = small_batches(docs).select(
+    slim = docs.select(
         F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.char_length(nonnull_text(F.col(text_col))).cast("long").alias("_points")
     )
     names = [c for c in slim.columns if c != "_text"]

@@ -4,7 +4,9 @@ A page becomes a tree of its elements. Paragraphs give points for their length a
 farther ones; an element's points are discounted by the share of its text that is links. The element with the most
 points is found, and the whole article or main element around it is kept; beside it, siblings with points and few
 links, and the headings over them. Menus, headers, footers, notices, forms, comments and the
-like never give or hold text; they are known by their tag, role, class or id.
+like never give or hold text; they are known by their tag, role, class or id, if every word of it says so. Words that may
+as well name a part of an article (legal, print, share) never drop a paragraph, and drop a container only if it is short
+or consists of links.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, small_batches
+from .common import append_columns, batches
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -30,7 +32,7 @@ _STYLE = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 #: Elements that never hold main text.
-_OUT = _RAW | frozenset("head nav footer aside form button select option svg canvas object math dialog menu video audio map".split())
+_OUT = _RAW | frozenset("head nav footer aside form button select option svg canvas object dialog menu video audio map".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -41,46 +43,83 @@ _PARAGRAPH = frozenset("p pre td blockquote dd li figcaption".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't the article.
 _BAD = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners billboard breadcrumb breadcrumbs cc comment comments comms commentlist consent cookie cookies disqus disclaimer "
-    "dialog download footer form gdpr header hidden legal login masthead menu menus meta modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall "
-    "popup print privacy promo promoted promos promotion recommend recommended related reply replies respond search share sharing shares shoutbox sidebar sidebars signup skip skyscraper "
-    "social sponsor sponsored sponsors subscribe subscription tabs taboola tags teaser toolbar tooltip topbar trending widget widgets complementary contentinfo alert".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner banners billboard breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices outbrain pagination paywall popup promo promoted promos promotion "
+    "reply replies respond shoutbox sidebar sidebars signup skyscraper sponsor sponsored sponsors subscribe subscription taboola complementary contentinfo".split()
 )
+#: Words that mark it unless what they mark is a paragraph or has text of its own.
+_WEAK = frozenset(
+    "alert cc comms dialog disclaimer download form header hidden legal login meta notification overlay pager print privacy recommend recommended related search share sharing shares "
+    "skip social tabs tags teaser toolbar tooltip topbar trending widget widgets".split()
+)
+#: Words that say nothing beside such words.
+_PLAIN = frozenset("a area bar block body bottom box button buttons container content fixed global group holder inner item items js left link links list main mobile module my outer page panel right row section site sticky text the top wrap wrapper".split())
 _GOOD = frozenset("article articlebody body content entry main post story text hentry page column".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
+_LISTS = frozenset("ul ol table dl select body".split())
+_BLOCKS = frozenset("div article section td body li main table".split())
+_SECTIONS = frozenset("article main section".split())
+
+
 class _Tree:
-    """Elements in page order, a parent before its children; runs of text with the element that holds each."""
+    """Elements in page order, a parent before its children; runs of text with the element that holds each.
+
+    The elements that are open are counted by tag, in all and since the last block or list, so that no tag walks up to
+    look for what isn't there.
+    """
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.out, self.good = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.out, self.weak, self.good = [-1], ["#root"], [False], [False], [False]
+        self.block, self.list, self.sections, self.opened = [0], [0], [0], {}
         self.texts: list[tuple[int, str]] = []  # an empty text marks the border of a block
 
     def open(self, parent: int, tag: str, attributes: str) -> int:
-        out, good = self.out[parent] or tag in _OUT, tag in ("article", "main")
+        out, weak, good = self.out[parent] or tag in _OUT, False, tag in ("article", "main")
         if attributes and not out:
             for m in _NAME.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     out = True
                     continue
-                words = {w.lower() for w in _SPLIT.split(value)}
-                good = good or bool(words & _GOOD)
-                out = out or tag not in ("body", "html", "article", "main") and bool(words & _BAD) and not (words & _GOOD and not words & {"ad", "ads", "comment", "comments", "sidebar", "footer", "nav", "menu"})
+                for token in value.split():
+                    words = {w.lower() for w in _SPLIT.split(token)} - {""}
+                    good = good or bool(words & _GOOD)
+                    if tag in ("body", "html", "article", "main") or not words & (_BAD | _WEAK) or words - _BAD - _WEAK - _PLAIN:
+                        continue
+                    if words & _BAD:
+                        out = True
+                    else:
+                        weak = weak or tag not in _PARAGRAPH and tag not in _HEADING
             out = out or "style" in attributes and bool(_STYLE.search(attributes))
-        if tag == "header" and not any(t in ("article", "main", "section") for t in self.above(parent)):
+        if tag == "header" and not self.sections[parent]:
             out = True
+        node = len(self.parent)
         self.parent.append(parent)
         self.tag.append(tag)
         self.out.append(out)
+        self.weak.append(weak)
         self.good.append(good)
-        return len(self.parent) - 1
+        self.block.append(node if tag in _BLOCKS else self.block[parent])
+        self.list.append(node if tag in _LISTS else self.list[parent])
+        self.sections.append(self.sections[parent] + (tag in _SECTIONS))
+        for key in self._counted(node):
+            self.opened[key] = self.opened.get(key, 0) + 1
+        return node
+
+    def _counted(self, node: int) -> tuple:
+        tag, up = self.tag[node], self.parent[node]
+        return tag, (self.block[up], tag), (-1 - self.list[up], tag)
 
-    def above(self, node: int) -> Iterator[str]:
-        while node > 0:
-            yield self.tag[node]
-            node = self.parent[node]
+    def close(self, now: int, node: int) -> int:
+        """Closes node, which is open, and all in it; what is open after that."""
+        up = self.parent[node]
+        while now != up:
+            for key in self._counted(now):
+                self.opened[key] -= 1
+            now = self.parent[now]
+        return up
 
 
 def parse(html: str) -> _Tree:
@@ -109,7 +148,7 @@ def parse(html: str) -> _Tree:
             now = _close(tree, now, tag)
             continue
         attributes = m["attributes"] or m["attributes2"] or ""
-        if tag in _CLOSES_P and "p" in tree.above(now):
+        if tag in _CLOSES_P and tree.opened.get("p"):
             now = _close(tree, now, "p")
         elif tag in ("li", "tr", "td", "th", "dd", "dt", "option"):
             now = _implied(tree, now, tag)
@@ -117,7 +156,7 @@ def parse(html: str) -> _Tree:
             continue
         now = tree.open(now, tag, attributes)
         if attributes.endswith("/") and tag in ("svg", "path", "use"):
-            now = tree.parent[now]
+            now = tree.close(now, now)
         elif tag in _RAW:
             raw, end_raw = tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
@@ -125,25 +164,27 @@ def parse(html: str) -> _Tree:
 def _close(tree: _Tree, now: int, tag: str) -> int:
     """The element that is open after an end tag; one that matches nothing changes nothing. A paragraph, or inline
     markup, isn't closed from outside the block it stands in."""
+    near = tag == "p" or tag in _INLINE
+    if not tree.opened.get((tree.block[now], tag) if near else tag):
+        return now
     node = now
-    while node > 0:
-        if tree.tag[node] == tag:
-            return tree.parent[node]
-        if (tag == "p" or tag in _INLINE) and tree.tag[node] in ("div", "article", "section", "td", "body", "li", "main", "table"):
-            return now
+    while tree.tag[node] != tag:
         node = tree.parent[node]
-    return now
+    return tree.close(now, node)
+
+
+_ENDS = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
 
 
 def _implied(tree: _Tree, now: int, tag: str) -> int:
     """Where a list item or cell goes: an open one before it in the same list or table ends."""
-    ends = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}[tag]
+    ends = _ENDS[tag]
+    if not any(tree.opened.get((-1 - tree.list[now], t)) for t in ends):
+        return now
     node = now
-    while node > 0 and tree.tag[node] not in ("ul", "ol", "table", "dl", "select", "body"):
-        if tree.tag[node] in ends:
-            return tree.parent[node]
+    while tree.tag[node] not in ends:
         node = tree.parent[node]
-    return now
+    return tree.close(now, node)
 
 
 def _whole(tree: _Tree, best: int) -> int:
@@ -156,20 +197,11 @@ def _whole(tree: _Tree, best: int) -> int:
     return around.get("article") or around.get("main") or best
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: blocks in order, white space as one space; empty if there is none."""
-    if not html:
-        return ""
-    tree = parse(html)
+def _measure(tree: _Tree, texts: list[tuple[int, str]], in_link: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of each element: characters, those in links, commas, and characters that stand in it or in its inline markup."""
     n = len(tree.parent)
     chars, links, commas, direct = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
-    for node in range(1, n):
-        in_link[node] = tree.tag[node] == "a" or in_link[tree.parent[node]]
-    texts = []
-    for node, raw in tree.texts:
-        text = unescape(raw) if "&" in raw else raw
-        texts.append((node, text))
+    for node, text in texts:
         if text and not tree.out[node]:
             size = len(text) - text.count(" ") - text.count("\n")
             chars[node] += size
@@ -183,20 +215,40 @@ def main_text(html: str | None) -> str:
         commas[up] += commas[node]
         if tree.tag[node] in _INLINE:
             direct[up] += direct[node]
+    return chars, links, commas, direct
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page: blocks in order, white space as one space; empty if there is none."""
+    if not html:
+        return ""
+    tree = parse(html)
+    n = len(tree.parent)
+    in_link = [False] * n
+    for node in range(1, n):
+        in_link[node] = tree.tag[node] == "a" or in_link[tree.parent[node]]
+    texts = [(node, unescape(raw) if "&" in raw else raw) for node, raw in tree.texts]
+    chars, links, commas, direct = _measure(tree, texts, in_link)
+    if any(tree.weak):
+        for node in range(1, n):
+            thin = tree.weak[node] and (chars[node] < 80 or links[node] >= 0.3 * chars[node])
+            tree.out[node] = tree.out[node] or thin or tree.out[tree.parent[node]]
+        chars, links, commas, direct = _measure(tree, texts, in_link)
     if not chars[0]:
         return ""
-    points = [0.0] * n
+    points, given, passed = [0.0] * n, [0.0] * n, [0.0] * n
     for node in range(1, n):
         reads = tree.tag[node] in _PARAGRAPH or tree.tag[node] in ("div", "section", "article", "main", "body") and direct[node]
         if not reads or tree.out[node] or not chars[node]:
             continue
         own = chars[node] if tree.tag[node] in _PARAGRAPH else direct[node]
         gives = (1 + commas[node] * own / chars[node] + min(own / 100, 3)) * min(1, own / 25)
-        up, share = node if tree.tag[node] not in _PARAGRAPH else tree.parent[node], 1.0
-        while up > 0:
-            points[up] += gives * share
-            up, share = tree.parent[up], share / 2 if share == 1 else share * 2 / 3
+        given[node if tree.tag[node] not in _PARAGRAPH else tree.parent[node]] += gives
+    for node in range(n - 1, 0, -1):  # the next ancestor gets a half, each further one two thirds of the one below
+        points[node] = given[node] + passed[node]
+        passed[tree.parent[node]] += given[node] / 2 + passed[node] * 2 / 3
     for node in range(1, n):
+        points[node] *= 0.2 if tree.weak[node] else 1
         points[node] = (points[node] + 5 * (tree.tag[node] in ("article", "main") or tree.good[node] and tree.tag[node] != "body") * (points[node] > 0)) * (1 - links[node] / max(chars[node], 1))
     best = max((i for i in range(1, n) if not tree.out[i] and tree.tag[i] not in _INLINE), key=lambda i: (points[i], chars[i] - links[i], -i), default=0)
     if not best or not points[best]:
@@ -227,7 +279,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     A page that is null, empty or has no main text gives an empty text. An empty table gives no rows; other columns
     don't matter.
     """
-    slim = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    slim = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_html"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

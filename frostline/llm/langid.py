@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, utf8
+from .common import append_columns, batches, nonnull_text, utf8
 
 BUCKETS, DIM, SIZES = 1 << 14, 16, (2, 3, 4)
-SAMPLE, MOST_LANGUAGES = 800, 1000  # documents of each language that are learned from, about; the most frequent ones
+SAMPLE, MOST_SAMPLE = 800, 16_000  # documents of each language, and in all, that are learned from, about
+MOST_BYTES = 1 << 15  # longer texts are not learned from, which bounds the sample; all are predicted whole
 EPOCHS, RATE, SEED = 4, 0.6, 11
 FOLDS, HELD = 4, 2
 PART = 1 << 15
@@ -120,18 +122,21 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from rows with a language outside the held-out fold, about sample of each of the MOST_LANGUAGES most
-    frequent languages, chosen by hash."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_id").isNull() | (fold(F.col("_id")) != HELD)))
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return train([], [])
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], int(1_000_000 * min(1, sample / r["n"])))))
-    few = rows.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1_000_000)) < share[F.col("_lang")])
-    few = few.select("_id", "_lang", nonnull_text(F.col("_text")).alias("_text"), F.xxhash64("_id", F.lit(SEED)).alias("_place"))
-    got = few.limit(4 * sample * len(counts)).toArrow().sort_by([("_place", "ascending"), ("_text", "ascending")])
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST_SAMPLE) -> Model:
+    """A model from rows with a language outside the held-out fold: about sample of each language, fewer where there are
+    so many languages that this would be over most in all. No language is left out by rank or by how rare it is.
+
+    Rows are chosen by hash of id and text, so reruns learn the same, and rows that are alike count once. A text of over
+    MOST_BYTES isn't learned from.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), nonnull_text(F.col(text_col)).alias("_text"))
+    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_id").isNull() | (fold(F.col("_id")) != HELD)) & (F.octet_length("_text") <= MOST_BYTES))
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n"))
+    each = F.least(F.lit(float(sample)), F.lit(float(most)) / F.greatest(F.sum(F.lit(1)).over(W.partitionBy()), F.lit(1)))
+    shares = counts.select(F.col("_lang").alias("_of"), (F.least(F.lit(1.0), each / F.col("n")) * (1 << 40)).cast("long").alias("_share"))  # one row per language
+    hashed = rows.withColumn("_place", F.pmod(F.xxhash64("_id", "_text", F.lit(SEED)), F.lit(1 << 40)))
+    few = hashed.join(shares, F.col("_lang") == F.col("_of")).where(F.col("_place") < F.col("_share")).select("_id", "_lang", "_text", "_place").distinct()
+    got = few.orderBy("_place", "_text", "_lang", "_id").limit(2 * most).toArrow()
     return train(utf8(got.column("_text").combine_chunks()), got.column("_lang").to_pylist())
 
 
@@ -143,7 +148,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learn from every text is `und`. An empty table gives no rows; other columns don't matter.
     """
     model = learn(docs, id_col, text_col, lang_col)
-    slim = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1024):

@@ -9,6 +9,7 @@ matching verifies the whole notice and reports its span and edits.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, utf8
+from .common import append_columns, batches, nonnull_text, utf8
 
 #: Phrases of the base labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -28,7 +29,12 @@ NOTICES = {
     "licensed under a creative commons attribution": "cc-by",
     "licensed under the gnu general public license": "gpl",
     "licensed under the gnu lesser general public license": "lgpl",
-    "licensed under the apache license version": "apache",
+    "licensed under the gnu affero general public license": "agpl",
+    "licensed under the apache license": "apache",
+    "licensed under the mit license": "mit",
+    "distributed under the boost software license": "boost",
+    "made available under the terms of the eclipse public license": "epl",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms with or without modification": "bsd",
@@ -73,31 +79,44 @@ class NoticeSearch:
         found = []
         for n, starts in near.items():
             notice, label, k, pattern = self.notices[n]
+            own = []
             for a, b in _windows(sorted(starts), len(notice), k, len(text)):
-                if _hopeless(text, a, b, notice, k):
-                    continue
-                for m in pattern.finditer(text, a, b):
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                if not _hopeless(text, a, b, notice, k):
+                    own += [(sum(m.fuzzy_counts), m.start(), m.end()) for m in pattern.finditer(text, a, b)]
+            found += [(a, b, label, edits) for edits, a, b in _apart(own)]
         return sorted(set(found))
 
 
 def _windows(starts: list[int], length: int, k: int, n: int) -> list[tuple[int, int]]:
-    """Where a notice may lie whose seeds suggest these starts; windows that touch are one."""
-    out: list[tuple[int, int]] = []
+    """Where a notice may lie whose seeds suggest these starts. Starts that are within the edits of each other are one
+    place, with one window; windows may overlap, and what is found in two of them is told apart later."""
+    out, first = [], None
     for s in starts:
-        a, b = max(0, s - k), min(n, s + length + k)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+        if first is not None and s - first <= k:
+            out[-1] = (out[-1][0], min(n, s + length + k))
         else:
-            out.append((a, b))
+            first = s
+            out.append((max(0, s - k), min(n, s + length + k)))
     return out
 
 
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans (edits, start, end) that overlap, those with the fewest edits. Spans are about as long as each other, so
+    that one overlaps a few neighbours at most."""
+    spans, best = sorted(set(found), key=lambda s: (s[1], s[2])), []
+    for span in spans:
+        beaten = []
+        while best and best[-1][2] > span[1] and span[0] < best[-1][0]:
+            beaten.append(best.pop())
+        if best and best[-1][2] > span[1]:
+            best += beaten[::-1]
+        else:
+            best.append(span)
+    return best
+
+
 def _hopeless(text: str, a: int, b: int, notice: str, k: int) -> bool:
-    """Too few of the notice's characters are in the window: each edit accounts for one of them at most. Windows that
-    were joined are left to the matcher."""
-    if b - a > len(notice) + 2 * k:
-        return False
+    """Too few of the notice's characters are in the window: each edit accounts for one of them at most."""
     part = text[a:b]
     return sum(max(0, c - part.count(ch)) for ch, c in _letters(notice)) > k
 
@@ -119,15 +138,33 @@ def base_places(words: bytes, phrases: dict[str, str]) -> list[tuple[int, str]]:
         want = b" " + phrase.encode() + b" "
         if want.strip() not in words:
             continue
-        padded, at = b" " + words + b" ", -1
+        padded, at, seen, n = b" " + words + b" ", -1, 0, 0
         while (at := padded.find(want, at + 1)) >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            seen, n = at, n + padded.count(b" ", seen, at)
+            out.append((n, label))
     return out
 
 
+_WORD = regex.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
+
+
+def document_spans(text: str, words: str, spans: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Spans of a normal text as places in the text that it was made from, characters from 0."""
+    starts, begins, at = [m.start() for m in _WORD.finditer(text)], [], 0
+    for word in words.split(" "):
+        begins.append(at)
+        at += len(word) + 1
+
+    def place(a: int) -> int:
+        i = bisect_right(begins, a) - 1
+        return starts[i] + a - begins[i]
+
+    return [(place(a), place(b - 1) + 1, label, edits) for a, b, label, edits in spans]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (JSON
-    list of [start, end, label, edits] in the normal text).
+    list of [start, end, label, edits], in characters of the document's text).
 
     score is 1 for a phrase or an exact notice, 1 - edits / length for the nearest notice, else 0. Null and empty texts
     have no words and no labels: both label columns are empty strings, the first and last word null. An empty table
@@ -142,18 +179,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             for text in utf8(batch.column(batch.schema.get_field_index("_text"))):
                 words = normal(text)
                 base = base_places(words, phrases)
-                spans = search.spans(words.decode("utf-8", "replace"))
+                plain = words.decode("utf-8", "replace")
+                spans = search.spans(plain)
+                places = document_spans(text.decode("utf-8", "replace"), plain, spans) if spans else []
                 labels = {x for _, x in base}
                 score = max([1.0] * bool(base) + [1 - e / (b - a + e) for a, b, _, e in spans], default=0.0)
                 starts = [s for s, _ in base]
                 both = ",".join(sorted(labels)), ",".join(sorted(labels | {x for _, _, x, _ in spans}))
-                out.append((words.count(b" ") + 1 if words else 0, len(base), min(starts, default=None), max(starts, default=None), *both, score, json.dumps(spans) if spans else "[]"))
+                out.append((words.count(b" ") + 1 if words else 0, len(base), min(starts, default=None), max(starts, default=None), *both, score, json.dumps(places) if places else "[]"))
             cols = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield append_columns(batch, ["_id"], {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
-    slim = small_batches(docs).select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     out = slim.mapInArrow(run, f"_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
     return out.withColumnRenamed("_id", id_col)

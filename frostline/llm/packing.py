@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only lengths decide, and there are no more of them than tokens in a sequence. So the plan is made from the histogram of
-lengths: for the longest left, whatever single length, pair or triple fills its gap exactly is looked up and consumed
-as often as there are enough of each; what has no exact complement is put where it fits best. Every step uses up a
-length, so the plan has some thousands of patterns at most, for any number of documents. Pieces then find their places
-by their rank among those of their length.
+lengths: for the longest left, whatever single length, pair or triple fills its gap exactly is looked up in an index of
+sums and consumed as often as there are enough of each; what has no exact complement is put where it fits best. Every
+step uses up a length, so the plan has some thousands of patterns at most, for any number of documents. Pieces then
+find their places by their rank among those of their length, which is counted in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
+from .common import append_columns, batches, nonnull_text, stage_table, utf8
 from .tokens import tokenizer
 
 CAPACITY = 2048
+PART = 1 << 18  # pieces of one length that a task ranks, about
 Pattern = tuple[int, list[int]]  # how many sequences, lengths in each
 
 
@@ -34,61 +34,98 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _single_pair_or_triple(left: np.ndarray, gap: int) -> list[int] | None:
-    """One to three of the lengths left that sum to gap."""
-    if left[gap]:
-        return [gap]
-    if pair := _pair(left, gap, gap):
-        return pair
-    for x in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-        if 3 * x < gap:
-            break
-        left[x] -= 1
-        pair = _pair(left, gap - x, x)
-        left[x] += 1
-        if pair:
-            return [x, *pair]
-    return None
-
-
-def _pair(left: np.ndarray, gap: int, most: int) -> list[int] | None:
-    """Two lengths, the longer at most most, that sum to gap: those of which the most are left."""
-    low = np.arange(max(1, gap - most), gap // 2 + 1)
-    if not len(low):
+class SumIndex:
+    """The lengths left, and under each sum the pairs of them that make it; triples are a length and a pair.
+
+    pairs[s] is how many pairs of lengths that are left make s. It is kept up as lengths run out, which each does once.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.size, self.left = len(counts) - 1, counts.copy()
+        here = (self.left > 0).astype(np.int64)
+        both = np.zeros(2 * self.size + 1, np.int64)
+        for x in np.flatnonzero(here).tolist():  # x as the longer of two; twice x if there are two
+            both[x : 2 * x] += here[:x]
+            both[2 * x] += self.left[x] > 1
+        self.pairs = both[: self.size + 1].copy()
+
+    def take(self, length: int, n: int) -> None:
+        before = int(self.left[length])
+        self.left[length] = before - n
+        if before > 1 >= before - n and 2 * length <= self.size:
+            self.pairs[2 * length] -= 1
+        if before == n:
+            here = self.left[: self.size - length + 1] > 0
+            self.pairs[length : length + len(here)] -= here
+
+    def pair(self, gap: int, used: Counter) -> list[int] | None:
+        """Two lengths that sum to gap: those of which the most are left beside the used ones."""
+        if not self.pairs[gap]:
+            return None
+        low = np.arange(1, gap // 2 + 1)
+        n = np.minimum(self._free(low, used), self._free(gap - low, used))
+        if gap % 2 == 0:
+            n[-1] = self._free(low[-1:], used)[0] // 2
+        best = int(n.argmax()) if len(n) else 0
+        return [gap - int(low[best]), int(low[best])] if len(n) and n[best] > 0 else None
+
+    def _free(self, lengths: np.ndarray, used: Counter) -> np.ndarray:
+        free = self.left[lengths]
+        for x, k in used.items():
+            free = free - k * (lengths == x)
+        return free
+
+    def complement(self, gap: int, used: Counter) -> list[int] | None:
+        """One to three lengths that sum to gap, beside the used ones."""
+        if self.left[gap] > used[gap]:
+            return [gap]
+        if found := self.pair(gap, used):
+            return found
+        longest = np.arange(gap - 1, 0, -1)
+        for x in longest[(self.left[longest] > 0) & (self.pairs[gap - longest] > 0)].tolist():
+            if 3 * x < gap:
+                break
+            if self.left[x] > used[x] and (found := self.pair(gap - x, used + Counter([x]))):
+                return [x, *found]
         return None
-    n = np.minimum(left[low], left[gap - low])
-    if 2 * low[-1] == gap:
-        n[-1] = left[low[-1]] // 2
-    best = int(n.argmax())
-    return [gap - int(low[best]), int(low[best])] if n[best] > 0 else None
+
+
+def n_sequences(plan: list[Pattern]) -> int:
+    return sum(times for times, _ in plan)
 
 
 def plan_sequences(counts: np.ndarray) -> list[Pattern]:
-    """Patterns that hold counts[l] pieces of each length l in as few sequences of len(counts) - 1 as it can."""
-    size = len(counts) - 1
-    left, over, plan = counts.astype(np.int64), np.zeros(size + 1, np.int64), []
-    left[0] = 0
+    """Patterns that hold counts[l] pieces of each length l in as few sequences of len(counts) - 1 as it can: exact
+    complements with best fit for the rest, or best fit alone where that takes fewer."""
+    counts = counts.astype(np.int64)
+    counts[0] = 0
+    return min(_complements(counts), _best_fit(counts), key=n_sequences)
+
+
+def _complements(counts: np.ndarray) -> list[Pattern]:
+    """From the longest length on: exact complements as often as there are enough of each, after one best fit or more
+    where there is none at once; what no complement fills is left to best fit."""
+    index, size = SumIndex(counts), len(counts) - 1
+    over, plan = np.zeros(size + 1, np.int64), []
     for length in range(size, 0, -1):
-        while left[length]:
-            items, gap, rest = [length], size - length, left.copy()
-            rest[length] -= 1
-            while gap and not (more := _single_pair_or_triple(rest, gap)):
-                fits = np.flatnonzero(rest[: gap + 1])
+        while index.left[length]:
+            items, gap, more = Counter([length]), size - length, []
+            while gap and not (more := index.complement(gap, items)):
+                fits = np.flatnonzero(index._free(np.arange(gap + 1), items) > 0)
                 if not len(fits):
                     break
-                items.append(int(fits[-1]))
-                rest[fits[-1]] -= 1
+                items[int(fits[-1])] += 1
                 gap -= int(fits[-1])
             if gap and not more:
-                over[length] += left[length]
-                left[length] = 0
+                n = int(index.left[length])
+                over[length] += n
+                index.take(length, n)
                 break
-            items += more if gap else []
-            each = Counter(items)
-            times = min(int(left[x]) // n for x, n in each.items())
-            plan.append((times, items))
-            for x, n in each.items():
-                left[x] -= times * n
+            items += Counter(more if gap else [])
+            times = min(int(index.left[x]) // n for x, n in items.items())
+            plan.append((times, sorted(items.elements(), reverse=True)))
+            for x, n in items.items():
+                index.take(x, times * n)
     return plan + _best_fit(over)
 
 
@@ -144,7 +181,7 @@ def _slots(plan: list[Pattern]) -> dict[str, np.ndarray]:
 
 def _pieces(text_col: str, names: list[str], path: str, size: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, seen = tokenizer(path).ids, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        ids_of = tokenizer(path).ids
         for batch in batches(source, 1024):
             rows, out = [], []
             for row, text in enumerate(utf8(batch.column(batch.schema.get_field_index(text_col)))):
@@ -153,12 +190,11 @@ def _pieces(text_col: str, names: list[str], path: str, size: int):
                     part = ids[start : start + 4 * size]
                     length = len(part) // 4
                     rows.append(row)
-                    out.append((start // (4 * size), start // 4, length, zlib.crc32(part), seen[length]))
-                    seen[length] += 1
+                    out.append((start // (4 * size), start // 4, length, zlib.crc32(part)))
             if rows:
                 cols = list(zip(*out, strict=True))
-                new = {"piece": pa.array(cols[0], pa.int32())} | {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32", "_seen"), cols[1:], strict=True)}
-                yield append_columns(batch.select(names).take(pa.array(rows)), names, new | {"_task": pa.array([task] * len(rows), pa.int32())})
+                new = {"piece": pa.array(cols[0], pa.int32())} | {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32"), cols[1:], strict=True)}
+                yield append_columns(batch.select(names).take(pa.array(rows)), names, new)
 
     return run
 
@@ -172,18 +208,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     itself.
     """
     path = path or default_tokenizer()
-    slim = small_batches(docs).select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _seen long, _task int"
-    pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema))
-    # A piece's rank among its length: the pieces of that length in earlier tasks, and those seen before it in its own.
-    held = pieces.groupBy("length", "_task").agg(F.count("*").alias("n"))
-    held = stage_table(held.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("_task")) - F.col("n")))
+    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
+    pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema).withColumn("_rid", F.monotonically_increasing_id()))
     counts = np.zeros(size + 1, np.int64)
-    for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most size rows
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most size rows
         counts[row.length] = row.n
     slots = _slots(plan_sequences(counts))
     ahead = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    # A piece's rank among its length: those in the parts before its own, and its place there. A length has a part for
+    # each PART of its pieces, so the table of parts has at most size rows and one for each PART pieces.
+    parts = docs.sparkSession.createDataFrame([(i, -(-int(n) // PART)) for i, n in enumerate(counts) if n], "_length long, parts long")
+    pieces = pieces.join(F.broadcast(parts), F.col("length") == F.col("_length")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))).drop("_length", "parts")
+    held = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    held = stage_table(held.select(F.col("length").alias("_length"), F.col("part").alias("_part"), (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")))
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -194,8 +233,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             new = {"sequence_id": pa.array(slots["first"][slot] + nth // each), "offset": pa.array(slots["offset"][slot] + nth % each * length)}
             yield append_columns(batch, ["_id", "piece", "start", "length", "ids_crc32"], new)
 
-    right = held.select(F.col("length").alias("_length"), F.col("_task").alias("_of"), "before")
-    ranked = pieces.join(right, (F.col("length") == F.col("_length")) & (F.col("_task") == F.col("_of")))
-    ranked = ranked.select("_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("_seen")).alias("rank"))
+    within = F.row_number().over(W.partitionBy("length", "part").orderBy("_rid")) - 1
+    ranked = pieces.withColumn("within", within).join(held, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
+    ranked = ranked.select("_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
     out = ranked.mapInArrow(place, f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

@@ -2,7 +2,8 @@
 
 A document's UTF-8 bytes are covered by chunks that overlap by a filter's width less one, so that every window of the
 text is seen once. Beside its bytes a window has a second channel: whether it ends an echo, bytes that repeat what stood
-right before them, which no filter of a few bytes could tell. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
+right before them, which no filter of a few bytes could tell. What an echo adds to each filter is learned, from a start
+that favours neither label. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
 pools are combined into one probability. Training is on the driver, from a bounded sample of labelled rows; scoring is
 one pass over all rows without a shuffle.
 """
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import append_columns, batches, nonnull_text, small_batches, utf8
+from .common import append_columns, batches, nonnull_text, utf8
 
 WIDTH, FILTERS, STEP = 6, 16, 512  # a chunk is STEP + WIDTH - 1 bytes; STEP is a power of two, WIDTH even
 ECHO, LAGS = 12, range(2, 33)  # bytes that must repeat, 8 to 16, and how far before they may stand
 PART = 1 << 16  # bytes looked at together for echoes
-SAMPLE = 1500  # most labelled documents of each label that are learned from
+SAMPLE = 1500  # labelled documents of each label that are learned from, about
+MOST_BYTES = 1 << 17  # longer texts are not learned from, which bounds the sample; all are scored whole
 STEPS, BATCH, RATE, SEED = 600, 24, 0.01, 7
 THRESHOLD, FOLDS = 0.3, 5
 
@@ -126,8 +128,6 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
     gives a network that always answers its share of label 1 (none: a half)."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 1, FILTERS).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
-    net.table[:, :, 0] *= 0.1  # the first filter starts as one for echoes, and as a sign of label 0
-    net.echo[0], net.weights[[0, FILTERS]] = 3.0, -1.0
     ones, zeros = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(ones) or not len(zeros):
         net.weights[:] = 0
@@ -170,26 +170,29 @@ def fold(id_column: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
-    """A network from labelled rows outside the held-out fold, about sample of each label at most, chosen by hash.
+    """A network from labelled rows outside the held-out fold, about sample of each label, chosen by hash of the id.
 
-    Labels that are null or not 0 or 1 are left out; an id with several labels has the smallest.
+    Labels that are null or not 0 or 1 are left out; an id with several labels has the smallest. Where ids have many
+    texts, those that come first by hash of id and text are learned from, so reruns learn the same. A text of over
+    MOST_BYTES isn't learned from.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     known = known.withColumn("_place", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1_000_000)))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two rows
     share = {k: int(1_000_000 * min(1, sample / n)) for k, n in counts.items()}
-    few = known.where(F.col("_place") < F.when(F.col("_label") == 1, share.get(1, 0)).otherwise(share.get(0, 0))).limit(4 * sample)
+    few = known.where(F.col("_place") < F.when(F.col("_label") == 1, share.get(1, 0)).otherwise(share.get(0, 0))).orderBy("_place", "_id").limit(4 * sample)
     rows = docs.select(F.col(id_col).alias("_of"), nonnull_text(F.col(text_col)).alias("_text"))
-    rows = rows.join(F.broadcast(few), F.col("_of") == F.col("_id")).select("_of", "_text", "_label").limit(4 * sample)
-    got = rows.toArrow().sort_by([("_of", "ascending"), ("_text", "ascending")])
+    rows = rows.where(F.octet_length("_text") <= MOST_BYTES).join(F.broadcast(few), F.col("_of") == F.col("_id"))
+    rows = rows.select("_of", "_text", "_label", F.xxhash64("_of", "_text").alias("_hash")).orderBy("_hash", "_of", "_text").limit(4 * sample)
+    got = rows.toArrow().sort_by([("_hash", "ascending"), ("_of", "ascending"), ("_text", "ascending")])
     return train(utf8(got.column("_text").combine_chunks()), got.column("_label").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column score from 0 to 1, higher where label 1 is likelier, of each whole text (null: empty); it
     replaces a column of that name."""
-    docs = small_batches(docs).drop(name)
+    docs = docs.drop(name)
     schema = StructType([*docs.schema, StructField(name, DoubleType())])
     names = docs.columns
 

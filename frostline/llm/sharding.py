@@ -3,9 +3,9 @@
 What is placed are groups of equal texts, with three sizes each: bytes, tokens (words) and rows. A group that exceeds
 an even share of any of them is split into parts of a quarter of a share. Groups are dealt over blocks by their hash;
 in a block, largest first, each goes to the bin where the dot product of its sizes with the bin's residual capacity is
-highest. The bins of all blocks, a table bounded by the number of blocks, are then placed the same way, those of one
-block on shards of their own. The law is `bytes`: sizes are near equal, and tokens and rows follow as far as that
-allows.
+highest, bytes, tokens and rows alike; then the fullest bins exchange items with the emptiest. The bins of FAN blocks are then placed the same way as the bins of a larger block,
+those of one block on bins of their own, and so on until one block is left, whose bins are the shards. The law is
+`bytes`: sizes are near equal, and so are tokens and rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from .common import append_columns, nonnull_text, stage_table
 from .mixing import n_words
 
-SHARDS, GROUPS_PER_BLOCK, MOST_BLOCKS = 24, 4000, 4096
-#: How much each of bytes, tokens and rows counts in the dot product; bytes are what the law holds.
-WEIGHTS = np.array([1.0, 0.05, 0.05])
+SHARDS, GROUPS_PER_BLOCK, FAN, ROUNDS, EVEN = 24, 4000, 128, 64, 0.002
+_SIZES = ["bytes", "tokens", "rows"]
 
 
 def place(sizes: np.ndarray, shards: int, once: bool = False, load: np.ndarray | None = None, share: np.ndarray | None = None) -> np.ndarray:
@@ -38,7 +37,7 @@ def place(sizes: np.ndarray, shards: int, once: bool = False, load: np.ndarray |
     left = np.ones((shards, sizes.shape[1])) - (0 if load is None else load / share)
     out, free = np.empty(len(sizes), np.int64), np.ones(shards, bool)
     for i in np.lexsort((np.arange(len(sizes)), -part.max(axis=1))).tolist():
-        fit = left @ (part[i] * WEIGHTS)
+        fit = left @ part[i]
         best = int(np.where(free, fit, -np.inf).argmax()) if once else int(fit.argmax())
         free[best] = False
         out[i] = best
@@ -48,10 +47,52 @@ def place(sizes: np.ndarray, shards: int, once: bool = False, load: np.ndarray |
     return out
 
 
+def exchange(sizes: np.ndarray, out: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of place(), with the fullest evened out: an item of it goes to one of the emptiest shards, or changes
+    places with one of theirs, as long as the fuller of the two becomes less full by that; ROUNDS times at most, and until none exceeds an even share by more than EVEN."""
+    part, out = sizes / np.maximum(sizes.sum(axis=0) / shards, 1e-9), out.copy()
+    load = np.zeros((shards, sizes.shape[1]))
+    np.add.at(load, out, part)
+    for _ in range(ROUNDS if shards > 1 else 0):
+        fill = load.max(axis=1)
+        order = fill.argsort(kind="stable")
+        full, low = int(order[-1]), order[:-1][:4]
+        own, other = np.flatnonzero(out == full), np.flatnonzero(np.isin(out, low))
+        if fill[full] <= 1 + EVEN or not len(own):
+            break
+        # The last rows stand for empty places of the emptiest shards.
+        there = np.concatenate([out[other], low])
+        gives = np.concatenate([part[other], np.zeros((len(low), part.shape[1]))])
+        change = gives[None, :, :] - part[own][:, None, :]
+        worst = np.maximum((load[full] + change).max(axis=2), (load[there][None, :, :] - change).max(axis=2))
+        i, j = np.unravel_index(int(worst.argmin()), worst.shape)
+        if worst[i, j] >= fill[full] - 1e-9:
+            break
+        load[full] += change[i, j]
+        load[there[j]] -= change[i, j]
+        out[own[i]] = there[j]
+        if j < len(other):
+            out[other[j]] = full
+    return out
+
+
 def _block(shards: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "part"], ignore_index=True)
-        return rows.assign(bin=place(rows[["bytes", "tokens", "rows"]].to_numpy(float), shards))
+        sizes = rows[_SIZES].to_numpy(float)
+        return rows.assign(bin=exchange(sizes, place(sizes, shards), shards))
+
+    return run
+
+
+def _merge(shards: int):
+    """Bins of some blocks on the bins of one."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "bin"], ignore_index=True)
+        load, share = np.zeros((shards, len(_SIZES))), rows[_SIZES].to_numpy(float).sum(axis=0) / shards
+        put = [place(own[_SIZES].to_numpy(float), shards, once=True, load=load, share=share) for _, own in rows.groupby("block", sort=True)]
+        return rows.assign(to=np.concatenate(put))
 
     return run
 
@@ -92,20 +133,22 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     # No more than three groups for each shard can exceed a share, so this table is bounded.
     rows = slim.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
     rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("_rid"), F.col("parts")), F.lit(0)).cast("long")).drop("hot", "parts")
-    n_blocks = min(MOST_BLOCKS, max(1, -(-(total[3] or 0) // GROUPS_PER_BLOCK)))
+    n_blocks = max(1, -(-(total[3] or 0) // GROUPS_PER_BLOCK))
     units = rows.groupBy("key", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     units = units.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(n_blocks)).cast("int"))
     schema = "key binary, part long, bytes long, tokens long, rows long, block int, bin long"
     units = stage_table(units.groupBy("block").applyInPandas(_block(shards), schema))
-    bins = units.groupBy("block", "bin").agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows")).toPandas()  # shards x blocks
-    bins = bins.sort_values(["block", "bin"], ignore_index=True)
-    load, goes = np.zeros((shards, 3)), []
-    for block, own in bins.groupby("block", sort=True):
-        put = place(own.iloc[:, 2:].to_numpy(float), shards, once=True, load=load, share=np.array(shares))
-        goes += [(int(block), int(b), int(s)) for b, s in zip(own["bin"], put, strict=True)]
-    spark = docs.sparkSession
-    goes = spark.createDataFrame(goes, "_block int, _bin long, shard int")
-    units = units.join(F.broadcast(goes), (F.col("block") == F.col("_block")) & (F.col("bin") == F.col("_bin")))
+    at, bins = ["block", "bin"], units.groupBy("block", "bin").agg(*(F.sum(c).alias(c) for c in _SIZES))
+    goes = bins.select(F.col("block").alias("_block"), F.col("bin").alias("_bin"), *at)
+    while n_blocks > 1:  # a bin of every block goes to a bin of a block above it
+        n_blocks = -(-n_blocks // FAN)
+        kind = "block int, bin long, bytes long, tokens long, rows long, up int, to long"
+        merged = stage_table(bins.withColumn("up", F.expr(f"block div {FAN}").cast("int")).groupBy("up").applyInPandas(_merge(shards), kind))
+        above = merged.select(F.col("block").alias("b"), F.col("bin").alias("n"), "up", "to")
+        goes = goes.join(above, (F.col("block") == F.col("b")) & (F.col("bin") == F.col("n"))).select("_block", "_bin", F.col("up").alias("block"), F.col("to").alias("bin"))
+        bins = merged.groupBy(F.col("up").alias("block"), F.col("to").alias("bin")).agg(*(F.sum(c).alias(c) for c in _SIZES))
+    goes = stage_table(goes.select("_block", "_bin", F.col("bin").cast("int").alias("shard")))
+    units = units.join(goes, (F.col("block") == F.col("_block")) & (F.col("bin") == F.col("_bin")))
     units = units.select(F.col("key").alias("_key"), F.col("part").alias("_part"), "shard")
     rows = rows.join(stage_table(units), (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part"))).select("_id", "size", "text_crc32", "shard")
     kind = rows.schema["_id"].dataType.simpleString()

@@ -1,12 +1,14 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from frostline.llm import mixing, packing, quality
 from frostline.llm.tokens import WordTokenizer
 
-from .test_dedup import brute_components, norm, slow_fingerprint
+from .test_dedup import norm
+from .test_near_dedup import brute
 from .test_pack_shard_mix import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -39,11 +41,11 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     before, after = seen["SimHash near-dedup"]
     before.sort(key=lambda r: r.doc_id)
-    label = brute_components([slow_fingerprint(r.text) for r in before])
+    label = brute([r.text for r in before])
     assert {r.doc_id for r in after} == {before[k].doc_id for k in set(label)}
 
     before, after = seen["mixing sources to target weights"]
-    copies = {r.doc_id: r["_copies"] for r in mixing.mix_sources(spark.createDataFrame(before)).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix_sizes(spark.createDataFrame(before)).collect()}
     assert Counter(r.doc_id for r in after) == {k: v for k, v in copies.items() if v}
 
     before, after = seen["best-fit packing"]
@@ -58,3 +60,16 @@ def test_stages_on_few_rows(spark, rows):
         out = stage(spark, docs, SF)
         out.collect()
         docs = out if out.columns == docs.columns else docs
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_file", "_row", "_score", "_copies", "_n", "_size", "_doc", "_id", "_text"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    limits = [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    assert limits == [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")]

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -93,6 +94,44 @@ def test_language_cases(spark, docs):
     assert langid.identify(docs).count() == len(ROWS)
 
 
+def slow_language(model, text):
+    """The forward pass from the definition: every subword by itself."""
+    low = [b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in text]
+    total, n = np.zeros(langid.DIM), 0
+    for size in langid.SIZES:
+        for i in range(len(low) - size + 1):
+            h = low[i]
+            for b in low[i + 1 : i + size]:
+                h = (h * 0x01000193 ^ b) & 0xFFFFFFFF
+            total += model.embeddings[((h * 0x9E3779B1) & 0xFFFFFFFF) >> 18]
+            n += 1
+    z = model.weights @ (total / max(n, 1)) + model.bias
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_languages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    texts = {r.doc_id: r.text for r in docs.where("n_chars < 1500").collect()}
+    got = {r.doc_id: r for r in QUERIES["op5_language_id"](spark, SF).collect()}
+    assert len(texts) > 50
+    for i, text in texts.items():
+        name, score = slow_language(model, text.encode())
+        assert got[i].lang_pred == name and got[i].score == pytest.approx(score, abs=1e-5)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(None if i % 2 else i, f"{name} text of {name} number {i}", name) for i in range(40) for name in ("aa", "bb", "cc", "dd")]
+    df = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, lang string")
+    assert langid.learn(df, sample=20, most=40).languages == ["aa", "bb", "cc", "dd"]
+    a, b = (langid.learn(x, sample=20) for x in (df, df.repartition(3)))
+    assert np.array_equal(a.embeddings, b.embeddings) and np.array_equal(a.weights, b.weights)
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(0, 40, 2)], "doc_id long, quality int")
+    a, b = (quality.learn(x, labels, sample=8) for x in (df, df.repartition(3)))
+    assert np.array_equal(a.table, b.table)
+
+
 @given(st.binary(min_size=0, max_size=300))
 @settings(max_examples=50, deadline=None)
 def test_parts_of_a_text_make_its_average(data):
@@ -133,6 +172,64 @@ def test_licence_query(spark):
     assert len(rows) == len(texts) and all(agrees(r, texts[r.doc_id]) for r in rows) and any("mit" in r.labels for r in rows)
 
 
+def test_long_texts_take_linear_time():
+    began = time.time()
+    words = licenses.normal(b"all rights reserved, cc by! " * 370_000)  # 10 MB
+    places = licenses.base_places(words, licenses.BASE)
+    assert len(places) == 740_000 and places[0][0] == 3 and max(n for n, _ in places) == 5 * 369_999 + 3
+    assert time.time() - began < 30
+    for html in ("<div>" * 200_000 + "deep", "<b><div>" + "<span>x" * 50_000 + "</b>" * 50_000, "<div>" * 50_000 + "<td>x</td>" * 50_000, "<div>some text, here " * 50_000):
+        began = time.time()
+        assert html_main.main_text(html)
+        assert time.time() - began < 60
+
+
+def sellers(text, notice):
+    """The least edit distance of a notice to any part of a text."""
+    row = np.arange(len(notice) + 1)
+    least, letters = len(notice), np.array(list(notice))
+    for ch in text:
+        best = np.minimum(row[:-1] + (letters != ch), row[1:] + 1)
+        new = [0]
+        for x in best.tolist():
+            new.append(min(x, new[-1] + 1))
+        row = np.array(new)
+        least = min(least, new[-1])
+    return least
+
+
+def test_fuzzy_labels_against_brute_force(spark):
+    """Notices with edits on both sides of what is allowed: a label is there just where brute force finds it."""
+    rng, texts = np.random.default_rng(8), []
+    for notice in licenses.NOTICES:
+        k = licenses.edits_for(notice)
+        for edits in (0, k - 1, k, k + 1, k + 3):
+            letters = list(notice)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(letters)))
+                kind = rng.integers(3)
+                letters[at : at + (kind != 0)] = ["q"] if kind != 1 else []
+            texts.append(f"Some words, {''.join(letters).upper()} -- and more.")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in licenses.scan(df).collect():
+        plain = licenses.normal(texts[row.doc_id].encode()).decode()
+        found = {label for notice, label in licenses.NOTICES.items() if sellers(plain, notice) <= licenses.edits_for(notice)}
+        base = {x for x in row.base_labels.split(",") if x}
+        assert set(filter(None, row.labels.split(","))) == found | base, texts[row.doc_id]
+        for a, b, label, edits in json.loads(row.spans):
+            part = licenses.normal(texts[row.doc_id][a:b].encode()).decode()
+            assert min(distance(part, n) for n, x in licenses.NOTICES.items() if x == label) <= edits
+
+
+def test_copies_beside_each_other_are_all_found():
+    search = licenses.NoticeSearch({"licensed under the apache license": "apache"})
+    exact, edited = "licensed under the apache license", "licensed undr the apache license"
+    assert [(a, b, e) for a, b, _, e in search.spans(f"{edited} {exact} {exact} {edited}")] == [(0, 32, 1), (33, 66, 0), (67, 100, 0), (101, 133, 1)]
+    text = "Licensed -- under\tthe ApachE license 2.0 & more"
+    (span,) = search.spans(licenses.normal(text.encode()).decode())
+    assert text[slice(*licenses.document_spans(text, licenses.normal(text.encode()).decode(), [span])[0][:2])] == "Licensed -- under\tthe ApachE license"
+
+
 def test_licence_cases(spark, docs):
     for r in licenses.scan(docs).collect():
         assert r.n_base == 0 and r.labels == "" and r.score == 0
@@ -221,6 +318,16 @@ def test_page_cases(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_article_text_stays_whatever_its_class():
+    long = "<p>" + "A sentence of the article, long enough to count. " * 9 + "</p>"
+    legal = '<p class="legal">Legal remarks of the author.</p><p class="share print">Printed words.</p><h2 class="header">Part two</h2>'
+    board = '<div class="notice-board"><p>What the board said, in some words.</p></div><math><mi>x</mi></math><div class="tabs">' + long + "</div>"
+    gone = '<div class="cookie-notice"><p>Cookies, and so on.</p></div><div class="share"><a href=x>Share this</a></div><div class="ad-box">Buy, buy</div><p class="advert">Buy</p><div class="print">Print</div>'
+    text = lambda html: " ".join(re.sub("<[^>]+>", " ", html).split())
+    for tag in ("article", "main"):
+        assert html_main.main_text(f"<body><{tag}>{long}{legal}{gone}{board}</{tag}></body>") == text(long + legal + board)
+
+
 def test_sectioned_pages():
     """No part of an article is lost for being short."""
     p = lambda i, size=420: f"<p>{f'part{i} ' + 'word ' * (size // 5)}</p>"
