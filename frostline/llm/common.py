@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage_table
@@ -24,6 +25,20 @@ def append_columns(batch: pa.RecordBatch, names: Iterable[str], new: dict[str, p
     return pa.RecordBatch.from_pydict(kept | new)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: str = "1000", size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside, as whole texts stand in memory several times."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def nonnull_text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 

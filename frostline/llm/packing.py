@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, stage_table, utf8
+from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
 from .tokens import tokenizer
 
 CAPACITY = 2048
@@ -211,7 +211,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema).withColumn("_rid", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema).withColumn("_rid", F.monotonically_increasing_id()))
     counts = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most size rows
         counts[row.length] = row.n

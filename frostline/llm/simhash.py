@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, component_firsts, nonnull_text, stage_table, utf8
+from .common import append_columns, batches, component_firsts, nonnull_text, small_batches, stage_table, utf8
 
 _QUARTER = [np.uint64(0xFFFF << 16 * q) for q in range(4)]
 
@@ -102,7 +102,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    rows = stage_table(slim.mapInArrow(_fingerprints("_text", names, shingle), f"{schema}, fp long").withColumn("_rid", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        rows = stage_table(slim.mapInArrow(_fingerprints("_text", names, shingle), f"{schema}, fp long").withColumn("_rid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_rid").alias("r")))
     nodes = stage_table(rows.groupBy(F.col("fp").alias("node")).agg(first.alias("first")))
     classes = component_firsts(nodes, links(nodes.select(F.col("node").alias("fp")))).withColumnRenamed("node", "_node")
