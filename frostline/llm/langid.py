@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, utf8
+from .common import append_columns, batches, nonnull_text, stage_table, utf8
 
 BUCKETS, DIM, SIZES = 1 << 14, 16, (2, 3, 4)
 SAMPLE, MOST_SAMPLE = 800, 16_000  # documents of each language, and in all, that are learned from, about
 MOST_BYTES = 1 << 15  # longer texts are not learned from, which bounds the sample; all are predicted whole
+MOST_BROADCAST, SALTS = 8 << 20, 64  # bytes of the table of languages; parts of a language where it is larger than that
 EPOCHS, RATE, SEED = 4, 0.6, 11
 FOLDS, HELD = 4, 2
 PART = 1 << 15
@@ -135,11 +136,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each = F.least(F.lit(float(sample)), F.lit(float(most)) / F.greatest(F.sum(F.lit(1)).over(W.partitionBy()), F.lit(1)))
     shares = counts.select(F.col("_lang").alias("_of"), (F.least(F.lit(1.0), each / F.col("n")) * (1 << 40)).cast("long").alias("_share"))  # one row per language
     hashed = rows.withColumn("_place", F.pmod(F.xxhash64("_id", "_text", F.lit(SEED)), F.lit(1 << 40)))
-    few = hashed.join(shares, F.col("_lang") == F.col("_of")).where(F.col("_place") < F.col("_share")).select("_id", "_lang", "_text", "_place").distinct()
+    few = _below_share(hashed, stage_table(shares)).select("_id", "_lang", "_text", "_place").distinct()
     got = few.orderBy("_place", "_text", "_lang", "_id").limit(2 * most).toArrow()
     return train(utf8(got.column("_text").combine_chunks()), got.column("_lang").to_pylist())
 
 
+def _below_share(hashed: DataFrame, shares: DataFrame) -> DataFrame:
+    """The rows whose place is below their language's share. Texts don't move for that: the languages are broadcast if
+    the table is small; otherwise a language is in parts, so that a frequent one isn't one task."""
+    size = shares.agg(F.sum(F.octet_length("_of") + 16)).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        return hashed.join(F.broadcast(shares), F.col("_lang") == F.col("_of")).where("_place < _share")
+    parts = shares.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hashed.join(parts, (F.col("_lang") == F.col("_of")) & (F.pmod(F.col("_place"), F.lit(SALTS)) == F.col("_part"))).where("_place < _share")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id_col, held_out, lang_pred, score, rejected (the probability is under the calibrated
     threshold, or there is no letter).

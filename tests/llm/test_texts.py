@@ -121,6 +121,16 @@ def test_languages_against_brute_force(spark):
         assert got[i].lang_pred == name and got[i].score == pytest.approx(score, abs=1e-5)
 
 
+def test_language_shares_broadcast_or_in_parts(spark, monkeypatch):
+    hashed = spark.range(5000).selectExpr("if(id % 10 = 0, 'rare', 'hot') AS _lang", "pmod(xxhash64(id), 1000) AS _place")
+    shares = spark.createDataFrame([("hot", 100), ("rare", 700)], "_of string, _share long")
+    want = sorted((r._lang, r._place) for r in hashed.collect() if r._place < {"hot": 100, "rare": 700}[r._lang])
+    for most in (langid.MOST_BROADCAST, 0):
+        monkeypatch.setattr(langid, "MOST_BROADCAST", most)
+        assert sorted((r._lang, r._place) for r in langid._below_share(hashed, shares).collect()) == want
+    assert langid._below_share(hashed, shares.limit(0)).count() == 0
+
+
 def test_no_language_is_left_out(spark):
     rows = [(None if i % 2 else i, f"{name} text of {name} number {i}", name) for i in range(40) for name in ("aa", "bb", "cc", "dd")]
     df = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, lang string")
