@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, html_main, langid, licenses, mixing, packing, quality, sharding, simhash
+from . import byte_bpe, conversations, embed_dedup, exact_dedup, html_main, langid, licenses, mixing, packing, quality, sharding, simhash, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    each = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")).alias("c")
+    rows = rows.where(F.size("whitened") > 0).select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "identity_error", each)
+    return rows.select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_source_mix,
         op10_exact_dedup,
+        op11_byte_bpe,
+        op12_embedding_whitening,
+        op13_conversation_repair,
     )
 }
 
@@ -86,6 +104,7 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT r.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
 FROM roots r LEFT JOIN degree d ON d.a = r.vec_id
 """,
+    "op13_conversation_repair": conversations.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
