@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import datasets, faults, logs, matcher, patching, scoring, sequences
 from ..sources import frames as S
 from ..sources.order import chunk_for
-from ..sources.staging import as_stream, run_stream
+from ..sources.staging import as_stream, run_stream, state_store
 from ..streaming import matching
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,26 +177,21 @@ def matcher_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.duplicates(_steps(spark, sf_dir)).select("video_id", "frame_num").distinct()
 
 
-def _stateful(spark: SparkSession) -> None:
-    """Map state needs this store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 @_query
 def stream_matcher_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matcher over scores that come in four batches, none of which has a video's frames in order."""
-    _stateful(spark)
     scores = _scores(spark, sf_dir).repartition(4, "frame_num")
-    steps = run_stream(matching.match_stream(as_stream(scores)), STATE_PARTITIONS)
+    with state_store(spark):
+        steps = run_stream(matching.match_stream(as_stream(scores)), STATE_PARTITIONS)
     return steps.select("video_id", "step", "frame_num", "len", "state", "outcome", F.round("chain_motion", 6).alias("chain_motion"))
 
 
 @_query
 def stream_release_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions out of order, released in order."""
-    _stateful(spark)
     done = _chains(spark, sf_dir).select("video_id", "chain_i", F.format_string("chain_%d", "chain_i").alias("out"))
-    return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))), STATE_PARTITIONS)
+    with state_store(spark):
+        return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))), STATE_PARTITIONS)
 
 
 @_query

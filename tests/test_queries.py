@@ -1,11 +1,11 @@
 import pytest
 
-from frostline.plans.oracles import ORACLES
-from frostline.plans.queries import QUERIES
+from frostline.plans import mechanisms, oracles, queries
 
 from .compare import assert_same, connection
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | mechanisms.QUERIES, oracles.ORACLES | mechanisms.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
