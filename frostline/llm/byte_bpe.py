@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import append_columns, batches, nonnull_text, utf8
 from .tokens import _AS_CHAR
@@ -92,36 +92,60 @@ class PairTable:
                 j += 1
 
 
+def _read(path: str) -> tuple[dict, dict[int, bytes], dict[str, int]]:
+    """A tokenizer file, the bytes of its tokens, and its added tokens."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or spec.get("normalizer") or odd:
+        raise ValueError(f"not a plain byte-level BPE file: {path}")
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take their surroundings are not known here")
+    as_byte = {c: b for b, c in _AS_CHAR.items()}
+    return spec, {token: bytes(as_byte[c] for c in text) for text, token in model["vocab"].items()}, {t["content"]: t["id"] for t in added}
+
+
+class OffsetTable:
+    """The decoder: all tokens' bytes in a row, and where each begins."""
+
+    def __init__(self, path: str) -> None:
+        _, spelled, added = _read(path)
+        spelled |= {token: text.encode() for text, token in added.items()}
+        size = max(spelled) + 1
+        self.blob = np.frombuffer(b"".join(spelled.get(t, b"") for t in range(size)), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(spelled.get(t, b"")) for t in range(size)])]).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, one after the other. Ids that are no tokens give none."""
+        ids = ids[(ids >= 0) & (ids < len(self.starts) - 1)]
+        out = []
+        for block in (ids[i : i + (1 << 16)] for i in range(0, len(ids), 1 << 16)):
+            first, n = self.starts[block], self.starts[block + 1] - self.starts[block]
+            ends = np.cumsum(n)
+            out.append(self.blob[np.repeat(first - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
 class ByteBpe:
-    """The encoder and decoder of one tokenizer file. Only plain byte-level BPE is taken; other files are an error."""
+    """The encoder of one tokenizer file. Only plain byte-level BPE is taken; other files are an error."""
 
     def __init__(self, path: str, words: int = 200_000) -> None:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, split = spec["model"], spec.get("pre_tokenizer") or {}
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or spec.get("normalizer") or odd:
-            raise ValueError(f"not a plain byte-level BPE file: {path}")
-        as_byte = {c: b for b, c in _AS_CHAR.items()}
-        spelled = {token: bytes(as_byte[c] for c in text) for text, token in model["vocab"].items()}
-        names = model["vocab"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        spec, spelled, self.added = _read(path)
+        names = spec["model"]["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.table = PairTable({(names[a], names[b]): (rank, names[a + b]) for rank, (a, b) in enumerate(pairs)})
-        added = [t for t in spec.get("added_tokens") or []]
-        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError("added tokens that take their surroundings are not known here")
-        self.added = {t["content"]: t["id"] for t in added}
         self.splitter = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self._index(spelled)
-        self._offsets(spelled | {token: text.encode() for text, token in self.added.items()})
-        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.words: dict[str, bytes] = {}
         self.most_words = words
 
     def _index(self, spelled: dict[int, bytes]) -> None:
         """The automaton, and for each token its length and the next shorter token that it begins with (or -1)."""
         token_of = {s: t for t, s in spelled.items()}
-        self.byte_token = [token_of[bytes([b])] for b in range(256)]
+        if any(bytes([b]) not in token_of for b in range(256)):
+            raise ValueError("a byte has no token")
         self.length = {t: len(s) for t, s in spelled.items()}
         self.shorter = {t: next((token_of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in token_of), -1) for t, s in spelled.items()}
         self.automaton = ahocorasick.Automaton()
@@ -129,12 +153,6 @@ class ByteBpe:
             self.automaton.add_word(s.decode("latin-1"), (t, len(s)))
         self.automaton.make_automaton()
 
-    def _offsets(self, spelled: dict[int, bytes]) -> None:
-        """All tokens' bytes in a row, and where each begins."""
-        size = max(spelled) + 1
-        self.blob = np.frombuffer(b"".join(spelled.get(t, b"") for t in range(size)), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum([len(spelled.get(t, b"")) for t in range(size)])]).astype(np.int64)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian signed 32-bit numbers. Added tokens are found in the text before anything else."""
         out, at = [], 0
@@ -171,21 +189,28 @@ class ByteBpe:
         return out
 
     def merged(self, data: bytes) -> list[int]:
-        """The tokens that the merges leave of data."""
-        longest = [0] * len(data)
-        for end, (token, n) in self.automaton.iter(data.decode("latin-1")):
+        """The tokens that the merges leave of data: the longest one after the other where all of them fit, or else what
+        going back finds. Tokens that fit, each next to the one before, are always those."""
+        text = data.decode("latin-1")
+        out = [token for _, (token, _) in self.automaton.iter_long(text)]
+        return out if all(map(self.table.fits, out, out[1:])) else self._backtracked(text)
+
+    def _backtracked(self, text: str) -> list[int]:
+        size = len(text)
+        longest = [0] * size
+        for end, (token, n) in self.automaton.iter(text):
             longest[end + 1 - n] = token  # ends rise, so the last that begins at a place is the longest
         out: list[int] = []
-        dead = bytearray(len(data) + 1)
+        dead = bytearray(size + 1)
         fits, length, shorter = self.table.fits, self.length, self.shorter
-        at, token = 0, longest[0] if data else -1
-        while at < len(data):
+        at, token = 0, longest[0]
+        while at < size:
             while token >= 0 and (dead[at + length[token]] or out and not fits(out[-1], token)):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < len(data) else -1
+                token = longest[at] if at < size else -1
             else:  # what stands before this place can't go on
                 dead[at] = 1
                 token = out.pop()
@@ -193,16 +218,6 @@ class ByteBpe:
                 token = shorter[token]
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, one after the other. Ids that are no tokens give none."""
-        ids = ids[(ids >= 0) & (ids < len(self.starts) - 1)]
-        out = []
-        for block in (ids[i : i + (1 << 16)] for i in range(0, len(ids), 1 << 16)):
-            first, n = self.starts[block], self.starts[block + 1] - self.starts[block]
-            ends = np.cumsum(n)
-            out.append(self.blob[np.repeat(first - ends + n, n) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)
-
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
@@ -210,6 +225,11 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=2)
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
 def _kept(df: DataFrame, drop: str) -> tuple[list[str], str]:
     names = [c for c in df.columns if c != drop]
     return names, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != drop)
@@ -250,12 +270,12 @@ def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     slim = held.select(F.struct(*(held[c] for c in names)).alias("_row"), held[ids_col].alias("_ids"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
+        table = offset_table(path)
         for batch in batches(source, 256):
             texts = []
             for row in batch.column("_ids"):
                 known = row.values if row.is_valid else None
-                texts.append(None if known is None else bpe.decode(known.drop_null().to_numpy(zero_copy_only=False)).decode("utf-8", "replace"))
+                texts.append(None if known is None else table.decode(known.drop_null().to_numpy(zero_copy_only=False)).decode("utf-8", "replace"))
             yield append_columns(batch, ["_row"], {"_decoded": pa.array(texts, pa.string())})
 
     schema = f"_row {slim.schema['_row'].dataType.simpleString()}, _decoded string"
