@@ -25,9 +25,18 @@ def log_line(level: Column, message: Column) -> Column:
     return F.concat(F.lit("["), level, F.lit("] "), message)
 
 
+def _entries(pairs: Column) -> Column:
+    """Texts key=value as a map: each is cut at its first =, those without one are left out, and of a key that comes more
+    than once the last counts."""
+    whole = F.filter(pairs, lambda x: F.contains(x, F.lit("=")))
+    cut = F.transform(whole, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2).alias("value")))
+    keys = F.reverse(F.transform(cut, lambda e: e["key"]))
+    return F.map_from_entries(F.filter(cut, lambda e, i: i == F.size(cut) - F.array_position(keys, e["key"])))
+
+
 def key_values(text: Column) -> Column:
-    """Lines key=value as a map."""
-    return F.str_to_map(text, F.lit("\n"), F.lit("="))
+    """Lines key=value as a map; the last line of a key counts."""
+    return _entries(F.split(text, r"\r?\n"))
 
 
 def fraction(text: Column) -> Column:
@@ -41,18 +50,46 @@ def command(kind: Column, *args: Column) -> Column:
     return F.concat_ws("|", kind, *args)
 
 
+#: An element of a list: in quotes, or without any quote, bracket or comma.
+_ELEMENT = r"""(?:'[^']*'|"[^"]*"|[^\s,'"()\[\]](?:[^,'"()\[\]]*[^\s,'"()\[\]])?)"""
+_ELEMENTS = rf"""^[\[(]\s*(?:{_ELEMENT}\s*(?:,\s*{_ELEMENT}\s*)*,?)?\s*[\])]$"""
+
+
 def kwargs(text: Column) -> Column:
-    """k=v,k=v as a map of literals: a struct of kind and the value in the field of its kind.
+    """k=v,k=v as a map of literals; commas in brackets or quotes don't separate."""
+    return kwargs_of(F.regexp_extract_all(text, F.lit(r"""((?:'[^']*'|"[^"]*"|\[[^\]]*\]|\([^)]*\)|[^,])+)"""), F.lit(1)))
 
-    Kinds are int, float, bool, none and str: a value in quotes, or one that is no literal, stays text, without its quotes.
-    """
-    return F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda _, v: literal(v))
+
+def kwargs_of(args: Column) -> Column:
+    """An array of k=v as a map of literals (see literal()); the last one of a key counts."""
+    return F.transform_values(_entries(args), lambda _, v: literal(v))
 
 
 def literal(value: Column) -> Column:
-    """The literal that a text is, as a struct (kind, int, float, bool, str); only the field of its kind isn't null."""
+    """The literal that a text is, as a struct (kind, int, float, bool, str, items); only the field of its kind isn't null.
+
+    Kinds are int, float, bool, none, list, tuple and str. Elements of a list or a tuple are in items, as structs without
+    items of their own. A value in quotes, or one that is no literal, stays text, the first without its quotes; so does a
+    list with another in it.
+    """
+    v = F.trim(value)
+    items = F.transform(F.regexp_extract_all(F.substr(v, F.lit(2), F.length(v) - 2), F.lit(f"({_ELEMENT})"), F.lit(1)), _scalar)
+    bare = F.exists(F.regexp_extract_all(F.substr(v, F.lit(2), F.length(v) - 2), F.lit(f"({_ELEMENT})"), F.lit(1)), lambda x: (_scalar(x)["kind"] == "str") & ~x.rlike(_QUOTED))
+    sound = v.rlike(_ELEMENTS) & ~bare
+    alone = F.startswith(v, F.lit("(")) & ~F.contains(v, F.lit(",")) & (F.size(items) == 1)  # brackets around one value
+    kind = F.when(sound & F.startswith(v, F.lit("[")) & F.endswith(v, F.lit("]")), "list").when(sound & F.startswith(v, F.lit("(")) & F.endswith(v, F.lit(")")), "tuple")
+    one = F.when((kind == "tuple") & alone, F.get(items, F.lit(0))).otherwise(_scalar(value))
+    many = kind.isNotNull() & ~((kind == "tuple") & alone)
+    field = lambda name: F.when(~many, one[name]).alias(name)
+    return F.struct(F.when(many, kind).otherwise(one["kind"]).alias("kind"), *map(field, ("int", "float", "bool", "str")), F.when(many, items).alias("items"))
+
+
+_QUOTED = r"""^(?:'[^']*'|"[^"]*")$"""
+
+
+def _scalar(value: Column) -> Column:
+    """A literal that is neither list nor tuple."""
     v = F.trim(value)
-    quoted = v.rlike(r"""^(?:'[^']*'|"[^"]*")$""")
     kind = (
         F.when(v.rlike(r"^[+-]?\d+$") & v.try_cast("long").isNotNull(), "int")
         .when(v.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), "float")
@@ -60,7 +97,7 @@ def literal(value: Column) -> Column:
         .when(v == "None", "none")
         .otherwise("str")
     )
-    text = F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(value)
+    text = F.when(v.rlike(_QUOTED), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(value)
     return F.struct(
         kind.alias("kind"),
         F.when(kind == "int", v.try_cast("long")).alias("int"),
@@ -83,9 +120,24 @@ def frame_name(frame: Column, digits: int = 5) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number that isn't negative, rounded to some digits after the point."""
-    n = F.round(F.round(x, digits + 3) * 10**digits).cast("long")
-    return F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+    """A number with some digits after the point, four at most: its exact value is rounded, a tie to the even digit.
+
+    A double times a small power of ten isn't a double. Its upper and its lower half times that are, so that what is over a
+    whole number and a half is known exactly.
+    """
+    scale = float(10**digits)
+    x = x.cast("double")
+    size = F.when(F.abs(x) < 1e15, F.abs(x)).otherwise(0.0)
+    upper = size * 134217729.0 - (size * 134217729.0 - size)  # its first 26 bits
+    a, b = upper * scale, (size - upper) * scale
+    n = F.floor(a + b)
+    over = (a - n - 0.5) + b
+    n = n + F.when((over > 0) | (over == 0) & (n % 2 == 1), 1).otherwise(0)
+    rest = n % 10**digits
+    whole = F.call_function("div", n, F.lit(10**digits))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    large = F.format_string(f"%.{digits}f", x)  # no fraction of these is near a half of the last digit
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(F.abs(x) >= 1e15, large).otherwise(F.when(x.isNotNull(), text))
 
 
 def parent(path: Column) -> Column:

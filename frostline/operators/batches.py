@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.order import order_key
 from ..sources.staging import stage_table
-from .datasets import order_key
 
 MANY = 1 << 16  # rows of a key that are ranked in one task
 _BEFORE = (W.unboundedPreceding, -1)

@@ -7,11 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pixels import above_floor, magnitude
-
-
-def order_key(*parts: Column, seed: int) -> Column:
-    """A random order that depends on the parts and the seed only, in any engine."""
-    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+from ..sources.order import order_key
+from .batches import global_order
 
 
 def variation_groups(images: DataFrame) -> DataFrame:
@@ -55,24 +52,32 @@ def samples(pairs: DataFrame, seed: int = 1337) -> DataFrame:
 
 
 def train_validation(rows: DataFrame, key: str, share: float = 0.25, seed: int = 42) -> DataFrame:
-    """rows with is_validation: the first share of them in a random order.
+    """rows with is_validation: exactly the first share of them, rounded down, in a random order of keys.
 
-    The place of the cut is found in a histogram of the order; only the rows in the one of 65,536 buckets that it
-    falls into are ranked.
+    The place of the cut is found in a histogram of the order, then among the keys of the one of its 65,536 buckets that it
+    falls into. Where it falls between the rows of one key, those get places of their own; rows alike are told apart then.
+    rows has to give the same rows each time it is read. Two rows reach the driver.
     """
-    keyed = rows.withColumn("_order", order_key(F.col(key).cast("string"), seed=seed)).withColumn("_bucket", F.substring("_order", 1, 4))
-    held = keyed.groupBy("_bucket").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(W.orderBy("_bucket"))
+    keyed = rows.select(F.struct(*(rows[c] for c in rows.columns)).alias("_row"), order_key(rows[key].cast("string"), seed=seed).alias("_order"))
+    keyed = keyed.withColumn("_bucket", F.substring("_order", 1, 4))
     total = F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    wanted = F.floor(F.col("total") * share).cast("long")
-    edge = held.withColumns({"upto": run, "total": total}).withColumn("wanted", wanted).where("upto > wanted").orderBy("_bucket").limit(1)
-    edge = edge.select(F.col("_bucket").alias("_edge"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("_more"))
-    near = keyed.join(F.broadcast(edge), F.col("_bucket") == F.col("_edge"))
-    last = near.withColumn("_n", F.row_number().over(W.partitionBy("_bucket").orderBy("_order", key))).where("_n <= _more").agg(F.max("_order").alias("_last"))
-    cut = edge.join(F.broadcast(last))  # one row and one row
-    out = keyed.join(F.broadcast(cut), how="left")
-    inside = (F.col("_bucket") < F.col("_edge")) | (F.col("_order") <= F.col("_last")) | F.col("_edge").isNull()
-    return out.withColumn("is_validation", F.coalesce(inside, F.lit(False))).select(*rows.columns, "is_validation")
+    held = keyed.groupBy("_bucket").agg(F.count("*").alias("n"))
+    held = held.withColumns({"upto": F.sum("n").over(W.orderBy("_bucket")), "wanted": F.floor(total * share).cast("long")})
+    edge = held.where("upto > wanted").orderBy("_bucket").first()
+    if edge is None:  # all of them, or none at all
+        return rows.withColumn("is_validation", F.lit(True))
+    near = keyed.where(F.col("_bucket") == edge["_bucket"])
+    by_key = near.groupBy("_order").agg(F.count("*").alias("n"))
+    more = edge["wanted"] - edge["upto"] + edge["n"]
+    last = by_key.withColumn("upto", F.sum("n").over(W.orderBy("_order"))).where(F.col("upto") > more).orderBy("_order").first()
+    inside = F.col("_order") < last["_order"]
+    left = more - last["upto"] + last["n"]  # rows of the key that the cut falls into
+    if not left:
+        return keyed.select("_row.*", inside.alias("is_validation"))
+    others = keyed.where(F.col("_order") != last["_order"]).select("_row", inside.alias("is_validation"))
+    cut = keyed.where(F.col("_order") == last["_order"]).select("_row", F.xxhash64("_row").alias("_hash"))
+    cut = global_order(cut, "_hash", seed=seed).select("_row", (F.col("place") < left).alias("is_validation"))
+    return others.unionAll(cut).select("_row.*", "is_validation")
 
 
 def flow_means(flow: DataFrame, *keys: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.order import CHUNK, running_max
+from ..sources.staging import stage_table
 
 #: Colours of a timeline and their ranks where ranges overlap (fixed values).
 PRIORITY = {"replaced": 5, "additional": 4, "failed": 3, "skipped": 2, "duplicate": 1}
@@ -79,9 +81,16 @@ def painted_frames(ranges: DataFrame) -> DataFrame:
 
 
 def color_ranges(painted: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
-    """Runs of frames of one colour as half-open ranges."""
-    before = painted.select("video_id", (F.col("frame_num") + 1).alias("frame_num"), "color", F.lit(True).alias("goes_on"))
-    rows = painted.join(before, ["video_id", "frame_num", "color"], "left")
+    """Runs of frames of one colour as half-open ranges. Without chunks, in one pass by video; with chunks, what is painted
+    is staged, as each frame looks at the one before it by a join."""
+    if chunk is None:
+        w = W.partitionBy("video_id").orderBy("frame_num")
+        goes_on = (F.lag("frame_num").over(w) == F.col("frame_num") - 1) & (F.lag("color").over(w) == F.col("color"))
+        rows = painted.withColumn("goes_on", F.when(goes_on, True))
+    else:
+        painted = stage_table(painted)
+        before = painted.select("video_id", (F.col("frame_num") + 1).alias("frame_num"), "color", F.lit(True).alias("goes_on"))
+        rows = painted.join(before, ["video_id", "frame_num", "color"], "left")
     rows = running_max(rows, "video_id", "frame_num", F.when(F.col("goes_on").isNull(), F.col("frame_num")), "start", chunk=chunk)
     return rows.groupBy("video_id", "color", "start").agg((F.max("frame_num") + 1).alias("stop"))
 

@@ -12,8 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..params import REPAIR, MatcherParams
 from .backtracking import History
@@ -24,6 +27,7 @@ STEP_SCHEMA = (
     "video_id long, step long, frame_num long, len int, state string, n_additional int, outcome string, chain_motion double, "
     "diff double, end_conf double, chain_i long, frames array<long>, timestamps array<double>"
 )
+COLUMNS = ("video_id", "frame_num", "ts_s", "hash_distance", "motion", "distinct_conf")
 
 
 @dataclass(frozen=True)
@@ -115,26 +119,39 @@ class ChainMatcher:
         return "Ok"
 
 
+def _run(batches: Iterator[pd.DataFrame], params: MatcherParams) -> Iterator[pd.DataFrame]:
+    """The steps over rows that come by video and frame."""
+    video, matcher = None, None
+    for rows in batches:
+        out = []
+        columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in COLUMNS]
+        for v, *row in zip(*columns, strict=True):
+            if matcher is None or v != video:
+                video, matcher = v, ChainMatcher(params)
+            out += [s | {"video_id": v} for s in matcher.feed(tuple(row))]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
+
+
 def match_steps(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
     """One row per step of the matcher: the outcome log, with the chain where the outcome is Ok.
 
     Rows are dealt by video and sorted, and a task runs through them as they come: a long video is as little held in
     memory as a short one. Only keys and scores are moved, never pixels.
     """
+    slim = scores.select(*COLUMNS)
+    return slim.repartition("video_id").sortWithinPartitions("video_id", "frame_num").mapInPandas(lambda rows: _run(rows, params), STEP_SCHEMA)
+
+
+def match_bucketed(scores: DataFrame, params: MatcherParams = REPAIR) -> DataFrame:
+    """The same over a table in buckets by video (sources.bucketed): nothing is moved, and nothing sorted that is so."""
+    kinds = to_arrow_schema(StructType.fromDDL(STEP_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _run((b.to_pandas() for b in batches), params):
+            yield pa.RecordBatch.from_pandas(out, kinds, preserve_index=False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, matcher = None, None
-        for rows in batches:
-            out = []
-            columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in ("video_id", "frame_num", "ts_s", "hash_distance", "motion", "distinct_conf")]
-            for v, *row in zip(*columns, strict=True):
-                if matcher is None or v != video:
-                    video, matcher = v, ChainMatcher(params)
-                out += [s | {"video_id": v} for s in matcher.feed(tuple(row))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
-
-    slim = scores.select("video_id", "frame_num", "ts_s", "hash_distance", "motion", "distinct_conf")
-    return slim.repartition("video_id").sortWithinPartitions("video_id", "frame_num").mapInPandas(run, STEP_SCHEMA)
+    slim = scores.select(*COLUMNS).sortWithinPartitions("video_id", "frame_num")
+    return slim.groupBy("video_id").applyInArrow(run, STEP_SCHEMA)
 
 
 def chains(steps: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -98,24 +99,48 @@ def ema_final(values: DataFrame, alpha: float) -> DataFrame:
     return rows.groupBy("video_id").agg(F.sum(weight * F.col("value")).alias("ema"))
 
 
+BLOCK = 64  # frames that are averaged by one product
+
+
+def _ema(values: np.ndarray, alpha: float, carried: float) -> np.ndarray:
+    """The average after each of the values, from the one that is carried in on, a block at a time."""
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    weights, left = np.where(lag >= 0, alpha * (1 - alpha) ** np.maximum(lag, 0), 0.0), (1 - alpha) ** np.arange(1, BLOCK + 1)
+    out = np.empty(len(values))
+    for k in range(0, len(values), BLOCK):
+        n = min(BLOCK, len(values) - k)
+        out[k : k + n] = weights[:n, :n] @ values[k : k + n] + left[:n] * carried
+        carried = out[k + n - 1]
+    return out
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of rows of one key."""
+    edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+    return zip(edges, edges[1:], strict=False)
+
+
 def ema_running(values: DataFrame, alpha: float, chunk: int | None = CHUNK) -> DataFrame:
     """The average after every frame; the first value seeds it.
 
-    An average over a chunk of frames is its own part and what is left of the average carried in, so chunks are tasks of
-    their own; what each takes over comes from one row per chunk. Without chunks a video is one task.
+    Without chunks a video is one task, and the average is made in one pass. With chunks, an average over one is its own
+    part and what is left of the average carried in, so chunks are tasks of their own; what each takes over comes from one
+    row per chunk.
     """
     place = ["video_id", "_chunk"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, part, left = None, 0.0, 1.0
+        at, ema, seen = None, 0.0, 0
         for rows in batches:
-            out = []
-            for *here, x in zip(rows["video_id"], rows["_chunk"], rows["value"], strict=True):
-                if here != at:
-                    at, part, left = here, 0.0, 1.0
-                part, left = alpha * x + (1 - alpha) * part, (1 - alpha) * left
-                out.append((part, left))
-            yield rows[["video_id", "_chunk", "frame_num", "value"]].assign(part=[p for p, _ in out], left=[x for _, x in out])
+            keys, x = rows[place].to_numpy(), rows["value"].to_numpy(float)
+            out, number = np.empty(len(x)), np.empty(len(x))
+            for a, b in _runs(keys) if len(x) else ():
+                if (here := tuple(keys[a])) != at:
+                    at, ema, seen = here, 0.0 if chunk else x[a], 0
+                out[a:b] = _ema(x[a:b], alpha, ema)
+                number[a:b] = np.arange(seen + 1, seen + 1 + b - a)
+                ema, seen = out[b - 1], seen + b - a
+            yield rows[["video_id", "_chunk", "frame_num", "value"]].assign(part=out, left=(1 - alpha) ** number)
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, ema = None, 0.0
@@ -129,19 +154,15 @@ def ema_running(values: DataFrame, alpha: float, chunk: int | None = CHUNK) -> D
             yield rows[["_video", "_of"]].assign(carried=out)
 
     slim = values.select("video_id", "frame_num", "value", F.expr(f"frame_num div {chunk}" if chunk else "0L").alias("_chunk"))
-    slim = slim.repartition(*place).sortWithinPartitions(*place, "frame_num")
+    slim = slim.repartition(*place if chunk else place[:1]).sortWithinPartitions(*place, "frame_num")
     parts = slim.mapInPandas(run, "video_id long, _chunk long, frame_num long, value double, part double, left double")
-    parts = stage_table(parts) if chunk else parts
-    ends = parts.groupBy(*place).agg(F.min_by("value", "frame_num").alias("first"), F.max_by("part", "frame_num").alias("part"), F.max_by("left", "frame_num").alias("left"))
     if not chunk:
-        first = ends.select(F.col("video_id").alias("_video"), F.col("first").alias("carried"))
-        return _carried(parts.join(first, F.col("video_id") == F.col("_video")))
+        return parts.select("video_id", "frame_num", F.col("part").alias("ema"))
+    parts = stage_table(parts)
+    ends = parts.groupBy(*place).agg(F.min_by("value", "frame_num").alias("first"), F.max_by("part", "frame_num").alias("part"), F.max_by("left", "frame_num").alias("left"))
     ends = ends.withColumns({"_video": F.col("video_id"), "_of": F.col("_chunk")}).repartition("video_id").sortWithinPartitions(*place)
     carried = ends.mapInPandas(carry, "_video long, _of long, carried double")
-    return _carried(parts.join(carried, (F.col("video_id") == F.col("_video")) & (F.col("_chunk") == F.col("_of"))))
-
-
-def _carried(rows: DataFrame) -> DataFrame:
+    rows = parts.join(carried, (F.col("video_id") == F.col("_video")) & (F.col("_chunk") == F.col("_of")))
     return rows.select("video_id", "frame_num", (F.col("part") + F.col("left") * F.col("carried")).alias("ema"))
 
 
@@ -157,3 +178,28 @@ def seek_frames(frames: DataFrame, targets: DataFrame, chunk: int | None = CHUNK
     last = frames.groupBy(F.col("video_id").alias("_video")).agg(F.max("frame_num").alias("last"))
     out = found.join(last, F.col("video_id") == F.col("_video"), "left")
     return out.select("video_id", "target", F.coalesce(-F.col("nearest"), "last").alias("frame_num"))
+
+
+def seek_times(frames: DataFrame, targets: DataFrame, rate: float, chunk: int | None = CHUNK) -> DataFrame:
+    """For each target (video_id, target) the first frame whose time, in frames at the rate, rounds to it, or is more than
+    half a frame past it; or else the video's last. frames has video_id, frame_num and ts_s, which rises with it.
+
+    Halves are rounded to the even number, so a time right between two frames may be the later one's without being past the
+    earlier one. Places of times are counted in halves for that, and each target looks at two of them.
+    """
+    exact = F.col("ts_s") * rate
+    place = (2 * F.rint(exact) - F.when(F.rint(exact) - exact == 0.5, 1).otherwise(0)).cast("long")
+    places = stage_table(frames.groupBy("video_id", place.alias("place")).agg(F.min("frame_num").alias("first"), F.max("frame_num").alias("last")))
+    wanted = targets.select("video_id", F.explode(F.array(2 * F.col("target") - 1, 2 * F.col("target") + 2)).alias("target")).distinct()
+    found = seek_frames(places.select("video_id", F.col("place").alias("frame_num")), wanted, chunk)
+    found = stage_table(found.select(F.col("video_id").alias("_v"), F.col("target").alias("_t"), F.col("frame_num").alias("_p")))
+    near = found.select("_v", "_t", F.col("_p").alias("_near"))
+    past = found.select(F.col("_v").alias("_w"), F.col("_t").alias("_u"), F.col("_p").alias("_past"))
+    both = targets.join(near, (F.col("video_id") == F.col("_v")) & (F.col("_t") == 2 * F.col("target") - 1))
+    both = both.join(past, (F.col("video_id") == F.col("_w")) & (F.col("_u") == 2 * F.col("target") + 2))
+    held = F.col("_near").between(2 * F.col("target") - 1, 2 * F.col("target"))
+    both = both.select("video_id", "target", F.when(held, F.col("_near")).otherwise(F.col("_past")).alias("_place"))
+    here = places.select(F.col("video_id").alias("_x"), F.col("place"), "first", "last")
+    out = both.join(here, (F.col("video_id") == F.col("_x")) & (F.col("_place") == F.col("place")))
+    beyond = (F.col("_place") < 2 * F.col("target") - 1) | (F.col("_place") == 2 * F.col("target") + 1)
+    return out.select("video_id", "target", F.when(beyond, F.col("last")).otherwise(F.col("first")).alias("frame_num"))

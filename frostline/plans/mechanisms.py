@@ -1,4 +1,4 @@
-"""Registered queries of joins on ranges, exact orders and streams with expiry, each with its DuckDB SQL."""
+"""Registered queries of joins on ranges, exact orders, streams with expiry, replay, files and flow, each with its SQL."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batches, intervals, logs, patching
+from ..functions import pixels as P
+from ..functions import text as T
+from ..operators import batches, datasets, flow, intervals, logs, matcher, patching, replay, sequences
+from ..sources import bucketed, images, raw
+from ..sources import frames as S
 from ..sources.order import numbered
-from ..sources.staging import as_stream, run_stream, stage_table, state_store
+from ..sources.staging import as_stream, run_stream, shared_path, stage_table, state_store
 from ..streaming import lookup, patience
-from .oracles import CHAINS, FRAMES, LAGS, PAINTED
-from .queries import STATE_PARTITIONS, Query, _chains, _chunk, _frames, _lags, _painted, _read
+from .oracles import CHAINS, FRAMES, LAGS, PAINTED, THUMBS
+from .oracles import ORACLES as ORACLES_OF
+from .queries import STATE_PARTITIONS, Query, _chains, _chunk, _frames, _lags, _painted, _read, _scores
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +108,172 @@ def stream_given_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = as_stream(frames, files_per_batch=1 << 20)  # the watermark moves once, so that no row is behind it
     with state_store(spark):
         return run_stream(patience.in_order_or_given_up(stream, "video_id", "frame_num", "ts", f"{DELAY_H} hours", PATIENCE_H * 3_600_000), STATE_PARTITIONS)
+
+
+_REPLAYED = f"""WITH {FRAMES},
+b AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN frame_num END) OVER (PARTITION BY video_id ORDER BY frame_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bought FROM frames),
+s AS (SELECT video_id, frame_num AS cause, unnest([frame_num] || CASE WHEN event_type = 'error' AND frame_num > coalesce(bought, 0)
+    THEN range(frame_num - least(2, frame_num - coalesce(bought, 0)), frame_num + 1) ELSE [] END) AS frame_num, unnest(range(CASE WHEN event_type = 'error' AND frame_num > coalesce(bought, 0) THEN 2 + least(2, frame_num - coalesce(bought, 0)) ELSE 1 END)) AS j FROM b)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY cause, j) - 1 AS step, frame_num, frame_num + 1 AS counter FROM s"""
+
+
+@_query(_REPLAYED)
+def replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator that sees the frames before an error again."""
+    return replay.replayed(_frames(spark, sf_dir), "video_id", "frame_num", replay.AFTER_ERRORS, "event_type")
+
+
+@_query(_REPLAYED)
+def stream_replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream in four batches, none of which has a video's frames in order."""
+    with state_store(spark):
+        return run_stream(replay.replay_stream(as_stream(_frames(spark, sf_dir).repartition(4, "frame_num")), "video_id", "frame_num", replay.AFTER_ERRORS, "event_type"), STATE_PARTITIONS)
+
+
+@_query(
+    f"""WITH {THUMBS},
+p AS (SELECT b.frame_num, a.t AS a, b.t AS b FROM thumbs a JOIN thumbs b ON b.frame_num = a.frame_num + 1),
+c AS (SELECT *, unnest(range(4)) AS block FROM p), d AS (SELECT *, unnest(range(9)) AS j FROM c),
+e AS (SELECT frame_num, block, a, b, (block // 2 * 3 + 1 + j // 3) * 8 + block % 2 * 3 + 1 + j % 3 + 1 AS i FROM d),
+g AS (SELECT frame_num, block, (a[i + 1] - a[i - 1] + b[i + 1] - b[i - 1]) / 4 AS x, (a[i + 8] - a[i - 8] + b[i + 8] - b[i - 8]) / 4 AS y, b[i] - a[i] AS t FROM e),
+s AS (SELECT frame_num, block, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * t) AS xt, sum(y * t) AS yt FROM g GROUP BY frame_num, block),
+v AS (SELECT *, xx * yy - xy * xy AS det FROM s),
+f AS (SELECT frame_num, CASE WHEN det > 0.01 * (xx + yy) * (xx + yy) THEN (xy * yt - yy * xt) / det ELSE 0 END AS x, CASE WHEN det > 0.01 * (xx + yy) * (xx + yy) THEN (xy * xt - xx * yt) / det ELSE 0 END AS y FROM v),
+m AS (SELECT frame_num, avg(x) AS a, avg(y) AS b, avg(greatest(sqrt(x * x + y * y), 0.2) - 0.2) AS m FROM f GROUP BY frame_num)
+SELECT frame_num, round(a, 6) AS avg_flow_x, round(b, 6) AS avg_flow_y, round(greatest(m, 0.0001) - 0.0001, 6) AS motion FROM m"""
+)
+def picture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow from each thumbnail to the next, taken as pictures of 8 x 8 pixels."""
+    pairs = sequences.neighbours(S.thumbnails(_read(spark, sf_dir, "embeddings")))
+    means = datasets.flow_means(flow.flow_vectors(pairs, width=8), "frame_num")
+    return means.select("frame_num", *(F.round(c, 6).alias(c) for c in ("avg_flow_x", "avg_flow_y", "motion")))
+
+
+@_query(ORACLES_OF["patched_frames"])
+def bucketed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlay over frames in buckets, which aren't moved."""
+    frames = bucketed.stage_bucketed(_frames(spark, sf_dir), buckets=STATE_PARTITIONS)
+    return patching.patched(frames, patching.interpolated(_chains(spark, sf_dir), frames)).withColumn("value", F.round("value", 6))
+
+
+@_query(ORACLES_OF["matcher_outcomes"])
+def bucketed_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matcher over scores in buckets by video."""
+    scores = bucketed.stage_bucketed(_scores(spark, sf_dir), bucketed.BY_VIDEO, STATE_PARTITIONS)
+    return matcher.match_bucketed(scores).select("video_id", "step", "frame_num", "len", "state", "outcome", F.round("chain_motion", 6).alias("chain_motion"))
+
+
+def _pixels(thumb: F.Column, n: int) -> F.Column:
+    """The first n values of a thumbnail as bytes."""
+    return F.unhex(F.array_join(F.transform(F.slice(F.transform(thumb, P.to_byte), 1, n), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+@_query(
+    f"""WITH {THUMBS}, f AS (SELECT frame_num % 4 AS video_id, frame_num // 4 AS n, array_to_string(list_transform(t[1:48], lambda x: printf('%02X', CAST(least(255, greatest(0, floor((x + 1) * CAST(127.5 AS DOUBLE)))) AS INTEGER))), '') AS pixels FROM thumbs)
+SELECT video_id, n - 10 AS frame_num, round(n / CAST(20 AS DOUBLE), 6) AS ts_s, 4 AS width, 4 AS height, pixels FROM f WHERE n >= 10 AND n < 110"""
+)
+def raw_frames_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thumbnails written as four files of raw frames, 4 x 4 pixels each, and five seconds of each read back."""
+    thumbs = S.thumbnails(_read(spark, sf_dir, "embeddings"))
+    path = shared_path(spark)
+    raw.write_frames(thumbs.select((F.col("frame_num") % 4).alias("video_id"), F.expr("frame_num div 4").alias("frame_num"), _pixels(F.col("thumb"), 48).alias("data")), path)
+    found = raw.seek_raw(spark, path, 0.5, 5.0, width=4, height=4, rate=20)
+    return found.select("video_id", "frame_num", F.round("ts_s", 6).alias("ts_s"), "width", "height", F.hex("data").alias("pixels"))
+
+
+@_query(
+    f"""WITH {CHAINS}, e AS (SELECT video_id, chain_i, 0 AS k, frames[1] AS frame_num FROM chains UNION ALL SELECT video_id, chain_i, 1, end_frame FROM chains)
+SELECT printf('%d/chain_%d/%d.webp.png', e.video_id, chain_i, k) AS name, 2 AS width, 2 AS height, array_to_string(list_transform(range(4), lambda i: printf('%02X', (CAST(floor(value) AS BIGINT) + i) % 256)), '') AS pixels
+FROM e JOIN frames f ON f.video_id = e.video_id AND f.frame_num = e.frame_num"""
+)
+def boundary_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames between which each chain is filled in as PNG files, written and read back; four pixels show a value."""
+    found = sequences.boundary_frames(_chains(spark, sf_dir), _frames(spark, sf_dir))
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lpad(F.hex((F.floor("value") + i) % 256), 2, "0")), ""))
+    name = F.concat(F.col("video_id").cast("string"), F.lit("/"), images.pair_name(F.col("chain_i"), F.col("name")))
+    path = shared_path(spark)
+    images.write_pictures(found.select(name.alias("name"), F.lit(2).alias("width"), F.lit(2).alias("height"), pixels.alias("data")), path)
+    return images.read_pictures(spark, path).select("name", "width", "height", F.hex("data").alias("pixels"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, printf('%.3f', (l_orderkey * 7 + l_linenumber) / CAST(2000 AS DOUBLE)) AS three, printf('%.4f', (l_orderkey * 3 + l_linenumber) / CAST(20000 AS DOUBLE)) AS four FROM lineitem")
+def fixed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as the log writes them; many are right between two that can be written, or look as if they were."""
+    x, y = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) / 2000, (F.col("l_orderkey") * 3 + F.col("l_linenumber")) / 20000
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.fixed(x, 3).alias("three"), T.fixed(y, 4).alias("four"))
+
+
+@_query(
+    "SELECT p_partkey, CAST(p_size AS BIGINT) AS n, 'list' AS shape_kind, p_size || ',' || p_size * 2 || ',x' AS shape, 'tuple' AS pair_kind, 2 AS n_pair, p_brand AS brand, p_size > 9 AS has_last, '1=2' AS odd FROM part"
+)
+def kwargs_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments with lists and tuples; of a key that comes twice the last counts."""
+    size = F.col("p_size").cast("string")
+    told = F.array(
+        F.lit("n=-1"), F.concat(F.lit("shape=["), size, F.lit(", "), (F.col("p_size") * 2).cast("string"), F.lit(", 'x']")), F.concat(F.lit("pair=(1, "), size, F.lit(",)")), F.concat(F.lit("n="), size),
+        F.concat(F.lit("brand='"), F.col("p_brand"), F.lit("'")), F.concat(F.lit("last="), F.when(F.col("p_size") > 9, "True").otherwise("False")), F.lit("odd=1=2"), F.lit("none"),
+    )
+    k = T.kwargs_of(told)
+    rows = _read(spark, sf_dir, "part").select("p_partkey", k.alias("k"))
+    item = lambda x: F.coalesce(x["int"].cast("string"), x["str"])
+    return rows.select(
+        "p_partkey", F.col("k")["n"]["int"].alias("n"), F.col("k")["shape"]["kind"].alias("shape_kind"), F.array_join(F.transform(F.col("k")["shape"]["items"], item), ",").alias("shape"),
+        F.col("k")["pair"]["kind"].alias("pair_kind"), F.size(F.col("k")["pair"]["items"]).alias("n_pair"), F.col("k")["brand"]["str"].alias("brand"), F.col("k")["last"]["bool"].alias("has_last"), F.col("k")["odd"]["str"].alias("odd"),
+    )
+
+
+@_query(
+    "WITH o AS (SELECT o_custkey % 7 AS key, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(o_custkey % 7 AS VARCHAR), '42'))) <= floor(count(*) OVER () * 0.25) AS is_validation FROM orders) "
+    "SELECT key, is_validation, count(*) AS n FROM o GROUP BY key, is_validation"
+)
+def split_of_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each part of a split by a key that has seven values."""
+    rows = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("key"), "o_orderkey")
+    return datasets.train_validation(rows, "key").groupBy("key", "is_validation").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {FRAMES}, f AS (SELECT video_id, frame_num, (frame_num + CASE WHEN frame_num % 4 = 1 THEN 0.5 ELSE value - floor(value) END) / CAST(60 AS DOUBLE) * 60 AS q FROM frames),
+t AS (SELECT unnest([0, 2, 5, 17, 1000]) AS target)
+SELECT video_id, target, coalesce(min(frame_num) FILTER (round_even(q, 0) = target OR q > target + 0.5), max(frame_num)) AS frame_num FROM f, t GROUP BY video_id, target"""
+)
+def seek_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by their time, where frames come up to a frame late and some right between two."""
+    late = F.when(F.col("frame_num") % 4 == 1, 0.5).otherwise(F.col("value") - F.floor("value"))
+    frames = _frames(spark, sf_dir).withColumn("ts_s", (F.col("frame_num") + late) / 60.0)
+    targets = frames.select("video_id").distinct().select("video_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 2, 5, 17, 1000)))).alias("target"))
+    return sequences.seek_times(frames, targets, 60.0, chunk=_chunk(spark, sf_dir))
+
+
+@_query(
+    "SELECT doc_id, name AS file, doc_id AS frame_num, coalesce(source, '') AS parent, source || '/' || doc_id || '.webp' AS webp, doc_id % 3 = 0 AS made FROM (SELECT *, printf('%05d.png', doc_id) || CASE WHEN doc_id % 3 = 0 THEN '_1.png' ELSE '' END AS name FROM documents)"
+)
+def picture_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of pictures: made, taken apart, and told from those that augmentation made."""
+    docs = _read(spark, sf_dir, "documents")
+    made = F.when(F.col("doc_id") % 3 == 0, "_1.png").otherwise("")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), T.frame_name(F.col("doc_id")), made)
+    rows = docs.select("doc_id", "source", path.alias("path"))
+    return rows.select(
+        "doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), S.frame_number(F.col("path")).alias("frame_num"), T.parent(F.col("path")).alias("parent"),
+        T.with_extension(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")), "webp").alias("webp"), F.col("path").rlike(S.AUGMENTED).alias("made"),
+    )
+
+
+@_query(
+    "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS in0, CAST(o_custkey + 1 AS VARCHAR) AS in1, (o_orderkey % 10) / CAST(10 AS DOUBLE) AS s, 'out ' || o_orderkey || '.png' AS out, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 100 AS DOUBLE) + 0.5 END AS q, "
+    "'a' || o_orderkey || '.mkv' AS src, CASE WHEN o_orderkey % 2 = 0 THEN 'b.mkv' END AS dst FROM orders"
+)
+def completion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of completed jobs and of files being processed, written and read."""
+    key, even = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 2 == 0
+    number = F.format_string("%.1f", (F.col("o_orderkey") % 10) / 10.0)
+    done = F.concat(F.col("o_custkey").cast("string"), F.lit(" "), (F.col("o_custkey") + 1).cast("string"), F.lit(" "), number, F.lit(" -> out "), key, F.lit(".png done"))
+    done = F.concat(done, F.when(even, F.format_string(" (q - %.1f%%)", F.col("o_orderkey") % 100 + 0.5)).otherwise(""))
+    file = F.concat(F.lit('[INFO] Processing: "a'), key, F.lit('.mkv"'), F.when(even, ' to "b.mkv"').otherwise(""))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", done.alias("done"), file.alias("file"))
+    part = lambda n: T.group(F.col("done"), T.COMPLETION, n)
+    return rows.select(
+        "o_orderkey", part(1).alias("in0"), part(2).alias("in1"), part(3).cast("double").alias("s"), part(4).alias("out"), part(5).cast("double").alias("q"),
+        T.group(F.col("file"), T.PROCESSING, 1).alias("src"), T.group(F.col("file"), T.PROCESSING, 2).alias("dst"),
+    )

@@ -32,8 +32,7 @@ run AS (
       FROM (SELECT r.*, s.motion, s.conf, r.pos - r.h AS len, r.cm + s.motion AS cm1 FROM run r JOIN scores s ON s.video_id = r.video_id AND s.frame_num = r.pos)))),
 steps AS (SELECT video_id, step - 1 AS step, o_frame AS frame_num, CAST(o_len AS INTEGER) AS len, o_state AS state, o_n AS n_additional, outcome, o_cm AS chain_motion, o_ci AS chain_i, o_diff AS diff, o_conf AS end_conf FROM run WHERE step > 0)"""
 def _fixed(x: str, digits: int) -> str:
-    n = f"CAST(round(round({x}, {digits + 3}) * {10**digits}) AS BIGINT)"
-    return f"({n} // {10**digits} || '.' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0'))"
+    return f"printf('%.{digits}f', {x})"
 
 
 #: Each step with a line: what a run's log says of it.
@@ -124,7 +123,7 @@ SELECT g.video_id, CAST(greatest(coalesce((SELECT max(start + length) FROM lags
     "video_params": f"WITH {FRAMES}, v AS (SELECT video_id, count(*) AS n, 30 + video_id % 31 AS a, video_id % 3 AS b FROM frames GROUP BY video_id), r AS (SELECT *, CASE WHEN b = 0 THEN CAST(0 AS DOUBLE) ELSE a / CAST(b AS DOUBLE) END AS rate FROM v) SELECT video_id, 2560 AS width, 1440 AS height, rate AS framerate, CAST(n AS DOUBLE) AS duration_s, CAST(floor(rate * n) AS BIGINT) AS total_frames FROM r",
     "segment_plan": f"WITH {FRAMES}, v AS (SELECT video_id, CAST(count(*) AS DOUBLE) AS d FROM frames GROUP BY video_id), p AS (SELECT *, CAST(least(4, floor((d - 5) / 15) + 1) AS INTEGER) AS n FROM v), q AS (SELECT *, (d - n * 5) / (n + 1) AS gap, unnest(range(0, n)) AS k FROM p WHERE n > 0) SELECT video_id, CAST(k AS INTEGER) AS i, round(gap * (k + 1) + k * 5, 6) AS start_s FROM q",
     "command_codec": "SELECT o_orderkey, 'gets|' || o_orderstatus || '|' || o_orderpriority AS cmd, 'gets' AS kind, 2 AS n_args, o_orderpriority AS last_arg FROM orders",
-    "seek_frame": f"WITH {FRAMES}, f AS (SELECT * FROM frames WHERE frame_num % 3 = 0) SELECT video_id, target, coalesce(min(frame_num) FILTER (frame_num >= target), max(frame_num)) AS frame_num FROM f, (SELECT unnest([0, 5, 17, 1000]) AS target) GROUP BY video_id, target",
+    "seek_frame": f"WITH {SCORES}, f AS (SELECT video_id, frame_num FROM scores WHERE coalesce(conf, 1) > 0) SELECT video_id, target, coalesce(min(frame_num) FILTER (frame_num >= target), max(frame_num)) AS frame_num FROM f, (SELECT unnest([0, 5, 17, 1000]) AS target) GROUP BY video_id, target",
     "seek_clip": f"WITH {FRAMES} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_num) - 1 AS frame_num, round(frame_num / CAST(60 AS DOUBLE), 6) AS ts_s, value FROM frames WHERE frame_num BETWEEN 15 AND 44",
     "frame_index": "WITH r AS (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * CAST(24 AS DOUBLE) WHEN o_orderkey % 2 > 0 THEN CAST(25 AS DOUBLE) ELSE CAST(60 AS DOUBLE) END AS rate FROM orders) "
     "SELECT o_orderkey, rate, CAST(greatest(0, round_even(floor(o_totalprice) * CAST(0.001 AS DOUBLE) * rate, 0)) AS BIGINT) AS frame_num, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 ELSE CAST(floor(rate * (o_totalprice / 1000)) AS BIGINT) END AS n_frames FROM r",
@@ -155,6 +154,6 @@ SELECT before, after, false AS different FROM same UNION ALL SELECT c.before, c.
 }
 _IMAGES = "(SELECT source || '/' || printf('%05d.png', doc_id) AS path, n_chars FROM documents)"
 ORACLES["sample_images"] = (
-    f"SELECT s.before, s.after, a.n_chars AS before_chars, b.n_chars AS after_chars FROM ({ORACLES['same_cross_pairs']}) s "
-    f"JOIN {_IMAGES} a ON a.path = s.before JOIN {_IMAGES} b ON b.path = s.after WHERE s.different"
+    f"SELECT s.before, s.after, s.different, a.n_chars AS before_chars, b.n_chars AS after_chars FROM ({ORACLES['same_cross_pairs']}) s "
+    f"JOIN {_IMAGES} a ON a.path = s.before JOIN {_IMAGES} b ON b.path = s.after"
 )

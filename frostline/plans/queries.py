@@ -300,7 +300,8 @@ def command_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def seek_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir).where("frame_num % 3 = 0")
+    """Among the frames that differ from the one before them."""
+    frames = _scores(spark, sf_dir).where("distinct_conf IS NULL OR distinct_conf > 0")
     targets = frames.select("video_id").distinct().select("video_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 17, 1000)))).alias("target"))
     return sequences.seek_frames(frames, targets, chunk=_chunk(spark, sf_dir))
 
@@ -339,8 +340,8 @@ def sample_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of adjacent groups with the contents of both their images, here the lengths of two texts."""
     name = F.concat("source", F.lit("/"), T.frame_name(F.col("doc_id")))
     images = _read(spark, sf_dir, "documents").select(name.alias("path"), F.col("n_chars").alias("content"))
-    out = S.images_of(same_cross_pairs(spark, sf_dir).where("different"), images)
-    return out.select("before", "after", F.col("first_data").alias("before_chars"), F.col("second_data").alias("after_chars"))
+    out = S.images_of(same_cross_pairs(spark, sf_dir), images)
+    return out.select("before", "after", "different", F.col("first_data").alias("before_chars"), F.col("second_data").alias("after_chars"))
 
 
 @_query

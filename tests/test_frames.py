@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from frostline.functions import losses as L
 from frostline.functions import pixels as P
 from frostline.functions import text as T
-from frostline.operators import datasets, faults, features, logs, patching, scoring, sequences
+from frostline.operators import datasets, faults, features, logs, matcher, patching, scoring, sequences
 from frostline.sources import frames as S
 
 
@@ -153,7 +155,86 @@ def test_literals(spark):
     none = [None] * 4
     want = [("int", 1, *none[1:]), ("float", None, -2.5, None, None), ("float", None, 1000.0, None, None), ("bool", None, None, True, None), ("none", *none)]
     want += [("str", None, None, None, t) for t in ("a b", "x", "Truth", "", "1.2.3")] + [("float", None, 1e20, None, None)]
-    assert got == want
+    assert got == [(*w, None) for w in want]
+
+
+def plain(v):
+    """The Python value of a literal's struct."""
+    if v["kind"] in ("list", "tuple"):
+        return {"list": list, "tuple": tuple}[v["kind"]](plain(x) for x in v["items"])
+    return None if v["kind"] == "none" else v[v["kind"]]
+
+
+def test_lists_are_those_of_python(spark):
+    import ast
+
+    same = ["[1, 2]", "[]", "()", "(1,)", "(1)", "( 2.5 , 'a b' )", "[True, None, -3]", "['a,b', \"c\"]", " [1,2,] ", "[1e3]", "('x')"]
+    other = ["[a, b]", "[1, [2]]", "[1", "1]", "[1 2, x]", "[,]", "(]", "['a' 'b']"]
+    texts = same + other
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.literal(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [plain(r.v) for r in rows] == [ast.literal_eval(t.strip()) for t in same] + other
+
+
+def test_arguments_and_lines(spark):
+    row = spark.range(1).select(
+        T.kwargs(F.lit("a=1,shape=[1, 2],b='x,y',pair=(1,2),a=3,none")).alias("k"), T.kwargs_of(F.array(F.lit("a=b=c"), F.lit("="), F.lit("a="))).alias("one"), T.kwargs_of(F.array().cast("array<string>")).alias("no"),
+        T.key_values(F.lit("width=1\r\nheight=2\nwidth=3\nnothing\nodd=a=b")).alias("m"),
+    ).first()
+    assert {k: plain(v) for k, v in row.k.items()} == {"a": 3, "shape": [1, 2], "b": "x,y", "pair": (1, 2)}
+    assert {k: plain(v) for k, v in row.one.items()} == {"": "", "a": ""} and row.no == {}
+    assert row.m == {"width": "3", "height": "2", "odd": "a=b"}
+
+
+def test_fixed_numbers_round_exact_values(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rng = random.Random(2)
+    values = [2.00005, 1.0005, 0.0005, 0.00015, 2.5, 1e15 + 0.5, 0.0, -0.0004, -1.0005, 123456.78905, 4e9 + 0.00005, 0.99995, 0.00005] + [rng.randint(0, 10**6) / 20000 for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.fixed(F.col("v"), 4).alias("four"), T.fixed(F.col("v"), 3).alias("three")).collect()
+    for r in rows:
+        for text, digits in ((r.four, 4), (r.three, 3)):
+            assert text == str(Decimal(r.v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN)), (r.v, text)
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v double").select(T.fixed(F.col("v"), 3).alias("t")).collect()
+    assert [r.t for r in odd] == ["NaN", "inf", "-inf", None]
+
+
+def test_a_split_inside_one_key(spark):
+    rows = spark.range(1000).select(F.lit("k").alias("k"), "id")
+    split = datasets.train_validation(rows, "k")
+    assert split.where("is_validation").count() == 250 and split.select("id").distinct().count() == 1000
+    alike = datasets.train_validation(spark.range(40).select(F.lit("k").alias("k"), F.lit(1).alias("_row"), F.lit(2).alias("place")), "k")
+    assert sorted(r.is_validation for r in alike.collect()) == [False] * 30 + [True] * 10
+    some = datasets.train_validation(spark.range(999).select((F.col("id") % 3).alias("k"), "id"), "k", share=0.5)
+    assert some.where("is_validation").count() == 499
+    assert datasets.train_validation(rows, "k", share=1.0).where("is_validation").count() == 1000
+
+
+def test_one_pass_of_python(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = sequences.ema_running(S.event_frames(events, chunk=None), 0.3, chunk=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    painted = logs.painted_frames(logs.painted_ranges(logs.parse_log(logs.log_lines(matcher.match_steps(S.event_scores(events))))))
+    plan = logs.color_ranges(painted, chunk=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+
+
+def test_colours_in_chunks_and_by_video_agree(spark):
+    rng = random.Random(3)
+    rows = [(v, n, rng.choice(["a", "a", "b"])) for v in (1, 2) for n in rng.sample(range(300), 200)]
+    painted = spark.createDataFrame(rows, "video_id long, frame_num long, color string")
+    whole, parts = (sorted(map(tuple, logs.color_ranges(painted, chunk=c).collect())) for c in (None, 7))
+    assert whole == parts and sum(r[-1] - r[-2] for r in whole) == 400
+
+
+def test_seek_by_time(spark):
+    times = {0: 0.0, 1: 1.5, 2: 2.5, 3: 2.75, 4: 3.25, 5: 6.0, 6: 6.5}  # in frames
+    frames = spark.createDataFrame([(1, n, q / 8) for n, q in times.items()], "video_id long, frame_num long, ts_s double")
+    targets = spark.createDataFrame([(1, t) for t in range(9)], "video_id long, target long")
+    want = {}
+    for t in range(9):
+        want[t] = next((n for n, q in times.items() if round(q) == t or q > t + 0.5), 6)
+    for chunk in (None, 2):
+        assert {r.target: r.frame_num for r in sequences.seek_times(frames, targets, 8.0, chunk).collect()} == want
 
 
 def test_log_lines_as_the_program_writes_them(spark):
