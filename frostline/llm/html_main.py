@@ -4,7 +4,8 @@ A page becomes a tree of its elements. Paragraphs give points for their length a
 farther ones; an element's points are discounted by the share of its text that is links. The element with the most
 points is found, and the whole article or main element around it is kept; beside it, siblings with points and few
 links, and the headings over them. Menus, headers, footers, notices, forms, comments and the
-like never give or hold text; they are known by their tag, role, class or id, if every word of it says so. Words that may
+like never give or hold text; they are known by their tag, role, class or id, if every word of it says so. Unmistakable
+words (ad, comments, cookie) drop a container beside any other word, unless it seems to hold the article. Words that may
 as well name a part of an article (legal, print, share) never drop a paragraph, and drop a container only if it is short
 or consists of links.
 """
@@ -23,10 +24,13 @@ from .common import append_columns, batches
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z)",
     re.S,
 )
+#: The same for the rest of a page in which UNQUOTED tags had a quote that nothing closes: it is looked for in vain each time.
+_LOOSE = re.compile(_MARKUP.pattern.replace(r"""(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>""", r"""[^>]*+)>"""), re.S)
+UNQUOTED = 16
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _STYLE = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +56,12 @@ _WEAK = frozenset(
     "alert cc comms dialog disclaimer download form header hidden legal login meta notification overlay pager print privacy recommend recommended related search share sharing shares "
     "skip social tabs tags teaser toolbar tooltip topbar trending widget widgets".split()
 )
+#: Words that mark a container whatever other word stands beside them, unless it seems to hold the article.
+_SURE = frozenset(
+    "ad ads adsense adv advert advertisement advertising adverts comment commentlist comments cookie cookies discussion disqus gdpr outbrain promo promoted promos replies responses reviews sponsor sponsored "
+    "sponsors taboola".split()
+)
+_PROSE = frozenset("discussion responses reviews".split())  # may be the name of an article's section
 #: Words that say nothing beside such words.
 _PLAIN = frozenset("a area bar block body bottom box button buttons container content fixed global group holder inner item items js left link links list main mobile module my outer page panel right row section site sticky text the top wrap wrapper".split())
 _GOOD = frozenset("article articlebody body content entry main post story text hentry page column".split())
@@ -71,12 +81,12 @@ class _Tree:
     """
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.out, self.weak, self.good = [-1], ["#root"], [False], [False], [False]
+        self.parent, self.tag, self.out, self.weak, self.good, self.doubtful = [-1], ["#root"], [False], [False], [False], [False]
         self.block, self.list, self.sections, self.opened = [0], [0], [0], {}
         self.texts: list[tuple[int, str]] = []  # an empty text marks the border of a block
 
     def open(self, parent: int, tag: str, attributes: str) -> int:
-        out, weak, good = self.out[parent] or tag in _OUT, False, tag in ("article", "main")
+        out, weak, good, doubtful = self.out[parent] or tag in _OUT, False, tag in ("article", "main"), False
         if attributes and not out:
             for m in _NAME.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -86,6 +96,8 @@ class _Tree:
                 for token in value.split():
                     words = {w.lower() for w in _SPLIT.split(token)} - {""}
                     good = good or bool(words & _GOOD)
+                    sure = words & _SURE - (_PROSE if tag in ("section", "article") else frozenset())
+                    doubtful = doubtful or bool(sure) and tag not in _PARAGRAPH | _HEADING | _INLINE and tag not in ("body", "html", "main")
                     if tag in ("body", "html", "article", "main") or not words & (_BAD | _WEAK) or words - _BAD - _WEAK - _PLAIN:
                         continue
                     if words & _BAD:
@@ -101,6 +113,7 @@ class _Tree:
         self.out.append(out)
         self.weak.append(weak)
         self.good.append(good)
+        self.doubtful.append(doubtful)
         self.block.append(node if tag in _BLOCKS else self.block[parent])
         self.list.append(node if tag in _LISTS else self.list[parent])
         self.sections.append(self.sections[parent] + (tag in _SECTIONS))
@@ -124,13 +137,13 @@ class _Tree:
 
 def parse(html: str) -> _Tree:
     tree, at, now, raw = _Tree(), 0, 0, None
-    end_raw = None
+    end_raw, markup, unquoted = None, _MARKUP, 0
     while True:
         if raw:
             m = end_raw.search(html, at)
             at = m.start() if m else len(html)  # what a raw element holds is no text
             raw = None
-        m = _MARKUP.search(html, at)
+        m = markup.search(html, at)
         if m is None:
             tree.texts.append((now, html[at:]))
             return tree
@@ -139,6 +152,8 @@ def parse(html: str) -> _Tree:
         at = m.end()
         if m["cdata"] is not None:
             tree.texts.append((now, m["cdata"].replace("&", "&amp;")))
+        unquoted += m["tag2"] is not None
+        markup = markup if unquoted < UNQUOTED else _LOOSE
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -218,6 +233,30 @@ def _measure(tree: _Tree, texts: list[tuple[int, str]], in_link: list[bool]) ->
     return chars, links, commas, direct
 
 
+def _doubtful(tree: _Tree, chars: list[int], links: list[int], direct: list[int]) -> list[bool]:
+    """Containers that go: those with an unmistakable word, but for one with the title in it, one that no paragraph of
+    some length stands outside of, and one with most of the page's text before all such paragraphs."""
+    n = len(tree.parent)
+    inside, title = tree.doubtful[:], [False] * n
+    for node in range(1, n):
+        inside[node] = inside[node] or inside[tree.parent[node]]
+    for node in range(n - 1, 0, -1):
+        title[tree.parent[node]] = title[tree.parent[node]] or title[node] or tree.tag[node] == "h1" and chars[node] > 0
+    reads = [i for i in range(1, n) if not inside[i] and not tree.out[i] and direct[i] >= 80 and links[i] < 0.3 * chars[i] and tree.tag[i] not in _INLINE]
+    first = reads[0] if reads else n
+    return [tree.doubtful[i] and bool(reads) and not title[i] and (first < i or 2 * chars[i] < chars[0]) for i in range(n)]
+
+
+_NUMBER = re.compile(r"&#0*(\d+);?")
+
+
+def _plain(raw: str) -> str:
+    """Text with its character references decoded; a number of more digits than any character has is none."""
+    if "&" not in raw:
+        return raw
+    return unescape(_NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", raw) if "&#" in raw else raw)
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in order, white space as one space; empty if there is none."""
     if not html:
@@ -227,8 +266,13 @@ def main_text(html: str | None) -> str:
     in_link = [False] * n
     for node in range(1, n):
         in_link[node] = tree.tag[node] == "a" or in_link[tree.parent[node]]
-    texts = [(node, unescape(raw) if "&" in raw else raw) for node, raw in tree.texts]
+    texts = [(node, _plain(raw)) for node, raw in tree.texts]
     chars, links, commas, direct = _measure(tree, texts, in_link)
+    if any(tree.doubtful):
+        gone = _doubtful(tree, chars, links, direct)
+        for node in range(1, n):
+            tree.out[node] = tree.out[node] or gone[node] or tree.out[tree.parent[node]]
+        chars, links, commas, direct = _measure(tree, texts, in_link)
     if any(tree.weak):
         for node in range(1, n):
             thin = tree.weak[node] and (chars[node] < 80 or links[node] >= 0.3 * chars[node])
@@ -276,8 +320,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per row of pages: id_col, the columns named in carry, text, n_chars (code points of text).
 
-    A page that is null, empty or has no main text gives an empty text. An empty table gives no rows; other columns
-    don't matter.
+    A page that is null, empty or has no main text gives an empty text. Very long pages are read whole, in time that grows
+    with their length; repeated rows, and ties, have a row each, and null ids and addresses stay null. An empty table gives
+    no rows; other columns don't matter.
     """
     slim = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_html"]

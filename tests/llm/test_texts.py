@@ -306,6 +306,55 @@ def test_deep_and_long_pages():
     assert len(html_main.main_text("<p>word, " * 50000)) == 6 * 50000 - 1
 
 
+MB = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a" * (MB // 2), "a<b" * (MB // 3), "<p>text</p>" + "<a" + "x" * MB, "<a>\">" * (MB // 5), '<a ">"' * (MB // 6), "<a '" * (MB // 4), "<!--" * (MB // 4), "<![CDATA[" * (MB // 9), "&#" + "9" * MB + ";", "&#" + "0" * MB + "65;",
+     "<div class=" * (MB // 11), "<p " + "class " * (MB // 6) + ">", "</p>" * (MB // 4), "<li><ul>" * (MB // 8), "<script>" * (MB // 8), "<" * MB, "&" * MB, " " * MB, "plain words " * (MB // 12)],
+    ids=range(19),
+)
+def test_pages_of_any_kind_take_linear_time(html):
+    began = time.process_time()
+    html_main.main_text(html)
+    assert time.process_time() - began < 30
+
+
+def test_numbers_of_characters():
+    assert html_main.main_text("<p>&#000000000000065;&#x42;&#67 &#99999999999;&#128512;</p>") == "ABC \ufffd\U0001f600"
+
+
+SENTENCE = "A sentence of the article, long enough to count. "
+GONE = "ad-slot ad-unit advert-card promo-card gdpr-layer comment-thread user-comments replies-thread discussion responses user-reviews cookie-law sponsored-story commentSection js-comments-v2".split()
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_adverts_and_comments_go(name):
+    article = f"<h1>Title</h1><p>{SENTENCE * 4}</p><p>{SENTENCE}</p>"
+    want = " ".join(f"Title {SENTENCE * 4} {SENTENCE}".split())
+    other = f'<div class="{name}"><p>{"Something else, said by somebody else, of some length. " * 3}</p></div>'
+    thread = f'<div id="{name}"><ul>{"".join(f"<li><p>Reader {i} wrote, at some length, what came to mind, and more.</p></li>" for i in range(40))}</ul></div>'
+    for html in (f"{article}{other}", f"{article}{thread}", f"{other}{article}", f"<h1>Title</h1><p>{SENTENCE * 4}</p>{other}<p>{SENTENCE}</p>"):
+        for around in ("<main>{}</main>", "<main><article>{}</article></main>", "<article>{}</article>", "<div>{}</div>"):
+            assert html_main.main_text(f"<body><nav><a href=x>menu</a></nav>{around.format(html)}</body>") == want, (html, around)
+    after = f'<body><main><article>{article}</article>{thread}</main></body>'
+    assert html_main.main_text(after) == want
+
+
+def test_an_article_in_an_odd_container_stays():
+    body = f"<h1>Title</h1><p>{SENTENCE * 4}</p><p>{SENTENCE * 3}</p>"
+    bare = f"<p>{SENTENCE * 4}</p><p>{SENTENCE * 3}</p>"
+    foot = f"<div><p>{'Words at the foot of the page, which nobody marked as such. ' * 2}</p></div>"
+    text = lambda html: " ".join(re.sub("<[^>]+>", " ", html).split())
+    for name in ("ad-free-reading", "comment-and-debate", "cookie-recipes", "reviews-of-books"):
+        for inner in (body, bare):
+            assert html_main.main_text(f'<body><div class="{name}">{inner}</div></body>') == text(inner)
+            assert text(inner) in html_main.main_text(f'<body><article><div class="{name}">{inner}</div></article>{foot}</body>')
+    section = f'<article><p>{SENTENCE * 4}</p><section class="discussion"><h2>Discussion</h2><p>{SENTENCE * 2}</p></section></article>'
+    assert html_main.main_text(f"<body>{section}</body>") == text(section)
+
+
 @given(st.text(alphabet="<>/pdiv ab&;\"'=!-", max_size=120))
 @settings(max_examples=300, deadline=None)
 def test_any_text_is_a_page(html):
