@@ -3,7 +3,8 @@
 A text becomes words in lower case. Phrases are counted where their words stand one after the other. A notice may
 differ by a few edits: it is split into one more part than edits are allowed, so that at least one part is untouched;
 parts are found exactly with one Aho-Corasick automaton, and around each find the regex library's bounded-error
-matching verifies the whole notice and reports its span and edits.
+matching verifies the whole notice and reports its span and edits. A span begins and ends with a word, and the name of a
+licence in it has no edit, so that neither "small rights reserved" nor a NIST licence is taken for what it isn't.
 """
 
 from __future__ import annotations
@@ -23,27 +24,42 @@ from .common import append_columns, batches, nonnull_text, utf8
 
 #: Phrases of the base labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short notices and their labels, in the words of their licences; edits allowed: one for each 12 characters, 6 at most.
-NOTICES = {
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under a creative commons attribution": "cc-by",
-    "licensed under the gnu general public license": "gpl",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "licensed under the gnu affero general public license": "agpl",
-    "licensed under the apache license": "apache",
-    "licensed under the mit license": "mit",
-    "distributed under the boost software license": "boost",
-    "made available under the terms of the eclipse public license": "epl",
-    "permission to use copy modify and or distribute this software for any purpose": "isc",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "redistribution and use in source and binary forms with or without modification": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
-    "this is free and unencumbered software released into the public domain": "public-domain",
-    "no rights reserved this work is in the public domain": "public-domain",
-    "all rights reserved": "reserved",
-    "this program is free software you can redistribute it and or modify it": "gpl",
-}
+#: Licences with their names in notices, their identifiers in SPDX lines, and labels; versions have labels of their own.
+NAMES = {
+    "mit": (["mit"], ["mit", "mit 0"]), "isc": (["isc"], ["isc"]), "zlib": (["zlib"], ["zlib"]), "boost": (["boost software"], ["bsl 1 0"]),
+    "apache": (["apache"], ["apache 1 1", "apache 2 0"]), "apache-2.0": (["apache 2 0"], ["apache 2 0"]),
+    "bsd": (["bsd", "2 clause bsd", "3 clause bsd", "new bsd", "simplified bsd", "modified bsd"], ["bsd 2 clause", "bsd 3 clause", "0bsd"]),
+    "gpl": (["gnu general public", "gnu gpl", "gpl"], ["gpl 2 0", "gpl 3 0"]), "lgpl": (["gnu lesser general public", "gnu library general public", "lgpl"], ["lgpl 2 1", "lgpl 3 0"]),
+    "agpl": (["gnu affero general public", "agpl"], ["agpl 3 0"]), "mpl": (["mozilla public", "mpl"], ["mpl 1 1", "mpl 2 0"]), "mpl-2.0": (["mozilla public license v 2 0"], ["mpl 2 0"]),
+    "epl": (["eclipse public", "epl"], ["epl 1 0", "epl 2 0"]), "cddl": (["common development and distribution", "cddl"], ["cddl 1 0"]), "eupl": (["european union public", "eupl"], ["eupl 1 2"]),
+    "artistic": (["artistic"], ["artistic 2 0"]), "unlicense": (["unlicense"], ["unlicense"]), "wtfpl": (["do what the fuck you want to public"], ["wtfpl"]), "openssl": (["openssl"], ["openssl"]),
+    "psf": (["python software foundation"], ["psf 2 0", "python 2 0"]), "cc-by": (["creative commons attribution"], ["cc by 3 0", "cc by 4 0"]), "cc-by-sa": (["creative commons attribution sharealike"], ["cc by sa 3 0", "cc by sa 4 0"]),
+    "cc-by-nc": (["creative commons attribution noncommercial"], ["cc by nc 4 0", "cc by nc 3 0"]), "cc-by-nd": (["creative commons attribution noderivatives"], ["cc by nd 4 0"]), "cc0": (["creative commons zero", "cc0"], ["cc0 1 0"]),
+}
+#: What stands around a name. The name itself, in braces, allows no edit.
+FORMS = ["licensed under the {%s} license", "released under the {%s} license", "released under a {%s} license", "distributed under the {%s} license", "under the terms of the {%s} license", "available under the {%s} license"]
+#: Notices that name no licence, or name it otherwise, in the words of their licences.
+OTHERS = {
+    "licensed under {cc by}": "cc-by", "licensed under {cc by sa}": "cc-by-sa", "licensed under {cc by nc}": "cc-by-nc", "licensed under {cc by nd}": "cc-by-nd", "licensed under {cc0}": "cc0",
+    "licensed under a {creative commons attribution}": "cc-by", "licensed under the {apache} license {version 2 0}": "apache-2.0",
+    "permission to use copy modify and or distribute this software for any purpose": "isc", "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "redistribution and use in source and binary forms with or without modification": "bsd", "subject to the terms of the {mozilla public} license": "mpl",
+    "this is free and unencumbered software released into the public domain": "public-domain", "no rights reserved this work is in the public domain": "public-domain",
+    "dedicated to the public domain": "public-domain", "all rights reserved": "reserved", "all rights are reserved": "reserved",
+    "this program is free software you can redistribute it and or modify it": "gpl", "this library is free software you can redistribute it and or modify it": "lgpl",
+    "{gnu general public} license as published by the free software foundation either {version 2}": "gpl-2.0", "{gnu general public} license as published by the free software foundation either {version 3}": "gpl-3.0",
+    "{gnu general public} license {version 2}": "gpl-2.0", "{gnu general public} license {version 3}": "gpl-3.0", "{gnu lesser general public} license {version 3}": "lgpl-3.0", "{gnu affero general public} license {version 3}": "agpl-3.0",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "warranty",
+}
+
+
+def _notices() -> dict[str, str]:
+    named = {form % name: label for label, (names, _) in NAMES.items() for name in names for form in FORMS}
+    return named | {"spdx license identifier {%s}" % x: label for label, (_, ids) in NAMES.items() for x in ids} | OTHERS
+
+
+#: Short notices and their labels; edits allowed: one for each 12 characters, 6 at most, none in braces.
+NOTICES = _notices()
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -53,7 +69,25 @@ def normal(text: bytes) -> bytes:
 
 
 def edits_for(notice: str) -> int:
-    return max(1, min(6, len(notice) // 12))
+    return max(1, min(6, len(plain(notice)) // 12))
+
+
+def plain(notice: str) -> str:
+    """A notice without braces."""
+    return notice.replace("{", "").replace("}", "")
+
+
+def _pattern(notice: str, k: int) -> str:
+    """Names as they are, what stands between them with edits, from a word's begin to a word's end."""
+    out = ["(?<![^ ])"]
+    for i, part in enumerate(_BRACES.split(notice)):
+        if part:
+            out.append(f"(?<![^ ]){regex.escape(part)}(?![^ ])" if i % 2 else f"(?:{regex.escape(part)}){{e<={k}}}")
+    return "".join([*out, "(?![^ ])"])
+
+
+_BRACES = regex.compile(r"[{}]")
+_BORDER = 64  # characters after a window in which a word's end is looked for: far more than edits could take up
 
 
 class NoticeSearch:
@@ -61,11 +95,12 @@ class NoticeSearch:
         self.notices, self.seeds = [], ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (notice, label) in enumerate(notices.items()):
-            k = edits_for(notice)
-            self.notices.append((notice, label, k, regex.compile(f"(?:{regex.escape(notice)}){{e<={k}}}", regex.BESTMATCH)))
-            cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
+            k, text = edits_for(notice), plain(notice)
+            names = _BRACES.split(notice)[1::2]
+            self.notices.append((text, label, k, names, regex.compile(_pattern(notice, k), regex.BESTMATCH)))
+            cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                owners.setdefault(notice[a:b], []).append((n, a))
+                owners.setdefault(text[a:b], []).append((n, a))
         for seed, who in owners.items():
             self.seeds.add_word(seed, (len(seed), who))
         self.seeds.make_automaton()
@@ -78,12 +113,14 @@ class NoticeSearch:
                 near.setdefault(n, set()).add(end + 1 - length - at)
         found = []
         for n, starts in near.items():
-            notice, label, k, pattern = self.notices[n]
+            notice, label, k, names, pattern = self.notices[n]
             own = []
-            for a, b in _windows(sorted(starts), len(notice), k, len(text)):
-                if not _hopeless(text, a, b, notice, k):
-                    own += [(sum(m.fuzzy_counts), m.start(), m.end()) for m in pattern.finditer(text, a, b)]
-            found += [(a, b, label, edits) for edits, a, b in _apart(own)]
+            if all(name in text for name in names):
+                for a, b in _windows(sorted(starts), len(notice), k, len(text)):
+                    b = text.find(" ", b, b + _BORDER) if text.find(" ", b, b + _BORDER) >= 0 else min(len(text), b + _BORDER)
+                    if not _hopeless(text, a, b, notice, k, names):
+                        own += [(sum(m.fuzzy_counts), m.start(), m.end()) for m in pattern.finditer(text, a, b)]
+            found += [(a, b, label, edits) for edits, a, b in _apart([s for s in own if s[0] <= k])]
         return sorted(set(found))
 
 
@@ -115,13 +152,13 @@ def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return best
 
 
-def _hopeless(text: str, a: int, b: int, notice: str, k: int) -> bool:
-    """Too few of the notice's characters are in the window: each edit accounts for one of them at most."""
+def _hopeless(text: str, a: int, b: int, notice: str, k: int, names: list[str]) -> bool:
+    """A name isn't in the window, or too few of the notice's characters: each edit accounts for one of them at most."""
     part = text[a:b]
-    return sum(max(0, c - part.count(ch)) for ch, c in _letters(notice)) > k
+    return any(name not in part for name in names) or sum(max(0, c - part.count(ch)) for ch, c in _letters(notice)) > k
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=1024)
 def _letters(notice: str) -> tuple[tuple[str, int], ...]:
     return tuple((ch, notice.count(ch)) for ch in sorted(set(notice)))
 

@@ -194,41 +194,78 @@ def test_long_texts_take_linear_time():
         assert time.time() - began < 60
 
 
-def sellers(text, notice):
-    """The least edit distance of a notice to any part of a text."""
-    row = np.arange(len(notice) + 1)
-    least, letters = len(notice), np.array(list(notice))
-    for ch in text:
-        best = np.minimum(row[:-1] + (letters != ch), row[1:] + 1)
-        new = [0]
-        for x in best.tolist():
-            new.append(min(x, new[-1] + 1))
-        row = np.array(new)
-        least = min(least, new[-1])
-    return least
-
-
-def test_fuzzy_labels_against_brute_force(spark):
-    """Notices with edits on both sides of what is allowed: a label is there just where brute force finds it."""
-    rng, texts = np.random.default_rng(8), []
-    for notice in licenses.NOTICES:
-        k = licenses.edits_for(notice)
-        for edits in (0, k - 1, k, k + 1, k + 3):
-            letters = list(notice)
+def least_edits(words, notice):
+    """The fewest edits that make a notice of whole words of a text, names in braces as they are: every word is a begin, and
+    each name is where its words stand; what is between is measured to every end."""
+    parts = re.split("[{}]", notice)
+    most, best = licenses.edits_for(notice), 99
+    text = " ".join(words)
+    begins = {0, *(i + 1 for i, c in enumerate(text) if c == " ")}
+    ends = {len(text), *(i for i, c in enumerate(text) if c == " ")}
+
+    def go(at, i, spent):
+        nonlocal best
+        if spent > most or spent >= best:
+            return
+        if i == len(parts):
+            if at in ends:
+                best = spent
+            return
+        part = parts[i]
+        if not part:
+            go(at, i + 1, spent)
+        elif i % 2:
+            if at in begins and text.startswith(part, at) and at + len(part) in ends:
+                go(at + len(part), i + 1, spent)
+        else:
+            for stop in range(max(at, at + len(part) - most), min(len(text), at + len(part) + most) + 1):
+                go(stop, i + 1, spent + distance(text[at:stop], part))
+
+    for begin in sorted(begins):
+        near = text[begin : begin + len(notice) + 8]
+        letters = sum(max(0, licenses.plain(notice).count(c) - near.count(c)) for c in set(licenses.plain(notice)))
+        if letters <= most:
+            go(begin, 0, 0)
+    return best
+
+
+SOME = ["licensed under the {mit} license", "released under a {bsd} license", "spdx license identifier {gpl 3 0}", "all rights reserved", "licensed under the {apache} license {version 2 0}", "{gnu general public} license {version 3}", "licensed under {cc by nc}"]
+
+
+def test_fuzzy_labels_against_brute_force():
+    """Notices with edits on both sides of what is allowed, in names too: found just where brute force finds them."""
+    rng = np.random.default_rng(8)
+    hits = 0
+    for notice in SOME:
+        search, k = licenses.NoticeSearch({notice: "x"}), licenses.edits_for(notice)
+        for edits in [*range(k + 3), 1, 1, k, k]:
+            letters = list(licenses.plain(notice))
             for _ in range(edits):
                 at = int(rng.integers(0, len(letters)))
-                kind = rng.integers(3)
-                letters[at : at + (kind != 0)] = ["q"] if kind != 1 else []
-            texts.append(f"Some words, {''.join(letters).upper()} -- and more.")
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for row in licenses.scan(df).collect():
-        plain = licenses.normal(texts[row.doc_id].encode()).decode()
-        found = {label for notice, label in licenses.NOTICES.items() if sellers(plain, notice) <= licenses.edits_for(notice)}
-        base = {x for x in row.base_labels.split(",") if x}
-        assert set(filter(None, row.labels.split(","))) == found | base, texts[row.doc_id]
-        for a, b, label, edits in json.loads(row.spans):
-            part = licenses.normal(texts[row.doc_id][a:b].encode()).decode()
-            assert min(distance(part, n) for n, x in licenses.NOTICES.items() if x == label) <= edits
+                kind = rng.integers(4)
+                letters[at : at + (kind not in (0, 3))] = ["q"] if kind in (0, 2) else [" "] if kind == 3 else []
+            text = licenses.normal(f"some words {''.join(letters)} and more".encode()).decode()
+            want, found = least_edits(text.split(" "), notice), search.spans(text)
+            assert (want <= k) == bool(found), (notice, text, want, found)
+            hits += bool(found)
+            for a, b, _, e in found:
+                assert (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ") and want <= e <= k
+    assert hits > 20
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("small rights reserved", ""), ("overall rights reserved", ""), ("licensed under the nist license", ""), ("licensed under the ms license", ""), ("Released under a MIT licence.", "mit"), ("all rights are reserved", "reserved"),
+        ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+        ("Licensed under the Apache License, Version 2.0 (the License)", "apache,apache-2.0"), ("Licensed under the Apache Licence, Version 1.1", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        ("licensed under the GNU Lesser General Public License", "gpl,lgpl"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), ("distributed under the Boost Software License, Version 1.0", "boost"), ("licensed under the emit license", ""),
+        ("licensed under the summit license", ""), ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl"), ("made available under the terms of the Eclipse Public License v2.0", "epl"), ("licensed under the permit license", ""),
+    ],
+)
+def test_labels_of_notices(spark, text, labels):
+    (row,) = licenses.scan(spark.createDataFrame([(1, f"Words before. {text} Words after.")], "doc_id long, text string")).collect()
+    assert row.labels == labels
 
 
 def test_copies_beside_each_other_are_all_found():
@@ -262,17 +299,24 @@ def test_notices_with_edits_are_found():
     search, rng = licenses.NoticeSearch(licenses.NOTICES), np.random.default_rng(6)
     for notice, label in licenses.NOTICES.items():
         k = licenses.edits_for(notice)
-        for _ in range(12):
-            letters = list(notice)
-            for _ in range(k):
-                at = int(rng.integers(1, len(letters) - 1))
+        for _ in range(3):
+            parts = re.split("([{}])", notice)
+            letters, free = [], []  # where edits may be: not in names, and not at a border of words
+            inside = False
+            for part in parts:
+                if part in ("{", "}"):
+                    inside = part == "{"
+                    continue
+                free += [not inside and 0 < i < len(part) - 1 and part[i] != " " and part[i - 1 : i + 2 : 2] != "  " for i in range(len(part))]
+                letters += list(part)
+            for at in sorted(rng.choice(np.flatnonzero(free), min(k, sum(free)), replace=False).tolist(), reverse=True) if any(free) else []:
                 kind = rng.integers(3)
                 letters[at : at + (kind != 0)] = ["q"] if kind != 1 else []
-            text = "some words before " + "".join(letters) + " and after"
+            text = licenses.normal(("some words before " + "".join(letters) + " and after").encode()).decode()
             assert any(x[2] == label for x in search.spans(text)), (notice, text)
-    for a, b, label, edits in search.spans("xx relased under the mit licence yy"):
-        assert label == "mit" and edits == 2
-        assert distance("xx relased under the mit licence yy"[a:b], "released under the mit license") == 2
+    text = "xx relased under the mit licence yy"
+    (span,) = [s for s in search.spans(text) if s[2] == "mit"]
+    assert span[3] == 2 and text[span[0] : span[1]] == "relased under the mit licence"
     assert search.spans("nothing of the kind is written here") == []
 
 
