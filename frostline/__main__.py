@@ -1,6 +1,7 @@
 """Commands over Parquet tables and text files, for spark-submit or `python -m frostline`.
 
-Scores are (video_id, frame_num, ts_s, hash_distance, motion, distinct_conf), frames (video_id, frame_num, value).
+Scores are (video_id, frame_num, ts_s, hash_distance, motion, distinct_conf), frames (video_id, frame_num, value),
+pictures (video_id, frame_num, width, height, data).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators import datasets, faults, logs, matcher, patching, sequences
 from .params import REPAIR, VALIDATE, MatcherParams
 from .sources import frames as S
+from .sources.images import pair_name, write_pictures
 from .sources.staging import stage_table
 
 
@@ -40,6 +42,10 @@ def _parser() -> argparse.ArgumentParser:
     similar.add_argument("--min", type=float, default=0.0001)
     similar.add_argument("--max", type=float, required=True)
     command("view-log", "log", "out")
+    motion = command("split-motion", "samples", "out")
+    motion.add_argument("--split", type=float, default=0.25)
+    motion.add_argument("--seed", type=int, default=42)
+    command("boundary-pictures", "chains", "pictures", "out")
     build = command("build-dataset", "images", "out")
     build.add_argument("--split", type=float, default=0.25)
     build.add_argument("--seed", type=int, default=1337)
@@ -79,6 +85,12 @@ def main(argv: list[str] | None = None) -> None:
         _write(faults.injected_frames(frames, lags), f"{args.out}/frames")
     elif args.command == "extract-similar":
         _write(sequences.similar_frames(read(args.pairs), args.min, args.max), args.out)
+    elif args.command == "split-motion":
+        samples = stage_table(S.read_motion_samples(spark, args.samples).withColumn("key", F.monotonically_increasing_id()))
+        S.write_motion_parts(datasets.train_validation(samples, "key", args.split, args.seed), args.out)
+    elif args.command == "boundary-pictures":
+        found = sequences.boundary_frames(read(args.chains), read(args.pictures))
+        write_pictures(found.withColumn("name", pair_name(F.col("chain_i"), F.col("name"))), args.out)
     elif args.command == "build-dataset":
         samples = stage_table(datasets.samples(datasets.adjacent_groups(datasets.variation_groups(S.list_images(spark, args.images, augmented=True)))))
         parts = stage_table(datasets.train_validation(samples.withColumn("key", F.monotonically_increasing_id()), "key", args.split, args.seed))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +17,43 @@ def _draw(what: str, attempt: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
+FEW = 64  # freezes up to which candidates are compared with all that are taken, inside expressions
+
+
+def _place(videos: Iterator[pd.DataFrame], n_inserts: int, max_length: int, seed: int, attempts: int) -> Iterator[pd.DataFrame]:
+    """The same candidates, each compared with its neighbours among those taken only, which are kept in order."""
+    for rows in videos:
+        out = []
+        for video, n in zip(rows["video_id"].tolist(), rows["n_frames"].tolist(), strict=True):
+            room, taken = n - max_length - 1, []
+            for a in range(attempts if room > 0 else 0):
+                draw = [int(hashlib.md5(f"{video}:{what}:{a}:{seed}".encode()).hexdigest()[:12], 16) for what in "sl"]
+                new = (1 + draw[0] % max(room, 1), 1 + draw[1] % max_length)
+                at = bisect_left(taken, new)
+                near = taken[max(0, at - 1) : at + 1]
+                if len(taken) < n_inserts and all(s > sum(new) + 1 or new[0] > s + size + 1 for s, size in near):
+                    taken.insert(at, new)
+                    out.append((video, *new))
+        yield pd.DataFrame(out, columns=["video_id", "start", "length"])
+
+
+def lag_shortfall(videos: DataFrame, lags: DataFrame, n_inserts: int) -> DataFrame:
+    """(video_id, n, missing) of videos that have fewer freezes than wanted."""
+    held = lags.groupBy(F.col("video_id").alias("_v")).agg(F.count("*").alias("n"))
+    out = videos.join(held, F.col("video_id") == F.col("_v"), "left").select("video_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return out.where(F.col("n") < n_inserts).withColumn("missing", n_inserts - F.col("n"))
+
+
 def inject_lags(videos: DataFrame, n_inserts: int = 3, max_length: int = 8, seed: int = 1, attempts: int | None = None) -> DataFrame:
     """(video_id, start, length) of random freezes; videos has video_id and n_frames.
 
     Candidates come in a fixed order and are taken unless they come within a frame of one that was. There are attempts
-    of them, or else eight for each freeze wanted, so that a video too short for all has fewer; a video's candidates stay
-    inside one row.
+    of them, or else eight for each freeze wanted, so that a video too short for all has fewer (lag_shortfall() tells which).
+    Up to FEW freezes are placed by expressions inside one row, more in Arrow batches, with the same result.
     """
     attempts = attempts or 8 * n_inserts
+    if n_inserts > FEW:
+        return videos.select("video_id", "n_frames").mapInPandas(lambda rows: _place(rows, n_inserts, max_length, seed, attempts), f"video_id {videos.schema['video_id'].dataType.simpleString()}, start long, length long")
     room = F.col("n_frames") - max_length - 1
     tries = F.transform(
         F.sequence(F.lit(0), F.lit(attempts - 1)),

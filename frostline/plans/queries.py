@@ -309,7 +309,7 @@ def seek_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def seek_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a second of each video, from a quarter of a second on."""
-    return S.seek(_frames(spark, sf_dir), 0.25, 0.5).select("video_id", "frame_num", F.round("ts_s", 6).alias("ts_s"), "value")
+    return S.seek(_frames(spark, sf_dir), 0.25, 0.5, chunk=_chunk(spark, sf_dir)).select("video_id", "frame_num", F.round("ts_s", 6).alias("ts_s"), "value")
 
 
 @_query

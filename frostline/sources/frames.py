@@ -55,10 +55,11 @@ def finite(*columns: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def seek(frames: DataFrame, start_s: float, duration_s: float) -> DataFrame:
-    """Frames from a point on, for a while; their numbers restart at 0. The filter reaches the scan."""
+def seek(frames: DataFrame, start_s: float, duration_s: float, chunk: int | None = CHUNK) -> DataFrame:
+    """Frames from a point on, for a while; their numbers restart at 0. The filter reaches the scan. A long clip is numbered
+    in chunks; chunk None does it in one window by video."""
     inside = frames.where((F.col("ts_s") >= start_s) & (F.col("ts_s") < start_s + duration_s))
-    return inside.withColumn("frame_num", (F.row_number().over(by_frame()) - 1).cast("long"))
+    return numbered(inside, "video_id", "frame_num", "_place", chunk=chunk).drop("frame_num").withColumnRenamed("_place", "frame_num").select(*frames.columns)
 
 
 def read_lags(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +94,12 @@ def append_motion_samples(samples: DataFrame, path: str) -> None:
     samples.select("f0", "f1", "motion", "avg_flow_x", "avg_flow_y").write.mode("append").csv(path)
 
 
+def write_motion_parts(parts: DataFrame, path: str) -> None:
+    """Motion samples with is_validation as two files' folders, train and val, with a header."""
+    for name, chosen in (("val", F.col("is_validation")), ("train", ~F.col("is_validation"))):
+        parts.where(chosen).select("f0", "f1", "motion", "avg_flow_x", "avg_flow_y").write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def read_duplicate_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("before string, after string, different boolean").option("header", True).csv(path)
 

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from frostline.__main__ import main
 from frostline.functions import pixels as P
 from frostline.functions import text as T
-from frostline.sources.frames import event_frames, event_scores, read_duplicate_samples
+from frostline.sources.frames import append_motion_samples, event_frames, event_scores, read_duplicate_samples
+from frostline.sources.images import read_pictures
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -44,6 +45,23 @@ def test_dataset_is_built_from_images(spark, tmp_path):
     assert parts["train"].where("different").count() > 0
 
 
+def test_motion_samples_are_split(spark, tmp_path):
+    rows = [(f"a{i}", f"b{i}", i / 7, float(i), -float(i)) for i in range(41)]
+    append_motion_samples(spark.createDataFrame(rows, "f0 string, f1 string, motion double, avg_flow_x double, avg_flow_y double"), str(tmp_path / "motion"))
+    main(["split-motion", str(tmp_path / "motion"), str(tmp_path / "out")])
+    parts = [spark.read.option("header", True).csv(str(tmp_path / "out" / n)) for n in ("val", "train")]
+    assert [p.count() for p in parts] == [10, 31] and parts[0].columns == ["f0", "f1", "motion", "avg_flow_x", "avg_flow_y"]
+    assert {r.f0 for p in parts for r in p.collect()} == {r[0] for r in rows}
+
+
+def test_boundary_pictures(spark, tmp_path):
+    spark.createDataFrame([(1, 0, [3, 4], 5)], "video_id long, chain_i long, frames array<long>, end_frame long").write.parquet(str(tmp_path / "chains"))
+    spark.createDataFrame([(1, n, 2, 1, bytes([n, n + 1])) for n in range(8)], "video_id long, frame_num long, width int, height int, data binary").write.parquet(str(tmp_path / "pictures"))
+    main(["boundary-pictures", str(tmp_path / "chains"), str(tmp_path / "pictures"), str(tmp_path / "out")])
+    found = {r.name: bytes(r.data) for r in read_pictures(spark, str(tmp_path / "out")).collect()}
+    assert found == {"chain_0/0.webp.png": b"\x03\x04", "chain_0/1.webp.png": b"\x05\x06"}
+
+
 def test_paths_and_arguments(spark):
     row = spark.range(1).select(
         T.parent(F.lit("a/b/c.png")).alias("parent"), T.parent(F.lit("c.png")).alias("top"), T.with_extension(F.lit("a.b/c.mp4"), "log").alias("log"), T.with_extension(F.lit("a.b/c"), "log").alias("none"),

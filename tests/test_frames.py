@@ -134,6 +134,15 @@ def test_injected_lags_keep_apart_and_are_found(spark):
     assert (got.precision, got.recall, got.f1_score) == (1.0, 1.0, 1.0)
 
 
+def test_many_lags_are_placed_alike(spark, monkeypatch):
+    videos = spark.createDataFrame([(i, 300 + 40 * i) for i in range(12)] + [(99, 5), (98, 10)], "video_id long, n_frames long")
+    few = sorted(map(tuple, faults.inject_lags(videos, n_inserts=20).collect()))
+    monkeypatch.setattr(faults, "FEW", 0)
+    assert sorted(map(tuple, faults.inject_lags(videos, n_inserts=20).collect())) == few
+    missing = {r.video_id: (r.n, r.missing) for r in faults.lag_shortfall(videos, faults.inject_lags(videos, n_inserts=20), 20).collect()}
+    assert missing[99] == (0, 20) and all(n + m == 20 and m > 0 for n, m in missing.values())
+
+
 def test_scores_of_nothing_are_nan(spark):
     row = faults.scores(spark.createDataFrame([(5, 0, 0, 0)], "true_negatives long, true_positives long, false_negatives long, false_positives long")).first()
     assert all(x != x for x in (row.precision, row.recall, row.f1_score))
