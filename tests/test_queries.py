@@ -1,11 +1,11 @@
 import pytest
 
-from frostline.plans import mechanisms, oracles, queries
+from frostline.plans import files, mechanisms, oracles, queries
 
 from .compare import assert_same, connection
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | mechanisms.QUERIES, oracles.ORACLES | mechanisms.ORACLES
+QUERIES, ORACLES = queries.QUERIES | mechanisms.QUERIES | files.QUERIES, oracles.ORACLES | mechanisms.ORACLES | files.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
