@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -110,6 +112,32 @@ def component_firsts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stage_table(out.select("node", F.coalesce("best", "first").alias("best")))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's way to give memory back that is free, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(run, *held):
+    """run, a function over batches of a task, that leaves little behind in the Python worker, which Spark keeps for other
+    tasks: what held (cached functions of other work) keeps goes before it begins, free memory when it has ended."""
+
+    def task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cached in held:
+            cached.cache_clear()
+        try:
+            yield from run(source)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return task
+
+
 def batches(source: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most so many rows, so that what is derived from a batch stays small."""
     for batch in source:

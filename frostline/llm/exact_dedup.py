@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
+from .common import append_columns, batches, lean, nonnull_text, small_batches, stage_table, utf8
+from .tokens import tokenizer
 
 LEAST, MOST, MASK = 256, 8192, 1023
 WIDE = 28  # bytes of a wide identifier: digest, checksum, length
@@ -101,7 +102,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     names = [c for c in slim.columns if c != "_text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    recipes = slim.mapInArrow(_describe("_text", names), f"{schema}, recipe binary, wide binary, text_sha256 string")
+    recipes = slim.mapInArrow(lean(_describe("_text", names), tokenizer), f"{schema}, recipe binary, wide binary, text_sha256 string")
     with small_batches(docs.sparkSession):
         recipes = stage_table(recipes.withColumn("_rid", F.monotonically_increasing_id()))
     clash = not chunk_catalogue(recipes).where("NOT verified").isEmpty()

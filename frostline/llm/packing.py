@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import append_columns, batches, nonnull_text, small_batches, stage_table, utf8
+from .common import append_columns, batches, lean, nonnull_text, small_batches, stage_table, utf8
 from .tokens import tokenizer
 
 CAPACITY = 2048
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     kind = slim.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
     with small_batches(docs.sparkSession):
-        pieces = stage_table(slim.mapInArrow(_pieces("_text", ["_id"], path, size), schema).withColumn("_rid", F.monotonically_increasing_id()))
+        pieces = stage_table(slim.mapInArrow(lean(_pieces("_text", ["_id"], path, size)), schema).withColumn("_rid", F.monotonically_increasing_id()))
     counts = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most size rows
         counts[row.length] = row.n
@@ -220,7 +220,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ahead = np.concatenate([[0], np.cumsum(counts)])[:-1]
     # A piece's rank among its length: those in the parts before its own, and its place there. A length has a part for
     # each PART of its pieces, so the table of parts has at most size rows and one for each PART pieces.
-    parts = docs.sparkSession.createDataFrame([(i, -(-int(n) // PART)) for i, n in enumerate(counts) if n], "_length long, parts long")
+    lengths = np.flatnonzero(counts)
+    parts = docs.sparkSession.createDataFrame(pa.table({"_length": lengths, "parts": -(-counts[lengths] // PART)}))
     pieces = pieces.join(F.broadcast(parts), F.col("length") == F.col("_length")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))).drop("_length", "parts")
     held = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     held = stage_table(held.select(F.col("length").alias("_length"), F.col("part").alias("_part"), (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")))
@@ -237,5 +238,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     within = F.row_number().over(W.partitionBy("length", "part").orderBy("_rid")) - 1
     ranked = pieces.withColumn("within", within).join(held, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
     ranked = ranked.select("_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
-    out = ranked.mapInArrow(place, f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInArrow(lean(place), f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

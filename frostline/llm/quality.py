@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import append_columns, batches, nonnull_text, utf8
+from .common import append_columns, batches, free_name, lean, nonnull_text, utf8
+from .tokens import tokenizer
 
 WIDTH, FILTERS, STEP = 6, 16, 512  # a chunk is STEP + WIDTH - 1 bytes; STEP is a power of two, WIDTH even
 ECHO, LAGS = 12, range(2, 33)  # bytes that must repeat, 8 to 16, and how far before they may stand
@@ -189,19 +190,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train(utf8(got.column("_text").combine_chunks()), got.column("_label").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column score from 0 to 1, higher where label 1 is likelier, of each whole text (null: empty); it
-    replaces a column of that name."""
-    docs = docs.drop(name)
-    schema = StructType([*docs.schema, StructField(name, DoubleType())])
-    names = docs.columns
+def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or the columns named in keep, with a column score from 0 to 1, higher where label 1 is likelier, of each whole
+    text (null: empty); it replaces a column of that name."""
+    names = [c for c in (docs.columns if keep is None else keep) if c != name]
+    slim = docs.select(*names, F.col(text_col).alias(free_name(docs, "_scored")))
+    schema = StructType([*(f for f in slim.schema if f.name in names), StructField(name, DoubleType())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1024):
-            texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            texts = utf8(batch.column(len(names)))
             yield append_columns(batch, names, {name: pa.array([net.score(t or b"") for t in texts], pa.float64())})
 
-    return docs.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run, tokenizer), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -211,6 +212,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     An empty table gives no rows; other columns don't matter.
     """
     net = learn(docs, labels, id_col, text_col)
-    scored = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), net, "_text")
+    scored = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), net, "_text", keep=("_id",))
     held_out = F.col("_id").isNotNull() & (fold(F.col("_id")) == 0)
     return scored.select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
