@@ -22,6 +22,13 @@ def adjacent_groups(groups: DataFrame) -> DataFrame:
     return groups.withColumnRenamed("paths", "after").join(a, ["segment", "frame_num"]).select("segment", "frame_num", "before", "after")
 
 
+def skipped_segments(groups: DataFrame) -> DataFrame:
+    """(segment, n): segments without adjacent groups, which give no sample, and how many groups they have."""
+    used = adjacent_groups(groups).select(F.col("segment").alias("_s")).distinct()
+    alone = groups.join(used, F.col("segment").eqNullSafe(F.col("_s")), "left_anti")
+    return alone.groupBy("segment").agg(F.count("*").alias("n"))
+
+
 def same_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs within each side of adjacent groups, and the first before-image with itself; a frame in the middle gives
     its pairs twice, once for each neighbour."""

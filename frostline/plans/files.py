@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as P
 from ..functions import text as T
 from ..operators import datasets, features, logs, scoring, sequences
+from ..params import REPAIR
 from ..sources import frames as S
 from ..sources import images
 from ..sources.staging import shared_path, stage_table
@@ -148,3 +150,26 @@ def resized_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"frame_num": batch.column(0), "pixels": pa.array(small, pa.string()), "bits": pa.array(bits, pa.string())})
 
     return rows.mapInArrow(run, "frame_num long, pixels string, bits string")
+
+
+@_query(
+    f"""WITH {THUMBS}, {_weights("down", 4, 2)}, {_weights("across", 4, 3)},
+b AS (SELECT frame_num, list_transform(t[1:48], lambda x: CAST(least(255, greatest(0, floor((x + 1) * CAST(127.5 AS DOUBLE)))) AS INTEGER)) AS b FROM thumbs),
+g AS (SELECT frame_num, list_transform(range(16), lambda i: (77 * b[3 * i + 1] + 150 * b[3 * i + 2] + 29 * b[3 * i + 3]) >> 8) AS g FROM b),
+o AS (SELECT frame_num, d.t AS y, a.t AS x, least(255, greatest(0, round_even(list_sum(list_transform(range(16), lambda i: g[i + 1] * d.w[i // 4 + 1] * a.w[i % 4 + 1])), 0))) AS v FROM g, down d, across a)
+SELECT frame_num, 2 AS hash_width, string_agg(CASE WHEN x < 2 THEN CASE WHEN v < nxt THEN '1' ELSE '0' END ELSE '' END, '' ORDER BY y, x) AS hash
+FROM (SELECT *, lead(v) OVER (PARTITION BY frame_num, y ORDER BY x) AS nxt FROM o) GROUP BY frame_num"""
+)
+def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of frames in colour, 4 x 4 pixels each, at half their size."""
+    thumbs = S.thumbnails(_read(spark, sf_dir, "embeddings"))
+    frames = thumbs.select(F.lit(0).cast("long").alias("video_id"), "frame_num", F.lit(0.0).alias("ts_s"), F.lit(4).alias("width"), F.lit(4).alias("height"), _pixels(F.col("thumb"), 48).alias("data"))
+    found = features.frame_features(frames, replace(REPAIR, diff_hash_resize=2))
+    return found.select("frame_num", "hash_width", F.array_join(F.col("hash").cast("array<string>"), "").alias("hash"))
+
+
+@_query("WITH g AS (SELECT DISTINCT s_nationkey AS segment, s_suppkey // 2 AS frame_num FROM supplier) SELECT segment, count(*) AS n FROM g GROUP BY segment HAVING segment NOT IN (SELECT a.segment FROM g a JOIN g b ON a.segment = b.segment AND b.frame_num = a.frame_num + 1)")
+def skipped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that give no sample, as none of their frames follows another."""
+    images_ = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("segment"), F.expr("s_suppkey div 2").alias("frame_num"), "s_name")
+    return datasets.skipped_segments(datasets.variation_groups(images_.withColumnRenamed("s_name", "path")))
