@@ -2,8 +2,8 @@
 
 Only lengths decide, and there are no more of them than tokens in a sequence. So the plan is made from the histogram of
 lengths: for the longest left, whatever single length, pair or triple fills its gap exactly is looked up in an index of
-sums and consumed as often as there are enough of each; what has no exact complement is put where it fits best. Every
-step uses up a length, so the plan has some thousands of patterns at most, for any number of documents. Pieces then
+sums and consumed as often as there are enough of each; what has no exact complement, and what is shorter than the
+length at which that stops to pay, is put where it fits best. Every step uses up a length, so the plan has some thousands of patterns at most, for any number of documents. Pieces then
 find their places by their rank among those of their length, which is counted in parts of bounded size.
 """
 
@@ -25,6 +25,7 @@ from .tokens import tokenizer
 
 CAPACITY = 2048
 PART = 1 << 18  # pieces of one length that a task ranks, about
+STOPS = 16  # lengths down to which complements are consumed, that are tried
 Pattern = tuple[int, list[int]]  # how many sequences, lengths in each
 
 
@@ -95,18 +96,29 @@ def n_sequences(plan: list[Pattern]) -> int:
 
 
 def plan_sequences(counts: np.ndarray) -> list[Pattern]:
-    """Patterns that hold counts[l] pieces of each length l in as few sequences of len(counts) - 1 as it can: exact
-    complements with best fit for the rest, or best fit alone where that takes fewer."""
+    """Patterns that hold counts[l] pieces of each length l in as few sequences of len(counts) - 1 as it can.
+
+    Exact complements are consumed for lengths from the longest down to some shortest one, and what is left then goes by
+    best fit. Short pieces are what best fit lives on, so how far down is best differs; STOPS of them are tried.
+    """
     counts = counts.astype(np.int64)
     counts[0] = 0
-    return min(_complements(counts), _best_fit(counts), key=n_sequences)
+    size = len(counts) - 1
+    stops = sorted({max(1, size * i // STOPS) for i in range(STOPS)} | {int(np.flatnonzero(counts).max(initial=1))}, reverse=True)
+    best: list[Pattern] | None = None
+    for plan, left in _complements(counts, stops):
+        if best is None or n_sequences(plan) + -(-int(left @ np.arange(size + 1)) // size) < n_sequences(best):  # it could be
+            whole = plan + _best_fit(left)
+            best = whole if best is None or n_sequences(whole) < n_sequences(best) else best
+    return best or []
 
 
-def _complements(counts: np.ndarray) -> list[Pattern]:
+def _complements(counts: np.ndarray, stops: list[int]) -> Iterator[tuple[list[Pattern], np.ndarray]]:
     """From the longest length on: exact complements as often as there are enough of each, after one best fit or more
-    where there is none at once; what no complement fills is left to best fit."""
+    where there is none at once. At each of the stops, which fall: the patterns so far, and how many of each length are
+    left, those among them that nothing complements."""
     index, size = SumIndex(counts), len(counts) - 1
-    over, plan = np.zeros(size + 1, np.int64), []
+    over, plan, wanted = np.zeros(size + 1, np.int64), [], set(stops)
     for length in range(size, 0, -1):
         while index.left[length]:
             items, gap, more = Counter([length]), size - length, []
@@ -126,7 +138,8 @@ def _complements(counts: np.ndarray) -> list[Pattern]:
             plan.append((times, sorted(items.elements(), reverse=True)))
             for x, n in items.items():
                 index.take(x, times * n)
-    return plan + _best_fit(over)
+        if length in wanted:
+            yield plan[:], over + index.left
 
 
 def _best_fit(counts: np.ndarray) -> list[Pattern]:
