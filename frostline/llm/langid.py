@@ -22,7 +22,7 @@ from .common import append_columns, batches, nonnull_text, stage_table, utf8
 
 BUCKETS, DIM, SIZES = 1 << 14, 16, (2, 3, 4)
 SAMPLE, MOST_SAMPLE = 800, 16_000  # documents of each language, and in all, that are learned from, about
-MOST_BYTES = 1 << 15  # longer texts are not learned from, which bounds the sample; all are predicted whole
+MOST_BYTES = 1 << 15  # of a longer text a stretch is learned from, which bounds the sample; all are predicted whole
 MOST_BROADCAST, SALTS = 8 << 20, 64  # bytes of the table of languages; parts of a language where it is larger than that
 EPOCHS, RATE, SEED = 4, 0.6, 11
 FOLDS, HELD = 4, 2
@@ -125,22 +125,33 @@ def fold(id_column: Column) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST_SAMPLE) -> Model:
     """A model from rows with a language outside the held-out fold: about sample of each language, fewer where there are
-    so many languages that this would be over most in all. No language is left out by rank or by how rare it is.
+    so many languages that this would be over most in all, but one of each at least. So no language is left out by rank, by
+    how rare it is, or for the length of its texts.
 
-    Rows are chosen by hash of id and text, so reruns learn the same, and rows that are alike count once. A text of over
-    MOST_BYTES isn't learned from.
+    Rows are chosen by hash of id and text, so reruns learn the same, and rows that are alike count once. Of a text of over
+    MOST_BYTES the stretch in its middle is learned from that is never longer than that. The driver holds twice most texts
+    and one of each language at most.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), nonnull_text(F.col(text_col)).alias("_text"))
-    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_id").isNull() | (fold(F.col("_id")) != HELD)) & (F.octet_length("_text") <= MOST_BYTES))
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("n"))
-    each = F.least(F.lit(float(sample)), F.lit(float(most)) / F.greatest(F.sum(F.lit(1)).over(W.partitionBy()), F.lit(1)))
-    shares = counts.select(F.col("_lang").alias("_of"), (F.least(F.lit(1.0), each / F.col("n")) * (1 << 40)).cast("long").alias("_share"))  # one row per language
+    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_id").isNull() | (fold(F.col("_id")) != HELD)))
     hashed = rows.withColumn("_place", F.pmod(F.xxhash64("_id", "_text", F.lit(SEED)), F.lit(1 << 40)))
-    few = _below_share(hashed, stage_table(shares)).select("_id", "_lang", "_text", "_place").distinct()
-    got = few.orderBy("_place", "_text", "_lang", "_id").limit(2 * most).toArrow()
+    counts = hashed.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_place").alias("least"))
+    every = F.sum(F.lit(1)).over(W.partitionBy())
+    each = F.least(F.lit(float(sample)), F.lit(float(most)) / F.greatest(every, F.lit(1)))
+    share = (F.least(F.lit(1.0), each / F.col("n")) * (1 << 40)).cast("long")
+    shares = stage_table(counts.select(F.col("_lang").alias("_of"), F.greatest(share, F.col("least") + 1).alias("_share")))  # one row per language
+    few = _below_share(hashed, shares).select("_id", "_lang", _stretch(F.col("_text")).alias("_text"), "_place").distinct()
+    got = few.orderBy("_place", "_text", "_lang", "_id").limit(2 * most + shares.count()).toArrow()
     return train(utf8(got.column("_text").combine_chunks()), got.column("_lang").to_pylist())
 
 
+def _stretch(text: Column) -> Column:
+    """A text, or the middle of one that is too long, in characters that take four bytes at most each."""
+    most = MOST_BYTES // 4
+    begin = F.floor((F.char_length(text) - most) / 2).cast("int") + 1
+    return F.when(F.octet_length(text) <= MOST_BYTES, text).otherwise(F.substr(text, F.greatest(begin, F.lit(1)), F.lit(most)))
+
+
 def _below_share(hashed: DataFrame, shares: DataFrame) -> DataFrame:
     """The rows whose place is below their language's share. Texts don't move for that: the languages are broadcast if
     the table is small; otherwise a language is in parts, so that a frequent one isn't one task."""
