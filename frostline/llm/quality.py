@@ -3,7 +3,7 @@
 A document's UTF-8 bytes are covered by chunks that overlap by a filter's width less one, so that every window of the
 text is seen once. Beside its bytes a window has a second channel: whether it ends an echo, bytes that repeat what stood
 right before them, which no filter of a few bytes could tell. What an echo adds to each filter is learned, from a start
-that favours neither label. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
+that favours neither label, and larger than that of the letters, so that few labels are enough to learn from it. Learned filters run over each chunk and are max-pooled; the mean and the maximum of the chunks'
 pools are combined into one probability. Training is on the driver, from a bounded sample of labelled rows; scoring is
 one pass over all rows without a shuffle.
 """
@@ -28,6 +28,7 @@ PART = 1 << 16  # bytes looked at together for echoes
 SAMPLE = 1500  # labelled documents of each label that are learned from, about
 MOST_BYTES = 1 << 17  # longer texts are not learned from, which bounds the sample; all are scored whole
 STEPS, BATCH, RATE, SEED = 600, 24, 0.01, 7
+KEPT_BYTES = 1 << 14  # texts up to so long are taken apart once for all steps
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -77,25 +78,8 @@ class Network:
         ends[: len(found)] = found
         return x, ends, n
 
-    def maxima(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each chunk's pool of each filter, before the ReLU; the places of the maxima; padded bytes and echoes."""
-        x, ends, n = self.padded(data)
-        pools, places = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
-        for k in range(0, n, 32):
-            m = min(32, n - k)
-            part = x[k * STEP : (k + m) * STEP + WIDTH - 1]
-            r = self.table[0][part[: m * STEP]]
-            for j in range(1, WIDTH):
-                r += self.table[j][part[j : j + m * STEP]]
-            r += ends[k * STEP : (k + m) * STEP, None] * self.echo
-            r = r.reshape(m, STEP, FILTERS)
-            at = r.argmax(axis=1)
-            pools[k : k + m] = np.take_along_axis(r, at[:, None], 1)[:, 0]
-            places[k : k + m] = at + (np.arange(k, k + m) * STEP)[:, None]
-        return pools, places, x, ends
-
     def pools(self, data: bytes) -> np.ndarray:
-        """The pools of maxima() alone, with what two neighbouring bytes add looked up at once."""
+        """Each chunk's pool of each filter, before the ReLU, with what two neighbouring bytes add looked up at once."""
         if self.pairs is None:
             self.pairs = [(self.table[j][None, :] + self.table[j + 1][:, None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
         x, ends, n = self.padded(data)
@@ -124,40 +108,71 @@ class Network:
         return float(self.combine(self.pools(data))[0])
 
 
+class Batch:
+    """The chunks of some texts, one after the other, with the echoes that their windows end."""
+
+    def __init__(self, net: Network, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.net = net
+        self.size = np.array([len(x) for x, _ in texts])
+        self.first = np.cumsum(self.size) - self.size
+        self.x, self.ends = (np.concatenate(c) for c in zip(*texts, strict=True))
+        self.pools, self.places = np.empty((len(self.x), FILTERS), np.float32), np.empty((len(self.x), FILTERS), np.int64)
+        for k in range(0, len(self.x), 32):
+            part = self.x[k : k + 32]
+            r = net.table[0][part[:, :STEP]]
+            for j in range(1, WIDTH):
+                r += net.table[j][part[:, j : j + STEP]]
+            r += self.ends[k : k + 32, :, None] * net.echo
+            self.places[k : k + 32] = at = r.argmax(axis=1)
+            self.pools[k : k + 32] = np.take_along_axis(r, at[:, None], 1)[:, 0]
+
+    def gradients(self, labels: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss, for the table, the bias, the weights, the offset and the echoes."""
+        net = self.net
+        active = np.maximum(self.pools + net.bias, 0)
+        top = np.maximum.reduceat(active, self.first)
+        found = np.concatenate([np.add.reduceat(active, self.first) / self.size[:, None], top], axis=1)
+        d = (1 / (1 + np.exp(-np.clip(found @ net.weights + net.offset, -40, 40))) - labels) / len(labels)
+        back = np.repeat(d[:, None] * net.weights[None, :FILTERS] / self.size[:, None], self.size, axis=0)
+        for i, (a, n) in enumerate(zip(self.first.tolist(), self.size.tolist(), strict=True)):
+            back[a + active[a : a + n].argmax(axis=0), np.arange(FILTERS)] += d[i] * net.weights[FILTERS:]
+        back *= active > 0
+        rows, filters = np.arange(len(self.x))[:, None], np.arange(FILTERS)[None, :]
+        table = [np.bincount((self.x[rows, self.places + j].astype(np.int64) * FILTERS + filters).ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]
+        return [np.stack(table), back.sum(axis=0), d @ found, d.sum(keepdims=True), (back * self.ends[rows, self.places]).sum(axis=0)]
+
+
+def _chunked(net: Network, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's chunks and the echoes of their windows, a row each."""
+    x, ends, n = net.padded(text)
+    return np.lib.stride_tricks.sliding_window_view(x, STEP + WIDTH - 1)[::STEP], ends.reshape(n, STEP)
+
+
 def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Network:
-    """Adam on the log loss, batches drawn evenly from both labels and corrected to their shares. One label, or none,
-    gives a network that always answers its share of label 1 (none: a half)."""
+    """Adam on the log loss, batches drawn evenly from both labels and corrected to their shares; the texts of a batch are
+    one array of chunks. One label, or none, gives a network that always answers its share of label 1 (none: a half)."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 1, FILTERS).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
+    net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 3, FILTERS).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     ones, zeros = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(ones) or not len(zeros):
         net.weights[:] = 0
         net.offset = 0.0 if len(ones) == len(zeros) else 6.0 if len(ones) else -6.0
         return net
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.table, net.bias, net.weights, np.zeros(1), net.echo)]
+    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for step in range(1, steps + 1):
-        chosen = np.concatenate([rng.choice(ones, BATCH // 2), rng.choice(zeros, BATCH // 2)])
-        grads = [np.zeros_like(net.table), np.zeros_like(net.bias), np.zeros_like(net.weights), np.zeros(1), np.zeros_like(net.echo)]
-        for i in chosen:
+        chosen, parts = np.concatenate([rng.choice(ones, BATCH // 2), rng.choice(zeros, BATCH // 2)]), []
+        for i in chosen.tolist():
             text = texts[i]
             if labels[i] == 1 and rng.random() < 0.25 and text:  # a piece of a good text is good, however short
                 start = rng.integers(0, len(text))
-                text = text[start : start + int(10 ** rng.uniform(0.5, 3))]
-            pools, places, x, ends = net.maxima(text)
-            p, active = net.combine(pools)
-            d = (p - labels[i]) / BATCH
-            n, top = len(active), active.argmax(axis=0)
-            grads[2] += d * np.concatenate([active.mean(axis=0), active.max(axis=0)])
-            grads[3] += d
-            back = np.repeat(d * net.weights[None, :FILTERS] / n, n, axis=0)
-            back[top, np.arange(FILTERS)] += d * net.weights[FILTERS:]
-            back *= active > 0
-            grads[1] += back.sum(axis=0)
-            grads[4] += (back * ends[places]).sum(axis=0)
-            for j in range(WIDTH):
-                np.add.at(grads[0][j], (x[places + j], np.arange(FILTERS)[None, :]), back)
+                parts.append(_chunked(net, text[start : start + int(10 ** rng.uniform(0.5, 3))]))
+            else:
+                parts.append(seen[i] if i in seen else _chunked(net, text))
+                if len(text) <= KEPT_BYTES:
+                    seen[i] = parts[-1]
         offset = np.array([net.offset])
-        for p, g, (m, v) in zip((net.table, net.bias, net.weights, offset, net.echo), grads, state, strict=True):
+        for p, g, (m, v) in zip((net.table, net.bias, net.weights, offset, net.echo), Batch(net, parts).gradients(labels[chosen]), state, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -47,8 +47,39 @@ def test_network_sees_every_window_once():
         data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
         data = data[: n // 2] + (b"echo! " * n)[: n - n // 2]
         assert net.score(data) == pytest.approx(slow_score(net, data), abs=1e-4)
-        pools, places, _, _ = net.maxima(data)
-        assert np.allclose(pools, net.pools(data), atol=1e-4) and places.shape == pools.shape
+        batch = quality.Batch(net, [quality._chunked(net, b"other"), quality._chunked(net, data)])
+        assert np.allclose(batch.pools[1:], net.pools(data), atol=1e-4) and batch.places.shape == batch.pools.shape
+
+
+def test_gradients_are_those_of_differences():
+    """Every kind of parameter of a batch's mean log loss, against the network window by window."""
+    rng = np.random.default_rng(4)
+    net = quality.train([b"good text here. " * 9, b"BAD!! BAD!! " * 9] * 4, np.array([1.0, 0.0] * 4), steps=3)
+    for name in ("table", "echo", "bias", "weights"):
+        setattr(net, name, (getattr(net, name) + rng.normal(0, 0.2, getattr(net, name).shape)).astype(np.float64))
+    texts = [b"some good text, not very long", b"echo! " * 30, rng.integers(97, 123, 700, dtype=np.uint8).tobytes(), b""]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        p = np.array([slow_score(net, t) for t in texts])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    table, bias, weights, offset, echo = quality.Batch(net, [quality._chunked(net, t) for t in texts]).gradients(labels)
+    step = 1e-5
+    for name, found in (("table", table), ("bias", bias), ("weights", weights), ("echo", echo)):
+        values = getattr(net, name)
+        places = list(zip(*np.nonzero(found), strict=True))
+        for at in [places[i] for i in rng.choice(len(places), min(6, len(places)), replace=False)]:
+            kept, sides = values[at], []
+            for sign in (1, -1):
+                values[at] = kept + sign * step
+                sides.append(loss())
+            values[at] = kept
+            assert found[at] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=2e-3, abs=1e-6), (name, at)
+    net.offset += step
+    high = loss()
+    net.offset -= 2 * step
+    assert offset[0] == pytest.approx((high - loss()) / (2 * step), rel=2e-3)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -94,6 +125,16 @@ def test_language_cases(spark, docs):
     assert langid.identify(docs).count() == len(ROWS)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    long = "".join(f"wort{i % 89} und " for i in range(8000))
+    rows = [(i, f"the text number {i} of many", "en") for i in range(300)] + [(1000 + i, f"{long} {i}", "de") for i in range(8)] + [(2000, "tres tristes tigres", "es"), (2001, "otra frase más", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.learn(df).languages) == {"en", "de", "es"}
+    assert set(langid.learn(df, most=2).languages) == {"en", "de", "es"}  # less than one row of each is wanted
+    one = df.select(langid._stretch(langid.F.col("text")).alias("t"), "text").collect()
+    assert all(len(r.t.encode()) <= langid.MOST_BYTES and r.t in r.text and (r.t == r.text) == (len(r.text) <= langid.MOST_BYTES) for r in one)
+
+
 def slow_language(model, text):
     """The forward pass from the definition: every subword by itself."""
     low = [b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in text]
