@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ BLOCK_DIMS = 12
 LEAD = 0.9  # part of the variance that the blocks' axes hold
 GRID_AXES = 3
 TILE_BYTES = 1 << 23  # of a tile's vectors; a task has two tiles
-SAMPLE = 20000  # vectors that the rotation is fitted on, about; it affects the cost, not the links
+SAMPLE, SAMPLE_BYTES = 20000, 1 << 26  # vectors that the rotation is fitted on, about, and their bytes as doubles; they affect the cost, not the links
 #: Slack in squared distance: of the float32 comparison, and of the rule which block a pair belongs to.
 SLACK, OWN_SLACK = 2e-5, 1e-5
 _OFFSETS = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) < (0, 0, 0)])
@@ -273,14 +274,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = rows.where("_good").groupBy(F.col("_v").alias("embedding")).agg(F.min("_rid").alias("node"), F.count("*").alias("copies"), first.alias("first"))
     nodes = stage_table(nodes)
     rotation = Rotation(2 - 2 * threshold)
-    total = nodes.count()
-    few = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(total, 1)))).select("embedding").limit(2 * SAMPLE)
-    by_dim: dict[int, list] = {}
-    for v in few.toArrow().column("embedding").to_pylist():
-        by_dim.setdefault(len(v), []).append(v)
-    for dim, found in by_dim.items():
+    total, entries = nodes.agg(F.count("*"), F.sum(F.size("embedding").cast("double"))).first()
+    share = min(1.0, SAMPLE / max(total, 1), SAMPLE_BYTES / max(8 * (entries or 0), 1))
+    few = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).select("embedding").limit(2 * SAMPLE)
+    sample = few.toArrow().column("embedding").combine_chunks()
+    lengths = pc.list_value_length(sample).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths).tolist():
+        found = sample.take(pa.array(np.flatnonzero(lengths == dim)))
         if len(found) > dim:
-            rotation.fit(np.array(found, kind))
+            rotation.fit(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), dim).astype(kind))
     slim = nodes.select("node", "copies", "embedding")
     place = ["dim", "block", *(f"c{i}" for i in range(GRID_AXES))]
     where = ", ".join(f"{c} long" for c in place)
