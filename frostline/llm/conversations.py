@@ -5,8 +5,10 @@ structs, the cheapest way to have put out nothing yet, a system turn, a user tur
 expressions choose. Insertions are made right before a turn or at the very end, so that two audits of as many turns are
 never one the beginning of the other, and the least of them stays the least whatever follows.
 
-A conversation of any size is many tasks: its order is dealt out by range, a fold runs over chunks of CHUNK turns from
-each state that the chunk may begin in, and a second fold joins one row per chunk. Only SQL functions are used.
+Rows are counted first, by conversation and without their texts. A conversation of at most LARGE turns is one row: a
+shuffle by conversation is enough for the windows and the fold. A larger one is many tasks: its order is dealt out by
+range, a fold runs over chunks of CHUNK turns from each state that the chunk may begin in, and a second fold joins one row
+per chunk. Only SQL functions are used.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 CHUNK = 512
+LARGE = 4096  # turns that are gathered in one row
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1  # costs
 _NEVER = 1 << 50  # cost of what can't be
 _NOTHING, _SYSTEM, _USER, _ASSISTANT = range(4)
@@ -96,31 +99,32 @@ def _finish(s: Column) -> Column:
     return F.least(end(_NOTHING, 0), end(_ASSISTANT, 0), end(_USER, 1), end(_SYSTEM, 2))
 
 
-def flagged(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with _part, place, chunk, initial, the role and turn before, and fault.
+def _order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("again")]
 
-    fault is the first of blank, duplicate (role and text seen earlier in the conversation) and truncated, or empty. Rows
-    of a conversation go by turn, nulls first, then role and text; place counts within _part, a range of that order.
-    """
+
+def flagged(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with again (role and text were seen earlier in the conversation), initial (of the
+    role) and fault: the first of blank, duplicate and truncated, or empty."""
     again = F.row_number().over(W.partitionBy("conv_id", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
     last = F.right(F.rtrim("text", F.lit(_SPACE)), F.lit(1))
     fault = F.when(last == "", "blank").when(F.col("again"), "duplicate").when(~last.isin(".", "!", "?"), "truncated").otherwise("")
-    rows = turns.withColumn("again", again).withColumn("fault", fault)
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("again")]
-    rows = rows.repartitionByRange(F.col("conv_id"), *order).withColumn("_part", F.spark_partition_id())
-    rows = stage_table(rows.withColumn("initial", F.substring("role", 1, 1)))
-    w = W.partitionBy("conv_id", "_part").orderBy(*order)
-    rows = rows.withColumns({"place": F.row_number().over(w) - 1, "initial_before": F.lag("initial").over(w), "turn_before": F.lag("turn").over(w)})
-    return rows.withColumn("chunk", F.expr(f"place div {CHUNK}").cast("int"))
-
-
-def _chunks(rows: DataFrame) -> DataFrame:
-    """One row per chunk: its turns in order, counts, and how it begins and ends."""
-    # a pair across two parts is counted where parts meet, so the first row of a part has none here
-    inside = F.col("place") > 0
+    return turns.withColumn("again", again).withColumns({"fault": fault, "initial": F.substring("role", 1, 1)})
+
+
+def in_places(rows: DataFrame, *parts: str) -> DataFrame:
+    """rows with place, from 0 on in each conversation and part by turn, nulls first, then role and text, and the initial and
+    the turn before."""
+    w = W.partitionBy("conv_id", *parts).orderBy(*_order())
+    return rows.withColumns({"place": F.row_number().over(w) - 1, "initial_before": F.lag("initial").over(w), "turn_before": F.lag("turn").over(w)})
+
+
+def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each of the keys: its turns in order, counts, and how it begins and ends."""
+    inside = F.col("place") > 0  # a pair across two parts is counted where parts meet
     pair = F.concat("initial_before", "initial")
     light = F.struct("initial", "turn")
-    found = rows.groupBy("conv_id", "_part", "chunk").agg(
+    return rows.groupBy("conv_id", *keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "role", "text", "fault", "initial"))).alias("turns"),
         *(F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")),
         F.count_if(inside & ~pair.isin("su", "ua", "au")).alias("illegal"),
@@ -128,7 +132,13 @@ def _chunks(rows: DataFrame) -> DataFrame:
         F.min("turn").alias("low"), F.max("turn").alias("high"),
         F.min_by(light, "place").alias("first"), F.max_by(light, "place").alias("last"),
     )
-    return stage_table(found)
+
+
+def _chunks(turns: DataFrame) -> DataFrame:
+    """One row per chunk of each conversation, whatever its size: parts (_part) are ranges of the order."""
+    rows = flagged(turns).repartitionByRange(F.col("conv_id"), *_order()).withColumn("_part", F.spark_partition_id())
+    rows = in_places(stage_table(rows), "_part").withColumn("chunk", F.expr(f"place div {CHUNK}").cast("int"))
+    return stage_table(_gathered(rows, "_part", "chunk"))
 
 
 def _folded(chunks: DataFrame) -> DataFrame:
@@ -145,6 +155,12 @@ def _folded(chunks: DataFrame) -> DataFrame:
     return stage_table(found.withColumn("best", _finish(F.aggregate("parts", _no_chunks(), _fold_chunk))))
 
 
+def _gaps(distinct: Column) -> Column:
+    """Turns that are missing between the least (low) and the greatest (high); null if that is more than a long holds."""
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    return F.coalesce(wide("high") - wide("low") + 1 - distinct, F.lit(0)).try_cast("long")
+
+
 def _counts(found: DataFrame) -> DataFrame:
     """Counts, cost and audit of each conversation."""
     parts = F.col("parts")
@@ -156,10 +172,8 @@ def _counts(found: DataFrame) -> DataFrame:
 
     illegal = total("illegal") + meets(lambda a, b: ~F.concat(a["initial"], b["initial"]).isin("su", "ua", "au"))
     distinct = total("distinct") - meets(lambda a, b: a["turn"] == b["turn"])
-    wide = lambda c: F.col(c).cast("decimal(38,0)")
-    gaps = F.coalesce(wide("high") - wide("low") + 1 - distinct, F.lit(0)).try_cast("long")
     return found.select(
-        F.col("conv_id").alias("_conv"), gaps.alias("gaps"), *(total(c).alias(c) for c in ("blank", "duplicate", "truncated")),
+        F.col("conv_id").alias("_conv"), _gaps(distinct).alias("gaps"), *(total(c).alias(c) for c in ("blank", "duplicate", "truncated")),
         illegal.alias("illegal"), F.col("best.cost").alias("cost"), F.array_join("best.audits", "").alias("audit"),
         F.element_at("best.audits", -1).alias("tail"),
     )
@@ -187,9 +201,7 @@ def _repaired_chunks(chunks: DataFrame, found: DataFrame) -> DataFrame:
     each = found.select("conv_id", F.explode(F.arrays_zip(F.col("parts._part").alias("part"), F.col("parts.chunk").alias("chunk"), F.slice("best.audits", 1, F.size("parts")).alias("audit"), F.col("best.entries").alias("entry"))).alias("p"))
     each = each.select(F.col("conv_id").alias("_conv"), F.col("p.part").alias("_of"), F.col("p.chunk").alias("_nr"), "p.audit", "p.entry")
     rows = chunks.select("conv_id", "_part", "chunk", "turns").join(each, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_of")) & (F.col("chunk") == F.col("_nr")))
-    edits = F.arrays_zip(F.col("turns").alias("turn"), F.regexp_extract_all("audit", F.lit("(I*[KRD])"), F.lit(1)).alias("edits"))
-    start = F.struct(F.col("entry").alias("state"), F.array().cast("array<struct<role:string,text:string>>").alias("lines"))
-    return rows.select("conv_id", "_part", "chunk", F.aggregate(edits, start, _emit)["lines"].alias("lines"))
+    return rows.select("conv_id", "_part", "chunk", _edited(F.col("turns"), F.col("audit"), F.col("entry")).alias("lines"))
 
 
 def repair(turns: DataFrame) -> DataFrame:
@@ -212,14 +224,46 @@ def repair(turns: DataFrame) -> DataFrame:
     other columns don't matter.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
-    chunks = _chunks(flagged(turns.select("conv_id", "turn", part("role"), part("text"))))
+    rows = turns.select("conv_id", "turn", part("role"), part("text"))
+    many = stage_table(rows.groupBy(F.col("conv_id").alias("_large")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("_large"))
+    if many.isEmpty():
+        return _repair_whole(rows)
+    same = F.col("conv_id").eqNullSafe(F.col("_large"))
+    return _repair_whole(rows.join(many, same, "left_anti")).unionAll(_repair_chunks(rows.join(many, same, "left_semi")))
+
+
+def _turns_at_end(tail: Column) -> Column:
+    """What is inserted after the last turn."""
+    turn = lambda role: F.struct(F.lit(role).alias("role"), F.lit("").alias("text"))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    return F.when(tail == "I", F.array(turn("assistant"))).when(tail == "II", F.array(turn("user"), turn("assistant"))).otherwise(none)
+
+
+def _edited(turns: Column, audit: Column, entry: Column) -> Column:
+    """The turns that a chunk puts out under its audit, from the state that it begins in."""
+    edits = F.arrays_zip(turns.alias("turn"), F.regexp_extract_all(audit, F.lit("(I*[KRD])"), F.lit(1)).alias("edits"))
+    start = F.struct(entry.alias("state"), F.array().cast("array<struct<role:string,text:string>>").alias("lines"))
+    return F.aggregate(edits, start, _emit)["lines"]
+
+
+def _repair_whole(rows: DataFrame) -> DataFrame:
+    """Conversations that are gathered in one row each: one shuffle."""
+    found = _gathered(in_places(flagged(rows.repartition("conv_id"))))
+    found = found.withColumn("way", F.aggregate("turns", _start(F.lit(_NOTHING)), _fold_turn))
+    way = F.col("way")
+    found = found.withColumn("best", F.least(way["s0"], way["s3"], _step(way["s2"], INSERT, "I"), _step(way["s1"], 2 * INSERT, "II")))
+    audit = F.col("best.audit")
+    repaired = F.concat(_edited(F.col("turns"), audit, F.lit(_NOTHING)), _turns_at_end(F.regexp_extract(audit, "I*$", 0)))
+    return found.select("conv_id", _gaps(F.col("distinct")).alias("gaps"), "blank", "duplicate", "truncated", "illegal", F.col("best.cost").alias("cost"), audit.alias("audit"), repaired.alias("repaired"))
+
+
+def _repair_chunks(rows: DataFrame) -> DataFrame:
+    """Conversations of any size, in chunks."""
+    chunks = _chunks(rows)
     found = _folded(chunks)
     lines = _repaired_chunks(chunks, found).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_part", "chunk", "lines"))).alias("parts"))
-    turn = lambda role: F.struct(F.lit(role).alias("role"), F.lit("").alias("text"))
-    end = F.when(F.col("tail") == "I", F.array(turn("assistant"))).when(F.col("tail") == "II", F.array(turn("user"), turn("assistant")))
-    end = F.coalesce(end, F.array().cast("array<struct<role:string,text:string>>"))
     out = lines.join(_counts(found), F.col("conv_id").eqNullSafe(F.col("_conv")))
-    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.concat(F.flatten("parts.lines"), end).alias("repaired"))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.concat(F.flatten("parts.lines"), _turns_at_end(F.col("tail"))).alias("repaired"))
 
 
 def damage_and_repair(conversations: DataFrame) -> DataFrame:

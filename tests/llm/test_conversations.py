@@ -98,8 +98,11 @@ def test_odd_rows(spark):
     assert found(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
 
 
-def test_chunks_and_parts_agree_with_one_fold(spark, monkeypatch):
+@pytest.mark.parametrize("large", [0, 100, 10**9])
+def test_chunks_and_parts_agree_with_one_fold(spark, monkeypatch, large):
+    """All conversations in chunks, the large ones only, and none."""
     monkeypatch.setattr(conversations, "CHUNK", 4)
+    monkeypatch.setattr(conversations, "LARGE", large)
     keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
     before = {k: spark.conf.get(k) for k in keys}
     spark.conf.set(keys[0], "false")
@@ -109,7 +112,7 @@ def test_chunks_and_parts_agree_with_one_fold(spark, monkeypatch):
     rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(150)]), rng.choice(roles), rng.choice(texts), 1, "x") for _ in range(700)]
     try:
         df = spark.createDataFrame(rows, SCHEMA)
-        assert conversations.flagged(conversations.damage(df)).where("conv_id = 1").select("_part").distinct().count() > 1
+        assert conversations._chunks(conversations.damage(df)).where("conv_id = 1").select("_part").distinct().count() > 1
         assert found(df) == expected(rows)
     finally:
         for k, v in before.items():
@@ -131,6 +134,12 @@ def test_audits_by_hand(spark, turns, audit, cost):
     assert row.audit == audit or row.cost < cost or row.audit < audit
 
 
+def test_one_shuffle_of_texts(spark):
+    df = spark.read.parquet(f"{SF}/conversations.parquet")
+    plan = conversations.repair(conversations.damage(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_no_python_runs(spark):
     plan = conversations.damage_and_repair(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
