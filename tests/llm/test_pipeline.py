@@ -73,3 +73,13 @@ def test_stages_keep_columns_of_any_name(spark):
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
     assert limits == [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")]
+
+
+def test_many_rows_that_go_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(str(tmp_path / "docs"))
+    keyed = corpus_pipeline.row_key(spark.read.parquet(str(tmp_path / "docs")))
+    found = keyed.selectExpr("_file", "_row", "_doc.doc_id % 3 > 0 AS kept")
+    few, many = (corpus_pipeline._kept(keyed, found, most) for most in (1 << 20, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 33
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+    assert "Broadcast" in plans[0] and "Broadcast" not in plans[1]
