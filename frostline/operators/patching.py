@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.order import CHUNK, running_max
@@ -42,10 +41,11 @@ def patch_ranges(chains: DataFrame) -> DataFrame:
     return chains.where(F.size("frames") > 1).select("video_id", "chain_i", start.alias("start"), (end - start + 1).alias("length"), images.alias("imgs"))
 
 
-def overlapping(patches: DataFrame) -> DataFrame:
-    """Patches that begin before the one before them has ended; a sound list has none."""
-    end = F.lag(F.col("start") + F.col("length")).over(W.partitionBy("video_id").orderBy("start"))
-    return patches.withColumn("_end", end).where("start < _end").drop("_end")
+def overlapping(patches: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
+    """Patches that begin before one before them has ended; a sound list has none. Of patches with one start all but one
+    do. A long video is many tasks (see running_max())."""
+    rows = patches.withColumn("_stop", F.col("start") + F.col("length"))
+    return running_max(rows, "video_id", "start", F.col("_stop"), "_end", to=-1, chunk=chunk).where("start < _end").drop("_stop", "_end")
 
 
 def interpolated(chains: DataFrame, frames: DataFrame) -> DataFrame:

@@ -348,7 +348,7 @@ def sample_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlapping_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches of a video that begin before the one before them has ended, if each were four frames longer."""
     patches = patching.patch_ranges(_chains(spark, sf_dir)).withColumn("length", F.col("length") + 4)
-    return patching.overlapping(patches).select("video_id", "chain_i", "start", "length")
+    return patching.overlapping(patches, chunk=_chunk(spark, sf_dir)).select("video_id", "chain_i", "start", "length")
 
 
 @_query

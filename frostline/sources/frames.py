@@ -3,20 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from .order import CHUNK, numbered
 
 FRAMERATE = 60.0
 
 
-def by_frame() -> WindowSpec:
-    """The frames of each video in order."""
-    return W.partitionBy("video_id").orderBy("frame_num")
-
-
 def _events(events: DataFrame, chunk: int | None) -> DataFrame:
     rows = events.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value")
     rows = numbered(rows, "video_id", "event_id", "frame_num", before=("event_type", "value"), chunk=chunk)

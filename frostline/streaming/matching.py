@@ -24,7 +24,7 @@ class _InOrder(StatefulProcessor):
 
     Rows that came early wait in state, one entry each, put there as each Arrow batch arrives; no more than one is in
     memory. A number that never comes holds up its key for good, and what follows it waits in state: a stream whose rows
-    may be lost has to number them anew upstream.
+    may be lost goes through patience.in_order_or_given_up() first, and is numbered anew.
     """
 
     number, columns = "frame_num", ()
