@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,11 @@ def frame_name(frame: Column, digits: int = 5) -> Column:
     return F.format_string(f"%0{digits}d.png", frame)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(x: Column, digits: int) -> Column:
     """A number with some digits after the point, four at most: its exact value is rounded, a tie to the even digit.
 
@@ -126,18 +133,25 @@ def fixed(x: Column, digits: int) -> Column:
     whole number and a half is known exactly.
     """
     scale = float(10**digits)
-    x = x.cast("double")
-    size = F.when(F.abs(x) < 1e15, F.abs(x)).otherwise(0.0)
-    upper = size * 134217729.0 - (size * 134217729.0 - size)  # its first 26 bits
-    a, b = upper * scale, (size - upper) * scale
-    n = F.floor(a + b)
-    over = (a - n - 0.5) + b
-    n = n + F.when((over > 0) | (over == 0) & (n % 2 == 1), 1).otherwise(0)
-    rest = n % 10**digits
-    whole = F.call_function("div", n, F.lit(10**digits))
-    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
-    large = F.format_string(f"%.{digits}f", x)  # no fraction of these is near a half of the last digit
-    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(F.abs(x) >= 1e15, large).otherwise(F.when(x.isNotNull(), text))
+
+    def halves(size: Column) -> Column:
+        upper = size * 134217729.0 - (size * 134217729.0 - size)  # its first 26 bits
+        return F.struct((upper * scale).alias("a"), ((size - upper) * scale).alias("b"))
+
+    def rounded(p: Column) -> Column:
+        def nearest(n: Column) -> Column:
+            over = (p["a"] - n - 0.5) + p["b"]
+            return n + F.when((over > 0) | (over == 0) & (n % 2 == 1), 1).otherwise(0)
+
+        return _let(F.floor(p["a"] + p["b"]), nearest)
+
+    def written(v: Column) -> Column:
+        number = _let(_let(halves(F.abs(v)), rounded), lambda n: F.concat(F.call_function("div", n, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0")))
+        text = F.concat(F.when(v < 0, "-").otherwise(""), number)
+        large = F.format_string(f"%.{digits}f", v)  # no fraction of these is near a half of the last digit
+        return F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), F.when(v < 0, "-inf").otherwise("inf")).when(F.abs(v) >= 1e15, large).otherwise(F.when(v.isNotNull(), text))
+
+    return _let(x.cast("double"), written)
 
 
 def parent(path: Column) -> Column:
