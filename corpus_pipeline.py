@@ -17,6 +17,7 @@ from frostline.llm import exact_dedup, mixing, near_dedup, packing, quality
 from frostline.llm.common import row_key, small_batches, stage_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+SIMHASH_WORDS = 3  # of a shingle for fingerprints, as in operation 6
 MOST_BROADCAST, ROW_BYTES = 32 << 20, 64  # bytes of rows in memory, and what one takes beside its file's name
 
 
@@ -38,13 +39,14 @@ def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are similar by 0.8 or more.
+    """One document of each component of texts whose SimHash fingerprints differ in two bits or fewer, as in operation 6, or
+    whose five-word shingles are similar by 0.8 or more.
 
-    Candidates come from MinHash bands, and not from fingerprints as in operation 6: SimHash fingerprints of such texts differ
-    in too many bits to be found (the README has the figures).
+    Pairs of the second kind differ in too many bits for fingerprints (the README has the figures), so MinHash bands find
+    them beside. Both kinds of links count at once, so that no component is cut where one kind alone would end it.
     """
     keyed = row_key(docs)
-    found = near_dedup.near_dedup(keyed.select("_doc.doc_id", "_doc.text", "_file", "_row"), carry=("_file", "_row"))
+    found = near_dedup.near_dedup(keyed.select("_doc.doc_id", "_doc.text", "_file", "_row"), carry=("_file", "_row"), simhash=SIMHASH_WORDS)
     return _kept(keyed, found)
 
 

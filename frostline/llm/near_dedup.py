@@ -1,4 +1,4 @@
-"""Near dedup by the Jaccard similarity of word shingles.
+"""Near dedup by SimHash fingerprints and by the Jaccard similarity of word shingles.
 
 Candidates share a band of MinHash values and have like sketches: four bits of each value, so that a pair at a
 similarity of 0.8 differs in 64 of 640 bits, with a deviation of 12, and unrelated ones in 320. Every link is verified on
@@ -6,6 +6,9 @@ the whole shingle sets, which move for candidates only. A group of any size is l
 first, and only nodes of a band that are still apart after that are compared. Few of them in a band are paired by a
 join. Many are dealt over tiles together with their sets: a task compares two tiles and puts out links only, so that a
 large group of texts that are nearly similar enough makes no rows of pairs.
+
+Where fingerprints are asked for, texts are linked by those of operation 6 too: at two differing bits or fewer, whatever
+their similarity. A component is what both kinds of links reach together.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, batches, component_firsts, connected_components, lean, nonnull_text, small_batches, stage_table, utf8
+from .simhash import fingerprint
+from .simhash import links as fingerprint_links
 from .tokens import tokenizer
 
 #: A pair at similarity s meets in no band with probability (1 - s^ROWS)^BANDS: 3 in a million at 0.8.
@@ -87,15 +92,18 @@ def _unlike(a: Column, b: Column) -> Column:
     return reduce(add, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONGS)))
 
 
-def _sets(text_col: str, names: list[str], size: int):
+def _sets(text_col: str, names: list[str], size: int, simhash: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1024):
-            found = [shingles(t, size) for t in utf8(batch.column(batch.schema.get_field_index(text_col)))]
+            texts = list(utf8(batch.column(batch.schema.get_field_index(text_col))))
+            found = [shingles(t, size) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64)
             held = [np.unique(s.astype(np.uint32)) for s in found]
             new = {"node": pa.array(node.view(np.int64)), "n": pa.array([len(s) for s in held], pa.int64())}
             least = [least_values(s) if len(s) else None for s in found]
             lists = {name: pa.array([[] if x is None else f(x).view(np.int64) for x in least], pa.list_(pa.int64())) for name, f in (("keys", band_keys), ("sketch", sketch))}
+            if simhash:
+                lists["fp"] = pa.array(np.array([fingerprint(t, simhash) for t in texts], np.uint64).view(np.int64))
             yield append_columns(batch, names, new | lists | {"held": pa.array([s.tobytes() for s in held], pa.binary())})
 
     return run
@@ -238,10 +246,22 @@ def links(rows: DataFrame, similarity: float) -> DataFrame:
     return first.unionAll(paired).unionAll(tiled(mixed.where("many"), rows, similarity, TILE_NODES, TILE_BYTES))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+def _of_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that join all whose fingerprints are equal or linked: each node with one of its component."""
+    made = stage_table(rows.select("node", "fp").distinct())
+    roots = stage_table(connected_components(fingerprint_links(made.select("fp").distinct())).toDF("_fp", "root"))
+    made = made.join(roots, F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("root", "fp").alias("root"))
+    hubs = made.groupBy("root").agg(F.min("node").alias("hub"))
+    return stage_table(made.join(hubs, "root").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, carry: tuple[str, ...] = (), simhash: int = 0
+) -> DataFrame:
     """One row per row of docs: id_col, component_id (the smallest id reachable by links of texts whose sets of word
     shingles have at least that Jaccard similarity), kept (one row of each component), then the columns named in carry.
-    Shingles are told apart by 32 bits where pairs are verified.
+    Shingles are told apart by 32 bits where pairs are verified. With simhash, the words of a shingle for it, texts whose
+    SimHash fingerprints differ in two bits or fewer are linked too.
 
     Null and empty texts, and texts of white space, have the empty set and are equal. Equal sets are one node. A null
     id counts after all others. An empty table gives no rows; other columns don't matter.
@@ -249,11 +269,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).alias("_id"), nonnull_text(F.col(text_col)).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     names = [c for c in slim.columns if c != "_text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    found = slim.mapInArrow(lean(_sets("_text", names, shingle), tokenizer), f"{schema}, node long, n long, keys array<long>, sketch array<long>, held binary")
+    found = slim.mapInArrow(lean(_sets("_text", names, shingle, simhash), tokenizer), f"{schema}, node long, n long, keys array<long>, sketch array<long>, {'fp long, ' * bool(simhash)}held binary")
     with small_batches(docs.sparkSession):
         rows = stage_table(found.withColumn("_rid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_rid").alias("r")))
     nodes = stage_table(rows.groupBy("node").agg(first.alias("first")))
-    classes = component_firsts(nodes, links(rows, similarity)).withColumnRenamed("node", "_node")
+    found = links(rows, similarity)
+    found = found.unionAll(_of_fingerprints(rows)) if simhash else found
+    classes = component_firsts(nodes, found).withColumnRenamed("node", "_node")
     out = rows.join(classes, F.col("node") == F.col("_node"))
     return out.select(F.col("_id").alias(id_col), F.col("best.id").alias("component_id"), (F.col("_rid") == F.col("best.r")).alias("kept"), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
