@@ -5,13 +5,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..streaming.matching import PART, _InOrder
+from ..streaming.matching import _InOrder, in_order_stream
 from .backtracking import History
 
 
@@ -85,22 +84,22 @@ def replayed(rows: DataFrame, key: str, order: str, operator: Operator, *columns
 
 class ReplayProcessor(_InOrder):
     def __init__(self, key: str, order: str, operator: Operator, columns: tuple[str, ...]) -> None:
-        self.key, self.number, self.operator, self.columns = key, order, operator, (order, *columns)
+        self.number, self.operator, self.columns = order, operator, (order, *columns)
+        self.names = (key, "step", *operator.names)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        now = Run(self.operator, self.memory.get()[0] if self.memory.exists() else None)
-        found = ((key[0], *x) for row in self.ready(rows) for x in now.feed(row))
-        while part := list(islice(found, PART)):
-            yield pd.DataFrame(part, columns=[self.key, "step", *self.operator.names])
-        self.memory.update((now.held(),))
+    def fresh(self) -> dict:
+        return {"held": None}
+
+    def put_out(self, key: Any, rows: Iterator[tuple], memory: dict) -> Iterator[tuple]:
+        now = Run(self.operator, memory["held"])
+        yield from ((key, *x) for row in rows for x in now.feed(row))
+        memory["held"] = now.held()
 
 
 def replay_stream(rows: DataFrame, key: str, order: str, operator: Operator, *columns: str) -> DataFrame:
     """The same of a stream, for any way that it is cut into batches; order counts from 0 without gaps in a key. What is kept
     of a key is its state, memory and last items, and rows that came early."""
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, step long, {operator.schema}"
-    slim = rows.select(key, order, *columns)
-    return slim.groupBy(key).transformWithStateInPandas(ReplayProcessor(key, order, operator, columns), outputStructType=schema, outputMode="Append", timeMode="None")
+    return in_order_stream(rows, key, ReplayProcessor(key, order, operator, columns), f"step long, {operator.schema}")
 
 
 def _after_errors(state: int, row: tuple, history: History, run: Run) -> int:

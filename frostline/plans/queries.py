@@ -27,6 +27,11 @@ def _query(f: Query) -> Query:
     return f
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """Parts of a stream's state: a core each, where there are more than a few."""
+    return max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -182,7 +187,7 @@ def stream_matcher_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matcher over scores that come in four batches, none of which has a video's frames in order."""
     scores = _scores(spark, sf_dir).repartition(4, "frame_num")
     with state_store(spark):
-        steps = run_stream(matching.match_stream(as_stream(scores)), STATE_PARTITIONS)
+        steps = run_stream(matching.match_stream(as_stream(scores)), _state_partitions(spark))
     return steps.select("video_id", "step", "frame_num", "len", "state", "outcome", F.round("chain_motion", 6).alias("chain_motion"))
 
 
@@ -191,7 +196,7 @@ def stream_release_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions out of order, released in order."""
     done = _chains(spark, sf_dir).select("video_id", "chain_i", F.format_string("chain_%d", "chain_i").alias("out"))
     with state_store(spark):
-        return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))), STATE_PARTITIONS)
+        return run_stream(matching.release_stream(as_stream(done.repartition(3, "chain_i"))), _state_partitions(spark))
 
 
 @_query
