@@ -3,64 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-RELEASED = "video_id long, chain_i long, out string, done_at long, released_at long"
+from .entries import BLOB, GROUP, KEY_NAME, Entries, Keys, entry_map, group_of, state_name
 
-
-def _struct(*fields: tuple[str, type]) -> StructType:
-    return StructType([StructField(name, kind()) for name, kind in fields])
-
-
-_KEY = _struct(("key", StringType))
-_NUMBER = _struct(("chain_i", LongType))
-_JOB = _struct(("chain_i", LongType), ("out", StringType))
-_TIME = _struct(("done_at", LongType))
-_DONE = _struct(("out", StringType), ("done_at", LongType))
-_NEXT = _struct(("chain_i", LongType), ("released_at", LongType))
+RELEASED = "video_id string, chain_i long, out string, done_at long, released_at long"
+COLUMNS = ("is_job", "key", "chain_i", "out", "done_at")
 
 
 class JobLookup(StatefulProcessor):
-    """Of a video: the jobs that are open, completions that came before their job, jobs done that wait for others before
-    them, and the next to be released."""
+    """Of each video of a group: the jobs that are open, completions that came before their job, jobs done that wait for
+    others before them, and the next to be released."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", _KEY, _JOB)
-        self.early = handle.getMapState("early", _KEY, _TIME)
-        self.done = handle.getMapState("done", _NUMBER, _DONE)
-        self.next = handle.getValueState("next", _NEXT)
+        self.videos = handle.getValueState("videos", BLOB)
+        self.maps = [entry_map(handle, name) for name in ("open", "early", "done")]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        number, latest = self.next.get() if self.next.exists() else (0, None)
+        videos = Keys(self.videos)
         for batch in rows:
-            out = []
-            for is_job, name, chain, path, time in zip(batch["is_job"], batch["key"], batch["chain_i"], batch["out"], batch["done_at"], strict=True):
-                self._take((name,), (int(chain), path) if is_job else None, None if is_job else int(time))
-                while self.done.containsKey((number,)):
-                    path, time = self.done.getValue((number,))
-                    self.done.removeKey((number,))
-                    latest = time if latest is None else max(latest, time)
-                    out.append((key[0], number, path, time, latest))
-                    number += 1
+            batch = batch.set_axis([GROUP, KEY_NAME, *COLUMNS], axis=1).sort_values(KEY_NAME, kind="stable")  # Spark loses names
+            plain = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in (KEY_NAME, *COLUMNS)]
+            out: list[tuple] = []
+            for video, here in groupby(zip(*plain, strict=True), key=itemgetter(0)):
+                name = state_name(video)
+                number, latest, *entries = videos.get(name, (0, None, None, None, None))
+                opened, early, done = (Entries(name, rest, x) for rest, x in zip(self.maps, entries, strict=True))
+                for _, is_job, job, chain, path, time in here:
+                    self._take(opened, early, done, job, (int(chain), path) if is_job else None, None if is_job else int(time))
+                    while (found := done.pop(number)) is not None:
+                        path, time = found
+                        latest = time if latest is None else max(latest, time)
+                        out.append((video, number, path, time, latest))
+                        number += 1
+                videos.put(name, number, latest, opened.held(), early.held(), done.held())
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RELEASED.split(", ")])
-        self.next.update((number, latest))
+        videos.save()
 
-    def _take(self, name: tuple, job: tuple | None, time: int | None) -> None:
+    def _take(self, opened: Entries, early: Entries, done: Entries, name: str, job: tuple | None, time: int | None) -> None:
         """A job meets its completion, or waits for it, and the other way round."""
-        mine, others = (self.early, self.open) if job else (self.open, self.early)
-        if not mine.containsKey(name):
-            if not others.containsKey(name):
-                others.updateValue(name, job or (time,))
+        mine, others = (early, opened) if job else (opened, early)
+        found = mine.pop(name)
+        if found is None:
+            if name not in others:
+                others.put(name, job or (time,))
             return
-        found = mine.getValue(name)
-        mine.removeKey(name)
         (chain, path), done_at = (job, found[0]) if job else (found, time)
-        self.done.updateValue((chain,), (path, done_at))
+        done.put(chain, (path, done_at))
 
     def close(self) -> None:
         pass
@@ -77,4 +72,7 @@ def release_done(jobs: DataFrame, completions: DataFrame) -> DataFrame:
     text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
     rows = jobs.select("video_id", F.lit(True).alias("is_job"), "key", "chain_i", "out", number.alias("done_at"))
     rows = rows.unionAll(completions.select("video_id", F.lit(False), "key", number, text, "done_at"))
-    return rows.groupBy("video_id").transformWithStateInPandas(JobLookup(), outputStructType=RELEASED, outputMode="Append", timeMode="None")
+    video = F.col("video_id").cast("string")
+    found = rows.select(group_of(video).alias(GROUP), video.alias(KEY_NAME), *COLUMNS).groupBy(GROUP)
+    out = found.transformWithStateInPandas(JobLookup(), outputStructType=RELEASED, outputMode="Append", timeMode="None")
+    return out.withColumn("video_id", F.col("video_id").cast(jobs.schema["video_id"].dataType))
