@@ -32,8 +32,12 @@ def _entries(pairs: Column) -> Column:
     than once the last counts."""
     whole = F.filter(pairs, lambda x: F.contains(x, F.lit("=")))
     cut = F.transform(whole, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2).alias("value")))
-    keys = F.reverse(F.transform(cut, lambda e: e["key"]))
-    return F.map_from_entries(F.filter(cut, lambda e, i: i == F.size(cut) - F.array_position(keys, e["key"])))
+
+    def last(both: Column) -> Column:
+        return F.filter(both["cut"], lambda e, i: i == F.size(both["cut"]) - F.array_position(both["keys"], e["key"]))
+
+    found = _let(cut, lambda c: _let(F.struct(c.alias("cut"), F.reverse(F.transform(c, lambda e: e["key"])).alias("keys")), last))
+    return F.map_from_entries(found)
 
 
 def key_values(text: Column) -> Column:
@@ -74,24 +78,43 @@ def literal(value: Column) -> Column:
     items of their own. A value in quotes, or one that is no literal, stays text, the first without its quotes; so does a
     list with another in it.
     """
-    v = F.trim(value)
-    items = F.transform(F.regexp_extract_all(F.substr(v, F.lit(2), F.length(v) - 2), F.lit(f"({_ELEMENT})"), F.lit(1)), _scalar)
-    bare = F.exists(F.regexp_extract_all(F.substr(v, F.lit(2), F.length(v) - 2), F.lit(f"({_ELEMENT})"), F.lit(1)), lambda x: (_scalar(x)["kind"] == "str") & ~x.rlike(_QUOTED))
-    sound = v.rlike(_ELEMENTS) & ~bare
-    alone = F.startswith(v, F.lit("(")) & ~F.contains(v, F.lit(",")) & (F.size(items) == 1)  # brackets around one value
-    kind = F.when(sound & F.startswith(v, F.lit("[")) & F.endswith(v, F.lit("]")), "list").when(sound & F.startswith(v, F.lit("(")) & F.endswith(v, F.lit(")")), "tuple")
-    one = F.when((kind == "tuple") & alone, F.get(items, F.lit(0))).otherwise(_scalar(value))
-    many = kind.isNotNull() & ~((kind == "tuple") & alone)
-    field = lambda name: F.when(~many, one[name]).alias(name)
-    return F.struct(F.when(many, kind).otherwise(one["kind"]).alias("kind"), *map(field, ("int", "float", "bool", "str")), F.when(many, items).alias("items"))
+    return _let(F.trim(value), lambda v: F.when(v.rlike(r"^[\[(]"), _listed(value, v)).otherwise(_alone(value, v)))
+
+
+def _alone(value: Column, v: Column) -> Column:
+    """A literal without elements; v is value without spaces around it."""
+    return _let(_scalar(value, v), lambda one: F.struct(*(one[c].alias(c) for c in _FIELDS), F.lit(None).cast(f"array<{_SCALAR}>").alias("items")))
+
+
+def _listed(value: Column, v: Column) -> Column:
+    """A literal that begins with a bracket. Elements are looked for once."""
+    raw = F.regexp_extract_all(F.substr(v, F.lit(2), F.length(v) - 2), F.lit(f"({_ELEMENT})"), F.lit(1))
+    found = F.transform(raw, lambda x: _let(F.trim(x), lambda y: F.struct(_scalar(x, y).alias("item"), x.rlike(_QUOTED).alias("quoted"))))
 
+    def made(parts: Column) -> Column:
+        items = F.transform(parts, lambda p: p["item"])
+        sound = v.rlike(_ELEMENTS) & ~F.exists(parts, lambda p: (p["item"]["kind"] == "str") & ~p["quoted"])
+        alone = F.startswith(v, F.lit("(")) & ~F.contains(v, F.lit(",")) & (F.size(parts) == 1)  # brackets around one value
+        kind = F.when(sound & F.startswith(v, F.lit("[")) & F.endswith(v, F.lit("]")), "list").when(sound & F.startswith(v, F.lit("(")) & F.endswith(v, F.lit(")")), "tuple")
+        facts = F.struct(kind.alias("kind"), alone.alias("alone"), items.alias("items"))
+        return _let(facts, lambda f: F.when(f["kind"].isNull(), _alone(value, v)).when((f["kind"] == "tuple") & f["alone"], of_one(F.get(f["items"], F.lit(0)))).otherwise(of_many(f)))
 
+    def of_one(one: Column) -> Column:
+        return F.struct(*(one[c].alias(c) for c in _FIELDS), F.lit(None).cast(f"array<{_SCALAR}>").alias("items"))
+
+    def of_many(f: Column) -> Column:
+        return F.struct(f["kind"].alias("kind"), *(F.lit(None).cast(kind).alias(c) for c, kind in list(_FIELDS.items())[1:]), f["items"].alias("items"))
+
+    return _let(found, made)
+
+
+_FIELDS = {"kind": "string", "int": "bigint", "float": "double", "bool": "boolean", "str": "string"}
+_SCALAR = "struct<" + ", ".join(f"`{c}`: {kind}" for c, kind in _FIELDS.items()) + ">"
 _QUOTED = r"""^(?:'[^']*'|"[^"]*")$"""
 
 
-def _scalar(value: Column) -> Column:
-    """A literal that is neither list nor tuple."""
-    v = F.trim(value)
+def _scalar(value: Column, v: Column) -> Column:
+    """A literal that is neither list nor tuple; v is value without spaces around it."""
     kind = (
         F.when(v.rlike(r"^[+-]?\d+$") & v.try_cast("long").isNotNull(), "int")
         .when(v.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), "float")
@@ -99,14 +122,18 @@ def _scalar(value: Column) -> Column:
         .when(v == "None", "none")
         .otherwise("str")
     )
-    text = F.when(v.rlike(_QUOTED), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(value)
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "int", v.try_cast("long")).alias("int"),
-        F.when(kind == "float", v.try_cast("double")).alias("float"),
-        F.when(kind == "bool", v == "True").alias("bool"),
-        F.when(kind == "str", text).alias("str"),
-    )
+
+    def made(kind: Column) -> Column:
+        text = F.when(v.rlike(_QUOTED), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(value)
+        return F.struct(
+            kind.alias("kind"),
+            F.when(kind == "int", v.try_cast("long")).alias("int"),
+            F.when(kind == "float", v.try_cast("double")).alias("float"),
+            F.when(kind == "bool", v == "True").alias("bool"),
+            F.when(kind == "str", text).alias("str"),
+        )
+
+    return _let(kind, made)
 
 
 def resolution(text: Column) -> Column:

@@ -36,6 +36,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, for work that takes far longer than reading: a file may be one task otherwise."""
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _chunk(spark: SparkSession, sf_dir: str) -> int | None:
     """The size of chunks if a video is so long that it needs them."""
     return chunk_for(_read(spark, sf_dir, "events"), "user_id")
@@ -330,7 +335,7 @@ def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def parse_kwargs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arguments of each part as literals, and its size as a resolution."""
-    part = _read(spark, sf_dir, "part")
+    part = _spread(_read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"))
     given = F.concat(F.lit("size="), F.col("p_size").cast("string"), F.lit(",half="), (F.col("p_size") / 2.0).cast("string"), F.lit(",big="), F.when(F.col("p_size") > 25, "True").otherwise("False"), F.lit(",brand="), "p_brand", F.lit(",none=None"))
     rows = part.select("p_partkey", "p_size", T.kwargs(given).alias("k"), T.resolution(F.concat(F.col("p_size").cast("string"), F.lit("x"), (F.col("p_size") * 2).cast("string"))).alias("r"), T.resolution(F.col("p_brand")).alias("bad"))
     k = F.col("k")
