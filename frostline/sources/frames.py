@@ -78,6 +78,18 @@ def write_video_lags(lags: DataFrame, path: str) -> None:
     lags.select("video_id", "start", "length").repartition("video_id").sortWithinPartitions("video_id", "start").write.mode("overwrite").partitionBy("video_id").csv(path)
 
 
+def write_lag_table(lags: DataFrame, path: str) -> None:
+    """Lags (video_id, start, length) as CSV files of many videos each, a video's lags in one of them and sorted by start.
+    A folder for each video, as write_video_lags() makes, is one more for the driver to commit and to list."""
+    parts = int(lags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lags.select("video_id", "start", "length").repartition(parts, "video_id").sortWithinPartitions("video_id", "start").write.mode("overwrite").csv(path)
+
+
+def read_lag_table(spark: SparkSession, path: str) -> DataFrame:
+    """What write_lag_table() has written; a line that doesn't parse is an error."""
+    return spark.read.schema("video_id long, start long, length long").option("mode", "FAILFAST").csv(path)
+
+
 def read_motion_samples(spark: SparkSession, path: str) -> DataFrame:
     """Motion samples; these files have no header, so none is looked for."""
     return spark.read.schema("f0 string, f1 string, motion double, avg_flow_x double, avg_flow_y double").csv(path)
