@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..params import REPAIR, MatcherParams
 from ..sources.frames import finite
-from ..sources.order import CHUNK, numbered, running_max
+from ..sources.order import CHUNK, numbered, running_max, running_maxima
 from ..sources.staging import stage_table
 
 
@@ -166,40 +166,55 @@ def ema_running(values: DataFrame, alpha: float, chunk: int | None = CHUNK) -> D
     return rows.select("video_id", "frame_num", (F.col("part") + F.col("left") * F.col("carried")).alias("ema"))
 
 
+def _with_last(found: DataFrame, frames: DataFrame, number: str, chunk: int | None) -> DataFrame:
+    """What was found, in rows of a sequence that has all frame numbers of its videos too, with each video's last frame.
+    The targets' rows (of which target isn't null) are kept."""
+    if chunk is None:
+        return found.withColumn("last", F.max(number).over(W.partitionBy("video_id"))).where("target IS NOT NULL")
+    last = frames.groupBy(F.col("video_id").alias("_video")).agg(F.max("frame_num").alias("last"))
+    return found.where("target IS NOT NULL").join(last, F.col("video_id").eqNullSafe(F.col("_video")), "left").drop("_video")
+
+
 def seek_frames(frames: DataFrame, targets: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """For each target (video_id, target): the first frame at or after it, or else the video's last.
 
-    Targets and frames are one sequence per video, read backwards once; no pair of them is compared.
+    Targets and frames are one sequence per video, read backwards once; no pair of them is compared, and none of the
+    tables is broadcast, as there are as many targets as one likes.
     """
     number = F.col("frame_num").cast("long")
-    both = frames.select("video_id", (-2 * number - 1).alias("at"), (-number).alias("back"), F.lit(None).cast("long").alias("target"))
+    both = frames.select("video_id", (-2 * number - 1).alias("at"), number.alias("number"), F.lit(None).cast("long").alias("target"))
     both = both.unionAll(targets.select("video_id", (-2 * F.col("target").cast("long")).alias("at"), F.lit(None).cast("long"), "target"))
-    found = running_max(both, "video_id", "at", F.col("back"), "nearest", chunk=chunk).where("target IS NOT NULL")
-    last = frames.groupBy(F.col("video_id").alias("_video")).agg(F.max("frame_num").alias("last"))
-    out = found.join(last, F.col("video_id") == F.col("_video"), "left")
-    return out.select("video_id", "target", F.coalesce(-F.col("nearest"), "last").alias("frame_num"))
+    found = _with_last(running_max(both, "video_id", "at", -F.col("number"), "nearest", chunk=chunk), frames, "number", chunk)
+    return found.select("video_id", "target", F.coalesce(-F.col("nearest"), "last").alias("frame_num"))
+
+
+LATEST = float(1 << 60)  # times in frames are cut there, on both sides; NaN is the latest
 
 
 def seek_times(frames: DataFrame, targets: DataFrame, rate: float, chunk: int | None = CHUNK) -> DataFrame:
     """For each target (video_id, target) the first frame whose time, in frames at the rate, rounds to it, or is more than
-    half a frame past it; or else the video's last. frames has video_id, frame_num and ts_s, which rises with it.
+    half a frame past it; or else the video's last. frames has video_id, frame_num and ts_s; a frame without a time is only
+    ever found as the last one. Targets of a video without frames are left out.
 
     Halves are rounded to the even number, so a time right between two frames may be the later one's without being past the
-    earlier one. Places of times are counted in halves for that, and each target looks at two of them.
+    earlier one. Places of times are counted in halves for that, and each target looks at two of them: the one that its own
+    frame begins at, and the one that is past it. Both are in one sequence per video with the frames, read backwards once, as
+    in seek_frames(); a target's two rows are then put together.
     """
     exact = F.col("ts_s") * rate
-    place = (2 * F.rint(exact) - F.when(F.rint(exact) - exact == 0.5, 1).otherwise(0)).cast("long")
-    places = stage_table(frames.groupBy("video_id", place.alias("place")).agg(F.min("frame_num").alias("first"), F.max("frame_num").alias("last")))
-    wanted = targets.select("video_id", F.explode(F.array(2 * F.col("target") - 1, 2 * F.col("target") + 2)).alias("target")).distinct()
-    found = seek_frames(places.select("video_id", F.col("place").alias("frame_num")), wanted, chunk)
-    found = stage_table(found.select(F.col("video_id").alias("_v"), F.col("target").alias("_t"), F.col("frame_num").alias("_p")))
-    near = found.select("_v", "_t", F.col("_p").alias("_near"))
-    past = found.select(F.col("_v").alias("_w"), F.col("_t").alias("_u"), F.col("_p").alias("_past"))
-    both = targets.join(near, (F.col("video_id") == F.col("_v")) & (F.col("_t") == 2 * F.col("target") - 1))
-    both = both.join(past, (F.col("video_id") == F.col("_w")) & (F.col("_u") == 2 * F.col("target") + 2))
-    held = F.col("_near").between(2 * F.col("target") - 1, 2 * F.col("target"))
-    both = both.select("video_id", "target", F.when(held, F.col("_near")).otherwise(F.col("_past")).alias("_place"))
-    here = places.select(F.col("video_id").alias("_x"), F.col("place"), "first", "last")
-    out = both.join(here, (F.col("video_id") == F.col("_x")) & (F.col("_place") == F.col("place")))
-    beyond = (F.col("_place") < 2 * F.col("target") - 1) | (F.col("_place") == 2 * F.col("target") + 1)
-    return out.select("video_id", "target", F.when(beyond, F.col("last")).otherwise(F.col("first")).alias("frame_num"))
+    whole = F.when(exact.isNotNull(), F.greatest(F.least(F.rint(exact), F.lit(LATEST)), F.lit(-LATEST))).cast("long")
+    place = 2 * whole - F.when(whole - exact == 0.5, 1).otherwise(0)
+    number, none = F.col("frame_num").cast("long"), F.lit(None).cast("long")
+    both = frames.select("video_id", (-2 * place - 1).alias("at"), number.alias("number"), whole.alias("whole"), none.alias("target"))
+    target = F.col("target").cast("long")
+    places = F.explode(F.array(-2 * (2 * target - 1), -2 * (2 * target + 2))).alias("at")
+    both = both.unionAll(targets.select("video_id", places, none, none, target))
+    both = both.where("at IS NOT NULL") if chunk else both  # all that have no time would be one chunk
+    timed = F.col("whole").isNotNull()
+    values = {"nearest": F.when(timed, F.struct(-F.col("whole"), -F.col("number"))), "least": F.when(timed, -F.col("number"))}
+    found = _with_last(running_maxima(both, "video_id", "at", values, chunk=chunk), frames, "number", chunk)
+    own = F.col("at") == -2 * (2 * F.col("target") - 1)
+    held = F.when(own & (F.col("nearest.col1") == -F.col("target")), -F.col("nearest.col2"))
+    found = found.groupBy("video_id", "target").agg(F.min(held).alias("held"), F.min(F.when(~own, -F.col("least"))).alias("past"), F.max("last").alias("last"), F.count_if(own).alias("n"))
+    found = found.select("video_id", "target", F.coalesce(F.least("held", "past"), "last").alias("frame_num"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
+    return found.where("frame_num IS NOT NULL").drop("col")

@@ -310,10 +310,12 @@ def command_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def seek_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Among the frames that differ from the one before them."""
-    frames = _scores(spark, sf_dir).where("distinct_conf IS NULL OR distinct_conf > 0")
-    targets = frames.select("video_id").distinct().select("video_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 17, 1000)))).alias("target"))
-    return sequences.seek_frames(frames, targets, chunk=_chunk(spark, sf_dir))
+    """Among the frames that differ from the one before them. A video's first one always is among them, so the videos are
+    those of the table, which takes no order."""
+    events, chunk = _read(spark, sf_dir, "events"), _chunk(spark, sf_dir)
+    frames = S.event_scores(events, chunk).where("distinct_conf IS NULL OR distinct_conf > 0")
+    targets = events.select(F.col("user_id").alias("video_id")).distinct().select("video_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 17, 1000)))).alias("target"))
+    return sequences.seek_frames(frames, targets, chunk)
 
 
 @_query

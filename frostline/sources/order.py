@@ -59,12 +59,19 @@ def numbered(rows: DataFrame, key: str, order: str, name: str, before: tuple[str
 
 def running_max(rows: DataFrame, key: str, order: str, value: Column, name: str, to: int = 0, chunk: int | None = CHUNK) -> DataFrame:
     """rows with name, the greatest value up to the row in the key's order (to = -1: up to the one before it)."""
+    return running_maxima(rows, key, order, {name: value}, to, chunk)
+
+
+def running_maxima(rows: DataFrame, key: str, order: str, values: dict[str, Column], to: int = 0, chunk: int | None = CHUNK) -> DataFrame:
+    """The same for several values by name, in one pass."""
     if chunk is None:
-        return rows.withColumn(name, F.max(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, to)))
-    rows = _chunked(rows.withColumn("_value", value), order, chunk)
+        w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, to)
+        return rows.withColumns({name: F.max(value).over(w) for name, value in values.items()})
+    rows = _chunked(rows.withColumns({f"_value_{name}": value for name, value in values.items()}), order, chunk)
     across = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, to)
-    parts = rows.groupBy(key, "_chunk").agg(F.max("_value").alias("_most"))
-    parts = parts.select(key, "_chunk", F.max("_most").over(across).alias("_carried"))
-    rows = _with_parts(rows.withColumn("_inside", F.max("_value").over(inside)), parts, key)
-    return rows.withColumn(name, F.greatest("_inside", "_carried")).drop("_inside", "_carried", "_value")
+    parts = rows.groupBy(key, "_chunk").agg(*(F.max(f"_value_{name}").alias(f"_most_{name}") for name in values))
+    parts = parts.select(key, "_chunk", *(F.max(f"_most_{name}").over(across).alias(f"_carried_{name}") for name in values))
+    rows = _with_parts(rows.withColumns({f"_inside_{name}": F.max(f"_value_{name}").over(inside) for name in values}), parts, key)
+    rows = rows.withColumns({name: F.greatest(f"_inside_{name}", f"_carried_{name}") for name in values})
+    return rows.drop(*(f"_{part}_{name}" for part in ("inside", "carried", "value") for name in values))
